@@ -106,34 +106,26 @@ def _(spark, sf):
 
 @query(
     "a09_boxes_per_image",
-    f"""WITH {S.SCALED_CTE} SELECT filename, 0 AS part, count(*) AS n,
-      list_aggregate(list(printf('%.6f,%.6f,%.6f,%.6f', xmin, ymin, xmax, ymax) ORDER BY xmin, ymin, xmax, ymax), 'string_agg', ';') AS boxes
-    FROM scaled GROUP BY filename""",
+    f"""WITH {S.SCALED_CTE} SELECT filename, 0 AS part, count(*) OVER (PARTITION BY filename) AS n,
+      CAST(row_number() OVER (PARTITION BY filename ORDER BY xmin, ymin, xmax, ymax) - 1 AS INT) AS box_no, xmin, ymin, xmax, ymax FROM scaled""",
 )
 def _(spark, sf):
-    lists = B.collect_boxes(S.box_series(spark, sf))
-    line = F.transform("boxes", lambda b: F.format_string("%.6f,%.6f,%.6f,%.6f", b.xmin, b.ymin, b.xmax, b.ymax))
-    return lists.select("filename", "part", F.size("boxes").cast("bigint").alias("n"), F.array_join(line, ";").alias("boxes"))
+    lists = B.collect_boxes(S.box_series(spark, sf)).withColumn("n", F.size("boxes").cast("bigint"))
+    rows = lists.select("filename", "part", "n", F.posexplode("boxes").alias("box_no", "box"))
+    return rows.select("filename", "part", "n", "box_no", *[F.col(f"box.{c}") for c in B.COORDS])
 
 
 @query(
     "a10_box_coordinate_lists",
-    f"""WITH {S.SCALED_CTE}, {S.LABELS_CTE} SELECT filename,
-      string_agg(printf('%.4f', CAST(xmin AS FLOAT)), ';' ORDER BY xmin, ymin, xmax, ymax) AS xmin,
-      string_agg(printf('%.4f', CAST(xmax AS FLOAT)), ';' ORDER BY xmin, ymin, xmax, ymax) AS xmax,
-      string_agg(printf('%.4f', CAST(ymin AS FLOAT)), ';' ORDER BY xmin, ymin, xmax, ymax) AS ymin,
-      string_agg(printf('%.4f', CAST(ymax AS FLOAT)), ';' ORDER BY xmin, ymin, xmax, ymax) AS ymax,
-      string_agg(CAST(label AS VARCHAR), ';') AS label
-    FROM scaled JOIN labels USING (synset) GROUP BY filename""",
+    f"""WITH {S.SCALED_CTE}, {S.LABELS_CTE} SELECT filename, CAST(xmin AS FLOAT) AS xmin, CAST(ymin AS FLOAT) AS ymin,
+      CAST(xmax AS FLOAT) AS xmax, CAST(ymax AS FLOAT) AS ymax, label FROM scaled JOIN labels USING (synset)""",
 )
 def _(spark, sf):
     labelled = S.images(spark, sf).select("filename", "synset").join(S.label_list(spark, sf), "synset")
     lists = B.box_lists(B.collect_boxes(S.box_series(spark, sf)).join(labelled, "filename"))
-
-    def text(name):
-        return F.array_join(F.transform(f"bbox_{name}", lambda x: F.format_string("%.4f", x)), ";").alias(name)
-
-    return lists.select("filename", *[text(c) for c in B.COORDS], F.array_join(F.col("bbox_label").cast("array<string>"), ";").alias("label"))
+    names = [*B.COORDS, "label"]
+    rows = lists.select("filename", F.explode(F.arrays_zip(*[F.col(f"bbox_{c}").alias(c) for c in names])).alias("box"))
+    return rows.select("filename", *[F.col(f"box.{c}") for c in names])
 
 
 @query(

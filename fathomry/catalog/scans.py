@@ -1 +1,297 @@
-"""Placeholder."""
+"""Scans and sources (S): derived rows are written in the source's format and read back."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from fathomry import schemas
+from fathomry.catalog import standins as S
+from fathomry.catalog.base import query, table
+from fathomry.functions import text as X
+from fathomry.operators import boxes as B
+from fathomry.operators import report, series
+from fathomry.plans import results
+from fathomry.session import fresh_dir
+from fathomry.sources import readers, writers
+
+LOAN_CSV = {"header": False, "sep": "|", "dateFormat": readers.LOAN_DATES}
+
+
+@query("s01_performance_csv", f"WITH {S.PERF_CTE} SELECT * FROM perf")
+def _(spark, sf):
+    path = writers.write_csv(S.performance(spark, sf), fresh_dir(spark, "performance"), **LOAN_CSV)
+    return readers.read_performance(spark, path)
+
+
+@query("s02_acquisition_csv", f"WITH {S.ACQ_CTE} SELECT * FROM acq")
+def _(spark, sf):
+    path = writers.write_csv(S.acquisition(spark, sf), fresh_dir(spark, "acquisition"), **LOAN_CSV | {"header": True})
+    return readers.read_acquisition(spark, path, header=True)
+
+
+@query("s03_seller_names_csv", S.NAMES_SQL)
+def _(spark, sf):
+    path = writers.write_csv(S.seller_names(spark, sf), fresh_dir(spark, "names"), **LOAN_CSV)
+    return readers.read_names(spark, path)
+
+
+@query("s04_orc_scan", "SELECT l_returnflag, max(l_discount) AS max_discount FROM lineitem GROUP BY 1")
+def _(spark, sf):
+    path = writers.write_orc(table(spark, sf, "lineitem"), fresh_dir(spark, "lineitem-orc"))
+    return readers.read_columnar(spark, path).groupBy("l_returnflag").agg(F.max("l_discount").alias("max_discount"))
+
+
+@query("s05_orc_rename_by_position", "SELECT c_custkey AS loan_id, c_name AS seller_name, c_acctbal AS upb FROM customer")
+def _(spark, sf):
+    slim = table(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal").toDF("_col0", "_col1", "_col2")
+    path = writers.write_orc(slim, fresh_dir(spark, "customer-orc"))
+    return readers.read_columnar(spark, path, columns=["loan_id", "seller_name", "upb"])
+
+
+@query("s06_parquet_scan", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 400000")
+def _(spark, sf):
+    return readers.read_columnar(spark, f"{sf}/orders.parquet", "parquet").filter("o_totalprice > 400000").select("o_orderkey", "o_totalprice")
+
+
+@query(
+    "s07_numbered_batches",
+    "SELECT CAST(l_linenumber - 1 AS INT) AS batch, count(*) AS rows, CAST(sum(l_orderkey) AS BIGINT) AS checksum FROM lineitem GROUP BY 1",
+)
+def _(spark, sf):
+    items = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber")
+    path = fresh_dir(spark, "batches")
+    items.write.partitionBy("l_linenumber").orc(path)
+    specs = [f"{path}/l_linenumber={n}/*.orc" for n in range(1, 8)]
+    batches = readers.read_batches(spark, specs)
+    return batches.groupBy("batch").agg(F.count(F.lit(1)).alias("rows"), F.sum("l_orderkey").alias("checksum"))
+
+
+def _result_lines(spark, sf):
+    """JSON line per run; every 50th is cut short."""
+    runs = S.training_runs(spark, sf).withColumn("k", F.regexp_extract("test_uuid", r"(\d+)", 1).cast("bigint"))
+    line = F.to_json(F.struct(*[c for c in runs.columns if c != "k"]))
+    return runs.select(F.when(F.col("k") % 50 == 0, F.substring(line, 1, 20)).otherwise(line).alias("value"))
+
+
+@query(
+    "s08_result_records",
+    f"""WITH {S.TRAINING_CTE} SELECT test_uuid, error, output, np, num_copies, cached FROM runs
+    WHERE CAST(substr(test_uuid, 5) AS BIGINT) % 50 <> 0""",
+)
+def _(spark, sf):
+    path = fresh_dir(spark, "results")
+    _result_lines(spark, sf).write.option("compression", "bzip2").text(path)
+    good, _ = readers.read_results(spark, path, list_files=False)
+    return good.select("test_uuid", "error", "output", "np", "num_copies", "cached")
+
+
+@query("s08_rejected_records", "SELECT count(*) AS rejects FROM orders WHERE o_orderkey % 50 = 0")
+def _(spark, sf):
+    path = fresh_dir(spark, "results")
+    _result_lines(spark, sf).write.option("compression", "bzip2").text(path)
+    _, rejects = readers.read_results(spark, path, list_files=False)
+    return rejects.agg(F.count(F.lit(1)).alias("rejects"))
+
+
+@query(
+    "s09_counter_csv",
+    f"WITH {S.PORTS_CTE} SELECT t, counter, rate_gbps, device, port, counter_name FROM ports",
+)
+def _(spark, sf):
+    path = writers.write_csv(
+        S.ports(spark, sf), fresh_dir(spark, "counters"),
+        ["t", "counter", "rate_gbps", "device", "port", "counter_name"], header=False,
+    )
+    return readers.read_counters(spark, path)
+
+
+@query("s10_headered_dimension", "SELECT p_name AS sample_id, p_retailprice AS coverage, p_partkey AS k FROM part")
+def _(spark, sf):
+    part = table(spark, sf, "part").select(
+        F.col("p_name").alias("sample_id"), F.col("p_retailprice").alias("coverage"), F.col("p_partkey").alias("k")
+    )
+    path = writers.write_csv(part, fresh_dir(spark, "samples"))
+    return readers.read_dimension(spark, path, f"{schemas.SAMPLES}, k bigint")
+
+
+@query(
+    "s11_csv_inside_a_field",
+    """SELECT event_id, CAST(i AS INT) AS row_no, 'gpu' || i AS name, CAST((event_id + i) % 101 AS DOUBLE) AS gpu_util_pct
+    FROM events, range(3) t(i)""",
+)
+def _(spark, sf):
+    def line(i):
+        return F.concat(F.lit(f"2019/10/24 10:00:0{i}, gpu{i}, "), ((F.col("event_id") + i) % 101).cast("string"), F.lit(" %\n"))
+
+    output = F.concat(F.lit("timestamp, name, utilization.gpu [%]\n"), line(0), line(1), line(2))
+    runs = table(spark, sf, "events").select("event_id", output.alias("output"))
+    rows = readers.expand_csv_field(runs, "output", "timestamp string, name string, util string")
+    return rows.select("event_id", "row_no", "name", X.percent_number("util").alias("gpu_util_pct"))
+
+
+def annotation_documents(spark, sf):
+    """One annotation per line item. Every second one goes on after a box without corners."""
+
+    def text(c):
+        return F.concat(F.col(c), F.lit(".7"))
+
+    box = F.struct(*[text(c).alias(c) for c in B.COORDS]).alias("bndbox")
+    gap = F.struct(*[F.lit("-1").alias(c) for c in B.COORDS]).alias("bndbox")
+    name = F.when(F.col("suppkey") % 5 == 0, F.concat(F.lit("Brand_"), 1 + F.col("suppkey") % 40)).otherwise(F.col("synset")).alias("name")
+    one = F.struct(name, box)
+    stop = F.struct(F.lit("later").alias("name"), gap)
+    objects = F.when(F.col("suppkey") % 2 == 0, F.array(one)).otherwise(F.array(one, stop, one))
+    return S.raw_boxes(spark, sf).select(
+        "filename",
+        F.struct(F.col("width").cast("string").alias("width"), F.col("height").cast("string").alias("height")).alias("size"),
+        objects.alias("object"),
+        "synset",
+    )
+
+
+@query(
+    "s12_xml_annotations",
+    f"""WITH {S.IMAGES_CTE}, {S.RAW_BOXES_CTE} SELECT filename, synset, 0 AS box_no,
+      CASE WHEN suppkey % 5 = 0 THEN 'Brand_' || CAST(1 + suppkey % 40 AS VARCHAR) ELSE synset END AS box_label,
+      CAST(width AS INT) AS width, CAST(height AS INT) AS height, xmin, ymin, xmax, ymax
+    FROM raw_boxes JOIN images ON l_partkey = p_partkey""",
+)
+def _(spark, sf):
+    path = fresh_dir(spark, "annotations")
+    annotation_documents(spark, sf).write.format("xml").option("rootTag", "annotations").option("rowTag", "annotation").save(path)
+    good, _ = readers.read_annotations(spark, path, from_path=False)
+    return B.annotation_boxes(good).drop("source_file")
+
+
+@query(
+    "s13_ordered_label_list",
+    "SELECT synset, row_number() OVER (ORDER BY synset) AS label FROM (SELECT DISTINCT replace(p_brand, '#', '_') AS synset FROM part)",
+)
+def _(spark, sf):
+    path = fresh_dir(spark, "labels")
+    names = S.images(spark, sf).select("synset").distinct()
+    # One file: the list of classes is as long as the number of brands, not of images.
+    names.coalesce(1).sortWithinPartitions("synset").write.text(path)
+    return readers.read_label_list(spark, path).select("synset", "label")
+
+
+@query("s14_synset_texts", f"WITH {S.IMAGES_CTE}, {S.TEXTS_CTE} SELECT synset, text FROM texts")
+def _(spark, sf):
+    path = fresh_dir(spark, "texts")
+    S.synset_texts(spark, sf).select(F.concat_ws("\t", "synset", "text").alias("value")).write.text(path)
+    return readers.read_synset_texts(spark, path)
+
+
+@query(
+    "s15_box_csv",
+    f"WITH {S.SCALED_CTE} SELECT filename, xmin, ymin, xmax, ymax FROM scaled WHERE xmin < xmax AND ymin < ymax",
+)
+def _(spark, sf):
+    path = writers.write_csv(
+        B.drop_degenerate(S.box_series(spark, sf)), fresh_dir(spark, "boxes"), ["filename", *B.COORDS], header=False
+    )
+    return readers.read_boxes(spark, path)
+
+
+@query("s16_image_folders", "SELECT DISTINCT 'synset=' || replace(p_brand, '#', '_') AS synset FROM part")
+def _(spark, sf):
+    path = writers.write_by_folder(S.images(spark, sf), fresh_dir(spark, "images"), "synset")
+    return readers.read_images(spark, path, "*.parquet").select("synset").distinct()
+
+
+@query("s17_file_sizes", "SELECT CAST(sum(strlen(text) + 1) AS BIGINT) AS total_bytes FROM documents")
+def _(spark, sf):
+    path = fresh_dir(spark, "texts")
+    table(spark, sf, "documents").select("text").write.text(path)
+    return readers.list_files(spark, path, "part-*").agg(F.sum("length").alias("total_bytes"))
+
+
+@query("s18_sample_list", "SELECT p_name || '-' || p_partkey AS sample_id, p_retailprice AS coverage FROM part")
+def _(spark, sf):
+    part = table(spark, sf, "part").select(F.concat_ws("-", "p_name", "p_partkey").alias("sample_id"), "p_retailprice")
+    return readers.read_samples(spark, writers.write_csv(part, fresh_dir(spark, "samples"), header=False))
+
+
+@query(
+    "s19_inline_dimension",
+    f"""WITH {S.TRAINING_CTE} SELECT data_dir_suffix, count(*) AS runs,
+      CASE data_dir_suffix WHEN '-png2' THEN CAST({results.MEAN_BYTES['-png2']!r} AS DOUBLE) WHEN '-other' THEN NULL
+        ELSE CAST({results.MEAN_BYTES['']!r} AS DOUBLE) END AS mean_bytes_per_image FROM runs GROUP BY 1""",
+)
+def _(spark, sf):
+    runs = S.training_runs(spark, sf).groupBy("data_dir_suffix").agg(F.count(F.lit(1)).alias("runs"))
+    return runs.join(results.suffix_dimension(spark), "data_dir_suffix", "left")
+
+
+@query(
+    "s20_step_log",
+    f"WITH {S.STEPS_CTE} SELECT rank, hostname, step, num_bytes, latency_sec, time_bucket(INTERVAL '1 millisecond', ts) AS ts FROM steps",
+)
+def _(spark, sf):
+    steps = S.steps(spark, sf)
+    stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("@timestamp")
+    path = fresh_dir(spark, "steps")
+    steps.select(stamp, *[c for c in steps.columns if c not in ("ts", "t_us")]).write.json(path)
+    return readers.read_step_log(spark, path).select("rank", "hostname", "step", "num_bytes", "latency_sec", "ts")
+
+
+LOG_SQL = f"""lines AS (SELECT unnest(string_split(text, {S.NL})) AS line FROM documents)"""
+
+
+@query(
+    "s21_numbered_log_lines",
+    f"WITH {LOG_SQL} SELECT count(*) AS lines, CAST(count(*) * (count(*) - 1) // 2 AS BIGINT) AS line_no_sum FROM lines",
+)
+def _(spark, sf):
+    path = fresh_dir(spark, "log")
+    table(spark, sf, "documents").coalesce(1).select("text").write.text(path)
+    lines = readers.read_lines(spark, path)
+    return lines.agg(F.count(F.lit(1)).alias("lines"), F.sum("line_no").alias("line_no_sum"))
+
+
+@query(
+    "s21_log_lines_with_following",
+    """WITH l AS (SELECT o_orderkey, unnest([1, 2, 3]) AS i FROM orders)
+    SELECT 'run ' || o_orderkey || CASE WHEN i = 1 THEN ' BEGIN' ELSE ' step' END AS value FROM l WHERE i <= 2""",
+)
+def _(spark, sf):
+    runs = table(spark, sf, "orders").select(
+        F.explode(F.array(*[F.concat(F.lit("run "), F.col("o_orderkey"), F.lit(end)) for end in (" BEGIN", " step", " done")])).alias("value")
+    )
+    path = fresh_dir(spark, "log")
+    runs.write.text(path)
+    lines = readers.read_lines(spark, path)
+    return series.match_with_following(lines, ["file"], "line_no", "value", "BEGIN").select("value")
+
+
+@query(
+    "s22_metric_samples",
+    f"WITH {S.EVENTS_CTE} SELECT event_type AS metric, instance, count(*) AS samples, sum(cents) AS total FROM ev GROUP BY 1, 2",
+)
+def _(spark, sf):
+    path = writers.write_parquet(S.metrics(spark, sf), fresh_dir(spark, "metrics"))
+    stored = spark.read.parquet(path)
+    return stored.groupBy("metric", F.col("labels")["instance"].alias("instance")).agg(
+        F.count(F.lit(1)).alias("samples"), F.sum("value").alias("total")
+    )
+
+
+@query(
+    "s23_corpus_records",
+    f"""WITH {S.IMAGES_CTE} SELECT synset, count(*) AS records, sum(strlen(content))::BIGINT AS num_bytes FROM images GROUP BY 1""",
+)
+def _(spark, sf):
+    records = S.images(spark, sf).withColumn("encoded", F.col("content").cast("binary")).drop("content", "p_partkey")
+    corpus = readers.read_corpus(spark, writers.write_parquet(records, fresh_dir(spark, "corpus")))
+    return corpus.groupBy("synset").agg(
+        F.count(F.lit(1)).alias("records"), F.sum(F.octet_length("encoded")).alias("num_bytes")
+    )
+
+
+@query(
+    "a01_max_rate_from_performance_orc",
+    f"WITH {S.PERF_CTE} SELECT servicer, max(interest_rate) AS max_interest_rate FROM perf GROUP BY 1",
+)
+def _(spark, sf):
+    path = writers.write_orc(S.performance(spark, sf), fresh_dir(spark, "performance-orc"), stripe_mib=2048)
+    return report.max_rate_by_servicer(readers.read_columnar(spark, path))

@@ -1 +1,67 @@
-"""Placeholder."""
+"""Reshaping (R)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from fathomry.catalog import standins as S
+from fathomry.catalog.base import query, table
+from fathomry.operators import report
+
+NPS = ["16", "32", "48"]
+
+
+@query(
+    "r01_unstack",
+    f"""WITH {S.TRAINING_CTE}, r AS (SELECT model, concat_ws('_', np, storage_type) AS k, num_batches FROM runs)
+    SELECT model, """
+    + ", ".join(
+        f"{fn}(num_batches) FILTER (WHERE k = '{n}_{s}') AS num_batches_{stat}_{n}_{s}"
+        for fn, stat in (("avg", "mean"), ("max", "max"))
+        for n in (16, 48)
+        for s in ("na", "nfs")
+    )
+    + " FROM r GROUP BY 1",
+)
+def _(spark, sf):
+    keys = [f"{n}_{s}" for n in (16, 48) for s in ("na", "nfs")]
+    return report.pivot_stats(
+        S.training_runs(spark, sf), ["model"], ["np", "storage_type"], {"num_batches": ["mean", "max"]}, keys
+    )
+
+
+@query(
+    "r02_unstack_unique",
+    """SELECT l_orderkey, l_partkey, max(l_quantity) FILTER (WHERE l_linenumber = 1) AS l_quantity_1,
+      max(l_quantity) FILTER (WHERE l_linenumber = 2) AS l_quantity_2 FROM lineitem
+    WHERE (l_orderkey, l_partkey, l_linenumber) NOT IN (SELECT (l_orderkey, l_partkey, l_linenumber) FROM lineitem GROUP BY 1 HAVING count(*) > 1)
+    GROUP BY 1, 2""",
+)
+def _(spark, sf):
+    items = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity")
+    keys = ["l_orderkey", "l_partkey", "l_linenumber"]
+    twice = items.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    unique = items.join(twice.select(*keys), keys, "left_anti")
+    return report.unique_pivot(unique, ["l_orderkey", "l_partkey"], "l_linenumber", "l_quantity", ["1", "2"])
+
+
+@query(
+    "r03_stack_then_unstack",
+    f"""WITH {S.TRAINING_CTE} SELECT model, count(num_batches) FILTER (WHERE np = 16)::DOUBLE AS value_max_16_count,
+      avg(num_batches) FILTER (WHERE np = 16) AS value_max_16_mean, count(num_batches) FILTER (WHERE np = 48)::DOUBLE AS value_max_48_count,
+      avg(num_batches) FILTER (WHERE np = 48) AS value_max_48_mean FROM runs GROUP BY 1""",
+)
+def _(spark, sf):
+    stacked = report.stack_stats(S.training_runs(spark, sf), ["model", "np"], "num_batches", ["count", "mean"])
+    keys = [f"{n}_{s}" for n in (16, 48) for s in ("count", "mean")]
+    return report.pivot_stats(stacked, ["model"], ["np", "agg"], {"value": ["max"]}, keys)
+
+
+@query(
+    "r04_flat_column_names",
+    f"""WITH {S.TRAINING_CTE} SELECT storage_type, """
+    + ", ".join(f"{fn}(num_copies) FILTER (WHERE np = {n}) AS num_copies_{stat}_{n}" for fn, stat in (("min", "min"), ("sum", "sum")) for n in NPS)
+    + " FROM runs GROUP BY 1",
+)
+def _(spark, sf):
+    return report.pivot_stats(S.training_runs(spark, sf), ["storage_type"], ["np"], {"num_copies": ["min", "sum"]}, NPS)

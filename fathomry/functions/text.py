@@ -98,3 +98,22 @@ def copies_suffix(copies: str | Column, resize: str | Column) -> Column:
 
 def checksum_of(content: str | Column) -> Column:
     return F.md5(_col(content).cast("binary"))
+
+
+def fixed_text(value: str | Column, digits: int = 4) -> Column:
+    """A number from 0 up as text with ``digits`` decimals, rounded on its exact binary value.
+
+    ``format_string`` rounds the shortest decimal form half up, which differs from C and Python in
+    the last digit. Splitting the factor keeps the product's rounding error, so ties are seen exactly.
+    """
+    x = _col(value).cast("double")
+    scale = F.lit(float(10**digits))
+    high = x * F.lit(134217729.0) - (x * F.lit(134217729.0) - x)
+    low = (x - high) * scale
+    product = high * scale + low
+    error = (high * scale - product) + low
+    whole = F.floor(product)
+    side = (product - whole - F.lit(0.5)) + error
+    up = (side > 0) | ((side == 0) & (whole % 2 == 1))
+    units = whole + up.cast("bigint")
+    return F.format_string(f"%d.%0{digits}d", F.floor(units / scale), units % F.lit(10**digits))

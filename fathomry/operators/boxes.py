@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fathomry.functions.text import fixed_text
+
 COORDS = ["xmin", "ymin", "xmax", "ymax"]
 
 
@@ -82,7 +84,8 @@ def normalise_boxes(annotations: DataFrame, synsets: DataFrame | None = None) ->
 
 
 def box_line(filename: str = "filename") -> Column:
-    return F.format_string("%s,%.4f,%.4f,%.4f,%.4f", F.col(filename), *[F.col(c) for c in COORDS])
+    """Text line of a box: file name and four coordinates with four decimals."""
+    return F.concat_ws(",", F.col(filename), *[fixed_text(c) for c in COORDS])
 
 
 def count_boxes(annotations: DataFrame, synsets: DataFrame, observation) -> DataFrame:
@@ -111,21 +114,26 @@ def collect_boxes(boxes: DataFrame, key: str = "filename", max_boxes: int = 65_5
     """
     distinct = boxes.groupBy(key, *COORDS).agg(F.count(F.lit(1)).alias("__n"))
     limit = F.lit(max_boxes)
-    pieces = distinct.withColumn(
-        "__piece", F.explode(F.sequence(F.lit(0), F.floor((F.col("__n") - 1) / limit).cast("int")))
-    ).withColumn("__n", F.least(limit, F.col("__n") - F.col("__piece") * limit))
     crowded = (
         distinct.groupBy(key).agg(F.sum("__n").alias("__total")).filter(F.col("__total") > limit)
     )
     parts = F.coalesce(F.ceil(F.col("__total") / limit), F.lit(1))
-    dealt = pieces.join(crowded, key, "left").withColumn(
-        "part", F.pmod(F.xxhash64(*COORDS, "__piece"), parts).cast("int")
+    pieces = F.sequence(F.lit(0), F.floor((F.col("__n") - 1) / limit).cast("int"))
+    dealt = (
+        distinct.join(crowded, key, "left")
+        .withColumn("__piece", F.explode(pieces))
+        .withColumn("part", F.pmod(F.xxhash64(*COORDS, "__piece"), parts).cast("int"))
+        .withColumn("__n", F.least(limit, F.col("__n") - F.col("__piece") * limit).cast("int"))
     )
-    run = F.transform(
-        F.array_sort(F.collect_list(F.struct(*COORDS, "__n", "__piece"))),
-        lambda b: F.array_repeat(F.struct(*[b[c].alias(c) for c in COORDS]), b["__n"].cast("int")),
+    # A box and its copy number: the shuffle carries one row per distinct box and piece.
+    box = F.struct(*COORDS)
+    runs = F.collect_list(F.struct(box.alias("box"), "__n"))
+    gathered = dealt.groupBy(key, "part").agg(F.sort_array(runs).alias("__runs"), F.max("__n").alias("__most"))
+    plain = F.col("__runs.box")
+    repeated = F.flatten(F.transform("__runs", lambda r: F.array_repeat(r["box"], r["__n"])))
+    return gathered.select(
+        key, "part", F.when(F.col("__most") == 1, plain).otherwise(repeated).alias("boxes")
     )
-    return dealt.groupBy(key, "part").agg(F.flatten(run).alias("boxes"))
 
 
 def box_lists(df: DataFrame, label: str = "label") -> DataFrame:

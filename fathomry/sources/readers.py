@@ -48,6 +48,18 @@ def read_batches(spark: SparkSession, specs: Sequence[str], fmt: str = "orc") ->
     )
 
 
+def _split_rejects(raw: DataFrame, file_column: str) -> tuple[DataFrame, DataFrame]:
+    """(good, rejects) by the corrupt-record column.
+
+    Spark only parses the fields a query uses, so a bad field would go unseen in a query that does
+    not use it. The hash is always true below; it makes every query parse every field.
+    """
+    fields = [f"`{c}`" for c in raw.columns if c not in ("_corrupt", file_column)]
+    parsed = raw.filter(F.xxhash64(*fields) % 2 < 2)
+    good = parsed.filter(F.col("_corrupt").isNull()).drop("_corrupt")
+    return good, parsed.filter(F.col("_corrupt").isNotNull()).select(file_column, "_corrupt")
+
+
 def read_results(
     spark: SparkSession, globs: str | list[str], schema: str = schemas.RESULT, list_files: bool = True
 ) -> tuple[DataFrame, DataFrame]:
@@ -64,9 +76,7 @@ def read_results(
         .json(globs)
         .withColumn("loaded_filename", F.col("_metadata.file_path"))
     )
-    good = raw.filter(F.col("_corrupt").isNull()).drop("_corrupt")
-    rejects = raw.filter(F.col("_corrupt").isNotNull()).select("loaded_filename", "_corrupt")
-    return good, rejects
+    return _split_rejects(raw, "loaded_filename")
 
 
 def read_counters(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -107,8 +117,7 @@ def read_annotations(spark: SparkSession, paths: str | list[str], from_path: boo
         .load(paths)
         .withColumn("source_file", F.col("_metadata.file_path"))
     )
-    good = raw.filter(F.col("_corrupt").isNull()).drop("_corrupt")
-    rejects = raw.filter(F.col("_corrupt").isNotNull()).select("source_file", "_corrupt")
+    good, rejects = _split_rejects(raw, "source_file")
     if from_path:
         base = F.regexp_extract("source_file", r"([^/]*?)(?:\.[^./]*)?$", 1)
         good = good.withColumn("filename", F.concat(base, F.lit(".JPEG"))).withColumn(

@@ -1 +1,111 @@
-"""Placeholder."""
+"""Streaming (T): each feed reads the table as a stream and is checked against its batch form."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from fathomry.catalog import standins as S
+from fathomry.catalog.base import query, table
+from fathomry.operators.report import first_n_per_group
+from fathomry.session import fresh_dir
+from fathomry.streaming import feeds
+
+
+def event_stream(spark, sf, items=S.EVENTS, extra=()):
+    """The events table as a stream. The path is a glob, so one file and a folder of files both work."""
+    schema = table(spark, sf, "events").schema
+    raw = feeds.file_stream(spark, f"{sf}/events.parque[t]", schema)
+    # Watermarks need a zoned timestamp.
+    return raw.selectExpr(*S.columns(items), "CAST(ts AS TIMESTAMP) AS at", *extra)
+
+
+@query(
+    "t01_counter_feed_rates",
+    f"""WITH {S.PORTS_CTE}, p AS (SELECT *, lag(t) OVER w AS t0, lag(counter) OVER w AS c0 FROM ports
+      WINDOW w AS (PARTITION BY device, port, counter_name ORDER BY t))
+    SELECT event_id, device, port, counter_name, t, (counter - c0) / (t - t0) AS rate FROM p WHERE t0 IS NOT NULL""",
+)
+def _(spark, sf):
+    keys = ["device", "port", "counter_name"]
+    stream = event_stream(spark, sf, S.PORTS).select("event_id", *keys, "t", "counter")
+    path = feeds.counter_feed(stream, fresh_dir(spark, "feed"), keys, "t", "counter", unit=1.0, width=86400.0)
+    return spark.read.parquet(path).drop("batch", "counter")
+
+
+@query(
+    "t02_utilisation_per_window",
+    f"WITH {S.EVENTS_CTE} SELECT instance, time_bucket(INTERVAL '1 hour', ts) AS window_start, avg(cents) AS average FROM ev GROUP BY 1, 2",
+)
+def _(spark, sf):
+    totals = feeds.windowed(event_stream(spark, sf), "at", "1 hour", ["instance"], [F.avg("cents").alias("average")])
+    path = feeds.run_to_files(totals, fresh_dir(spark, "feed"), mode="update")
+    return feeds.latest_per_key(spark, path, ["instance", "window_start"])
+
+
+@query(
+    "t03_bytes_per_report_period",
+    f"""WITH {S.STEPS_CTE} SELECT time_bucket(INTERVAL '2 seconds', ts) AS window_start, CAST(sum(num_bytes) AS BIGINT) AS num_bytes,
+      count(*) AS steps FROM steps GROUP BY 1""",
+)
+def _(spark, sf):
+    totals = feeds.windowed(
+        event_stream(spark, sf, S.STEPS), "at", "2 seconds", [],
+        [F.sum("num_bytes").alias("num_bytes"), F.count(F.lit(1)).alias("steps")],
+    )
+    path = feeds.run_to_files(totals, fresh_dir(spark, "feed"), mode="update")
+    return feeds.latest_per_key(spark, path, ["window_start"])
+
+
+@query(
+    "t04_totals_after_warm_up",
+    f"""WITH {S.STEPS_CTE} SELECT rank, CAST(sum(batch_size) AS BIGINT) AS records, CAST(sum(num_bytes) AS BIGINT) AS num_bytes
+    FROM steps WHERE ts >= TIMESTAMP '2024-01-02 00:00:00' GROUP BY 1""",
+)
+def _(spark, sf):
+    warm = event_stream(spark, sf, S.STEPS).filter(F.col("ts") >= F.lit("2024-01-02 00:00:00").cast("timestamp_ntz"))
+    totals = warm.groupBy("rank").agg(F.sum("batch_size").alias("records"), F.sum("num_bytes").alias("num_bytes"))
+    path = feeds.run_to_files(totals, fresh_dir(spark, "feed"), mode="update")
+    return feeds.latest_per_key(spark, path, ["rank"])
+
+
+@query(
+    "t05_rolling_2_minute_average",
+    f"""WITH {S.EVENTS_CTE} SELECT time_bucket(INTERVAL '10 seconds', ts) - to_seconds(10 * i) AS window_start, avg(cents) AS average
+    FROM ev, range(12) t(i) GROUP BY 1""",
+)
+def _(spark, sf):
+    rolled = feeds.windowed(event_stream(spark, sf), "at", "2 minutes", [], [F.avg("cents").alias("average")], slide="10 seconds")
+    path = feeds.run_to_files(rolled, fresh_dir(spark, "feed"), mode="update")
+    return feeds.latest_per_key(spark, path, ["window_start"])
+
+
+@query(
+    "t06_top_20_per_window",
+    f"""WITH {S.EVENTS_CTE}, w AS (SELECT time_bucket(INTERVAL '6 hours', ts) AS window_start, user_id, avg(cents) AS load FROM ev GROUP BY 1, 2)
+    SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY window_start ORDER BY load DESC, user_id) <= 20""",
+)
+def _(spark, sf):
+    path = feeds.windowed_load(event_stream(spark, sf), fresh_dir(spark, "feed"), "at", "6 hours", ["user_id"], "cents")
+    loads = feeds.latest_per_key(spark, path, ["window_start", "user_id"])
+    return first_n_per_group(loads, ["window_start"], [F.desc("load"), "user_id"], 20)
+
+
+MOUNT = "CASE WHEN user_id % 4 = 0 THEN '/proc/fs' WHEN user_id % 4 = 1 THEN '/processed' WHEN user_id % 4 = 2 THEN '/dev' ELSE '/mnt/data' END"
+
+
+@query(
+    "t07_dropped_mount_points",
+    f"""SELECT event_id, mount FROM (SELECT event_id, {MOUNT} AS mount FROM events)
+    WHERE NOT regexp_matches(mount, '^/(sys|cgroup|proc|dev|etc|host|lib)($|/)')""",
+)
+def _(spark, sf):
+    stream = event_stream(spark, sf, extra=[f"{MOUNT} AS mount"]).select("event_id", "mount")
+    kept = stream.filter(feeds.unmatched("mount", r"^/(sys|cgroup|proc|dev|etc|host|lib)($|/)"))
+    return spark.read.parquet(feeds.run_to_files(kept, fresh_dir(spark, "feed"))).drop("batch")
+
+
+@query("t08_events_without_repeats", "SELECT event_id, user_id, CAST(round(value * 100) AS DOUBLE) AS cents FROM events")
+def _(spark, sf):
+    twice = event_stream(spark, sf).withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("copy")
+    once = feeds.first_seen(twice.select("event_id", "user_id", "cents", "at"), "at", ["event_id"])
+    return spark.read.parquet(feeds.run_to_files(once, fresh_dir(spark, "feed"))).drop("batch", "at")

@@ -166,15 +166,14 @@ def ordered_positions(
     """0-based position of every row in the global order, exact and without a global window.
 
     Range partitions are sorted on their own and checkpointed, so that the partition a row is in
-    is fixed; then each partition starts where the ones before it end.
+    is fixed; then each partition starts where the ones before it end. Without ``partitions`` small
+    neighbouring ranges are merged at run time.
     """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ensure_checkpoint_dir(df.sparkSession)
+    ranged = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
     low_bits = (1 << 33) - 1
     placed = (
-        df.repartitionByRange(parts, *order)
-        .sortWithinPartitions(*order)
+        ranged.sortWithinPartitions(*order)
         .withColumn("__part", F.spark_partition_id())
         .withColumn("__row", F.monotonically_increasing_id().bitwiseAND(F.lit(low_bits)))
         .checkpoint()

@@ -88,10 +88,11 @@ def counter_feed(
     return run_to_files(stream, out, each=step)
 
 
-def top_per_window(
-    stream: DataFrame, out: str, t: str, size: str, keys: Sequence[str], value: str, n: int = 20, delay: str = WATERMARK
+def windowed_load(
+    stream: DataFrame, out: str, t: str, size: str, keys: Sequence[str], value: str, delay: str = WATERMARK
 ) -> str:
-    """The ``n`` keys with the highest average per window, from an update-mode aggregate."""
+    """Average ``load`` per window and key, as update-mode files. A top-n of it is only final over
+    the latest row of every key, so it is taken from those files and not inside a micro-batch."""
     totals = windowed(stream, t, size, keys, [F.avg(value).alias("load")], delay=delay)
     return run_to_files(totals, out, mode="update")
 

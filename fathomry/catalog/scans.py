@@ -70,7 +70,9 @@ def _result_lines(spark, sf):
     """JSON line per run; every 50th is cut short."""
     runs = S.training_runs(spark, sf).withColumn("k", F.regexp_extract("test_uuid", r"(\d+)", 1).cast("bigint"))
     line = F.to_json(F.struct(*[c for c in runs.columns if c != "k"]))
-    return runs.select(F.when(F.col("k") % 50 == 0, F.substring(line, 1, 20)).otherwise(line).alias("value"))
+    lines = runs.select(F.when(F.col("k") % 50 == 0, F.substring(line, 1, 20)).otherwise(line).alias("value"))
+    # bzip2 is slow to write; the lines of one input split are spread over the cores.
+    return lines.repartition(spark.sparkContext.defaultParallelism)
 
 
 @query(

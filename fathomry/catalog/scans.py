@@ -172,8 +172,7 @@ def _(spark, sf):
 def _(spark, sf):
     path = fresh_dir(spark, "labels")
     names = S.images(spark, sf).select("synset").distinct()
-    # One file: the list of classes is as long as the number of brands, not of images.
-    names.coalesce(1).sortWithinPartitions("synset").write.text(path)
+    names.orderBy("synset").write.text(path)
     return readers.read_label_list(spark, path).select("synset", "label")
 
 
@@ -237,18 +236,20 @@ def _(spark, sf):
     return readers.read_step_log(spark, path).select("rank", "hostname", "step", "num_bytes", "latency_sec", "ts")
 
 
-LOG_SQL = f"""lines AS (SELECT unnest(string_split(text, {S.NL})) AS line FROM documents)"""
-
-
+# In each file the numbers are 0 .. n - 1, whatever files the text came to lie in.
 @query(
     "s21_numbered_log_lines",
-    f"WITH {LOG_SQL} SELECT count(*) AS lines, CAST(count(*) * (count(*) - 1) // 2 AS BIGINT) AS line_no_sum FROM lines",
+    f"""WITH lines AS (SELECT unnest(string_split(text, {S.NL})) AS line FROM documents)
+    SELECT count(*) AS lines, CAST(sum(strlen(line)) AS BIGINT) AS num_bytes, 0::BIGINT AS gaps FROM lines""",
 )
 def _(spark, sf):
     path = fresh_dir(spark, "log")
-    table(spark, sf, "documents").coalesce(1).select("text").write.text(path)
-    lines = readers.read_lines(spark, path)
-    return lines.agg(F.count(F.lit(1)).alias("lines"), F.sum("line_no").alias("line_no_sum"))
+    table(spark, sf, "documents").select("text").write.text(path)
+    per_file = readers.read_lines(spark, path).groupBy("file").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("value")).alias("b"), F.sum("line_no").alias("s"), F.max("line_no").alias("m")
+    )
+    gap = F.abs(F.col("s") - F.expr("n * (n - 1) div 2")) + F.abs(F.col("m") - F.col("n") + 1)
+    return per_file.agg(F.sum("n").alias("lines"), F.sum("b").alias("num_bytes"), F.sum(gap).alias("gaps"))
 
 
 @query(

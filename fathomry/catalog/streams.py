@@ -28,7 +28,7 @@ def event_stream(spark, sf, items=S.EVENTS, extra=()):
 def _(spark, sf):
     keys = ["device", "port", "counter_name"]
     stream = event_stream(spark, sf, S.PORTS).select("event_id", *keys, "t", "counter")
-    path = feeds.counter_feed(stream, fresh_dir(spark, "feed"), keys, "t", "counter", unit=1.0, width=86400.0)
+    path = feeds.counter_feed(stream, fresh_dir(spark, "feed"), keys, "t", "counter", unit=1.0)
     return spark.read.parquet(path).drop("batch", "counter")
 
 

@@ -58,7 +58,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     ports = S.ports(spark, sf).select("event_id", *PORT, "t", "counter")
-    return series.port_rate_gbps(ports, PORT, width=86400.0).drop("counter")
+    return series.port_rate_gbps(ports, PORT).drop("counter")
 
 
 @query(
@@ -68,7 +68,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     ports = S.ports(spark, sf).select("event_id", *PORT, "t", "rate_gbps")
-    return series.running_max(ports, PORT, "t", "rate_gbps", 86400.0, "max_rate").drop("t", "rate_gbps")
+    return series.running_max(ports, PORT, "t", "rate_gbps", "max_rate").drop("t", "rate_gbps")
 
 
 @query(
@@ -82,7 +82,7 @@ def _(spark, sf):
 def _(spark, sf):
     ev = S.events(spark, sf).select("event_id", "event_type", "t_us", "counter")
     return series.counter_rate(
-        ev, ["event_type"], "t_us", "counter", unit=1e6, width=DAY, lookback=5 * MINUTE, resets=True
+        ev, ["event_type"], "t_us", "counter", unit=1e6, lookback=5 * MINUTE, resets=True
     ).drop("counter")
 
 
@@ -100,7 +100,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     ev = S.events(spark, sf).select("event_type", "t_us", "counter")
-    return series.irate_at_step(ev, ["event_type"], "t_us", "counter", MINUTE, 5 * MINUTE, 1e6, width=DAY)
+    return series.irate_at_step(ev, ["event_type"], "t_us", "counter", MINUTE, 5 * MINUTE, 1e6)
 
 
 @query(
@@ -110,7 +110,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     ev = S.events(spark, sf).select("event_id", "event_type", "t_us", "cents")
-    return series.avg_over_time(ev, ["event_type"], "t_us", "cents", 2 * MINUTE, "average", width=DAY).select("event_id", "average")
+    return series.avg_over_time(ev, ["event_type"], "t_us", "cents", 2 * MINUTE, "average").select("event_id", "average")
 
 
 @query(
@@ -176,7 +176,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     steps = S.steps(spark, sf).select("rank", "step", "t_us", "batch_size", "num_bytes")
-    return series.cumulative_steps(steps, "t_us", DAY, unit=1e6, width=DAY).drop("t_us", "batch_size", "num_bytes")
+    return series.cumulative_steps(steps, "t_us", DAY, unit=1e6).drop("t_us", "batch_size", "num_bytes")
 
 
 RUN_MEANS = f"""{S.TRAINING_CTE}, means AS (SELECT model, np, coalesce(storage_type, '0') AS storage_type,
@@ -261,7 +261,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     ev = S.events(spark, sf).filter(F.col("grp").rlike("^(?:dgx|mgmt)$")).select("instance", "grp", "t_us", "counter")
-    rated = series.counter_rate(ev, ["instance", "grp"], "t_us", "counter", 1e6, width=DAY, lookback=360 * MINUTE, resets=True)
+    rated = series.counter_rate(ev, ["instance", "grp"], "t_us", "counter", 1e6, lookback=360 * MINUTE, resets=True)
     hour = 60 * MINUTE
     return rated.groupBy("grp", "instance", (F.floor(F.col("t_us") / hour) * hour).alias("step_t")).agg(
         F.round(1.0 - F.avg("rate"), 9).alias("busy")

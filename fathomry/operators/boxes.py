@@ -13,7 +13,7 @@ COORDS = ["xmin", "ymin", "xmax", "ymax"]
 def int_of(text: str | Column) -> Column:
     """Integer part of a number written as text, e.g. ``'12.7'``; a missing value reads as -1."""
     col = F.col(text) if isinstance(text, str) else text
-    return F.coalesce(col.try_cast("double").cast("int"), F.lit(-1))
+    return F.coalesce(col.try_cast("double").try_cast("int"), F.lit(-1))
 
 
 def annotation_boxes(annotations: DataFrame) -> DataFrame:

@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from fathomry.session import ensure_checkpoint_dir
 
 MICROS = 1_000_000
-HOUR = 3600 * MICROS
+
+# Rows of one series a task should meet at most.
+CHUNK_ROWS = 2_000_000
 
 
 def micros(ts: str | Column) -> Column:
@@ -25,6 +27,24 @@ def micros(ts: str | Column) -> Column:
     return F.unix_micros(col.cast("timestamp"))
 
 
+def fit_width(df: DataFrame, keys: Sequence[str], order: str, rows: int = CHUNK_ROWS) -> float:
+    """Chunk width at which the densest chunk of the densest series holds about ``rows`` rows.
+
+    Runs one aggregate over ``order``, and a second one over keys and order when the frame is large.
+    Both combine map-side.
+    """
+    low, high, total = df.agg(F.min(order), F.max(order), F.count(order)).first()
+    if not total or high == low:
+        return 1.0
+    span = float(high - low)
+    if total <= rows:
+        return span + 1.0
+    cell = span / 1024
+    cells = df.groupBy(*keys, F.floor((F.col(order) - F.lit(low)) / F.lit(cell)).alias("__cell")).count()
+    densest = cells.agg(F.max("count")).first()[0]
+    return max(cell * rows / densest, span / 1_000_000)
+
+
 def _slot(keys: Sequence[str], order: str, width: float) -> Column:
     # One struct, so that null keys compare equal in the join without extra key columns.
     chunk = F.floor(F.col(order) / F.lit(width)).alias("chunk")
@@ -42,13 +62,15 @@ def previous_row(
     keys: Sequence[str],
     order: str,
     carry: Mapping[str, str],
-    width: float,
+    width: float | None = None,
     ties: Sequence[str] = (),
 ) -> DataFrame:
     """``lag`` by one row within ``keys``; ``carry`` maps each new column to its source.
 
-    ``ties`` makes the order total where ``order`` alone is not unique within a series.
+    ``ties`` makes the order total where ``order`` alone is not unique within a series. Without
+    ``width`` the chunks are fitted to the data.
     """
+    width = width or fit_width(df, keys, order)
     tagged = df.withColumn("__slot", _slot(keys, order, width))
     rank = F.struct(order, *ties) if ties else F.col(order)
     inside = Window.partitionBy("__slot").orderBy(order, *ties)
@@ -79,10 +101,11 @@ def running(
     keys: Sequence[str],
     order: str,
     measures: Mapping[str, tuple[str, str]],
-    width: float,
+    width: float | None = None,
     ties: Sequence[str] = (),
 ) -> DataFrame:
     """Cumulative ``sum`` or ``max`` up to each row; ``measures`` maps output to (how, source)."""
+    width = width or fit_width(df, keys, order)
     aggs = {"sum": F.sum, "max": F.max}
     tagged = df.withColumn("__slot", _slot(keys, order, width))
     inside = (
@@ -116,48 +139,44 @@ def running(
     )
 
 
+def _with_halo(df: DataFrame, keys: Sequence[str], order: str, span: float, width: float | None) -> DataFrame:
+    """Give every row its chunk, and a copy in the next chunk if it can still be in a frame there.
+
+    A frame then never needs a second chunk. Chunks are at least ``span`` wide, so a row has one
+    extra copy at most.
+    """
+    width = max(width or fit_width(df, keys, order), span)
+    own = F.floor(F.col(order) / F.lit(width))
+    reach = F.floor((F.col(order) + F.lit(span)) / F.lit(width))
+    return df.withColumn("__own", own).withColumn("__chunk", F.explode(F.sequence("__own", reach)))
+
+
+def _without_halo(df: DataFrame) -> DataFrame:
+    return df.filter(F.col("__chunk") == F.col("__own")).drop("__own", "__chunk")
+
+
 def trailing(
     df: DataFrame,
     keys: Sequence[str],
     order: str,
-    span: int,
+    span: float,
     measures: Mapping[str, Column],
-    width: int | None = None,
+    width: float | None = None,
 ) -> DataFrame:
-    """Window functions over the rows of the last ``span`` units, both ends included.
-
-    Every row also visits the following chunk when it can still be in a frame there, so a frame
-    never needs a second chunk and there is no join. With ``width >= span`` that is at most one
-    extra copy of a row.
-    """
-    width = max(width or 0, span)
-    chunk = F.floor(F.col(order) / F.lit(width))
-    reach = F.floor((F.col(order) + F.lit(span)) / F.lit(width))
-    spread = df.withColumn("__own", chunk).withColumn("__chunk", F.explode(F.sequence("__own", reach)))
-    frame = Window.partitionBy(*keys, "__chunk").orderBy(order)
-    ranged = frame.rangeBetween(-span, Window.currentRow)
-    return (
-        spread.withColumns({out: agg.over(ranged) for out, agg in measures.items()})
-        .filter(F.col("__chunk") == F.col("__own"))
-        .drop("__own", "__chunk")
-    )
+    """Window functions over the rows of the last ``span`` units, both ends included."""
+    frame = Window.partitionBy(*keys, "__chunk").orderBy(order).rangeBetween(-span, Window.currentRow)
+    spread = _with_halo(df, keys, order, span, width)
+    return _without_halo(spread.withColumns({out: agg.over(frame) for out, agg in measures.items()}))
 
 
 def trailing_previous(
-    df: DataFrame, keys: Sequence[str], order: str, span: int, carry: Mapping[str, str], width: int | None = None
+    df: DataFrame, keys: Sequence[str], order: str, span: float, carry: Mapping[str, str], width: float | None = None
 ) -> DataFrame:
     """``lag`` by one row that only has to look back ``span`` units; null further back."""
-    width = max(width or 0, span)
-    chunk = F.floor(F.col(order) / F.lit(width))
-    reach = F.floor((F.col(order) + F.lit(span)) / F.lit(width))
-    spread = df.withColumn("__own", chunk).withColumn("__chunk", F.explode(F.sequence("__own", reach)))
     frame = Window.partitionBy(*keys, "__chunk").orderBy(order)
     near = F.col(order) - F.lag(order).over(frame) <= F.lit(span)
-    return (
-        spread.withColumns({out: F.when(near, F.lag(src).over(frame)) for out, src in carry.items()})
-        .filter(F.col("__chunk") == F.col("__own"))
-        .drop("__own", "__chunk")
-    )
+    spread = _with_halo(df, keys, order, span, width)
+    return _without_halo(spread.withColumns({out: F.when(near, F.lag(src).over(frame)) for out, src in carry.items()}))
 
 
 def ordered_positions(
@@ -193,6 +212,8 @@ def shuffled_positions(
 ) -> DataFrame:
     """Repeatable shuffle: position of each row in the order of ``md5(key:seed)``, and the row total.
 
+    ``key`` identifies a row; two rows with one key fail the job, as their order would be open.
+
     The leading hex digits make evenly filled buckets; a bucket is ranked on its own and starts
     after the buckets before it. The summary has at most ``16 ** hex_digits`` rows.
     """
@@ -206,8 +227,11 @@ def shuffled_positions(
         F.sum("__n").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias(total),
     )
     inside = Window.partitionBy("__bucket").orderBy("__digest", key)
+    number = F.when(
+        F.lag(key).over(inside) == F.col(key), F.raise_error(F.concat(F.lit("key is not unique: "), F.col(key).cast("string")))
+    ).otherwise(F.row_number().over(inside) - 1)
     return (
-        hashed.withColumn("__row", F.row_number().over(inside) - 1)
+        hashed.withColumn("__row", number)
         .join(starts, "__bucket")
         .withColumn(position, F.col("__start") + F.col("__row"))
         .select(*df.columns, position, total)

@@ -1,6 +1,8 @@
 """Counters and labelled metrics: rates, running values, rolling averages, values on a time grid.
 
-``t`` columns are numeric (seconds as double, or microseconds as bigint).
+``t`` columns are numeric (seconds as double, or microseconds as bigint). ``width`` is the length of
+the time chunks a long series is worked on in; without it the chunks are fitted to the data, which
+runs a small aggregate when the frame is built.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathomry.operators.ordered import HOUR, previous_row, running, trailing, trailing_previous
+from fathomry.operators.ordered import fit_width, previous_row, running, trailing, trailing_previous
 
 
 def since_start(df: DataFrame, t: str = "t") -> DataFrame:
@@ -39,8 +41,8 @@ def counter_rate(
     t: str = "t",
     value: str = "counter",
     unit: float = 1.0,
-    width: float = HOUR,
-    lookback: int | None = None,
+    width: float | None = None,
+    lookback: float | None = None,
     resets: bool = False,
     out: str = "rate",
 ) -> DataFrame:
@@ -53,7 +55,7 @@ def counter_rate(
     if lookback is None:
         paired = previous_row(df, keys, t, carry, width)
     else:
-        paired = trailing_previous(df, keys, t, lookback, carry, width=max(int(width), lookback))
+        paired = trailing_previous(df, keys, t, lookback, carry, width)
     delta = F.col(value) - F.col("__v0")
     if resets:
         delta = F.when(F.col(value) < F.col("__v0"), F.col(value)).otherwise(delta)
@@ -71,18 +73,18 @@ GBPS_PER_BYTE = 8e-9
 MB_PER_WORD = 4e-6
 
 
-def port_rate_gbps(df: DataFrame, keys: Sequence[str], t: str = "t", value: str = "counter", width: float = 60.0) -> DataFrame:
+def port_rate_gbps(df: DataFrame, keys: Sequence[str], t: str = "t", value: str = "counter", width: float | None = None) -> DataFrame:
     rated = counter_rate(df, keys, t, value, width=width)
     return rated.withColumn("rate_gbps", F.col("rate") * WORD_BYTES * GBPS_PER_BYTE).drop("rate")
 
 
-def running_max(df: DataFrame, keys: Sequence[str], t: str, value: str, width: float, out: str) -> DataFrame:
+def running_max(df: DataFrame, keys: Sequence[str], t: str, value: str, out: str, width: float | None = None) -> DataFrame:
     return running(df, keys, t, {out: ("max", value)}, width)
 
 
-def avg_over_time(df: DataFrame, keys: Sequence[str], t: str, value: str, span: int, out: str, width: int = HOUR) -> DataFrame:
+def avg_over_time(df: DataFrame, keys: Sequence[str], t: str, value: str, span: float, out: str, width: float | None = None) -> DataFrame:
     """Average of the samples in the closed range [t - span, t], at each sample."""
-    return trailing(df, keys, t, span, {out: F.avg(value)}, width=max(width, span))
+    return trailing(df, keys, t, span, {out: F.avg(value)}, width)
 
 
 def _on_grid(per_step: DataFrame, keys: Sequence[str], step: int, until) -> DataFrame:
@@ -114,10 +116,10 @@ def sample_at_step(df: DataFrame, keys: Sequence[str], t: str, value: str, step:
 
 
 def irate_at_step(
-    df: DataFrame, keys: Sequence[str], t: str, value: str, step: int, span: int, unit: float, width: int = HOUR
+    df: DataFrame, keys: Sequence[str], t: str, value: str, step: int, span: int, unit: float, width: float | None = None
 ) -> DataFrame:
     """Rate from the last two samples of the closed range [step_t - span, step_t] on the grid."""
-    paired = trailing_previous(df, keys, t, span, {"__t0": t, "__v0": value}, width=max(width, span))
+    paired = trailing_previous(df, keys, t, span, {"__t0": t, "__v0": value}, width)
     per_step = paired.groupBy(*keys, _grid_time(t, step).alias("step_t")).agg(
         F.max(t).alias("__t"),
         F.max_by(value, t).alias("__v"),
@@ -158,17 +160,19 @@ def traffic_by_bucket(df: DataFrame, keys: Sequence[str], t: str, inbound: str,
     return both.groupBy("bucket_t").agg(F.sum("rx").alias("inbound"), F.sum("tx").alias("outbound"))
 
 
-def match_with_following(df: DataFrame, keys: Sequence[str], line_no: str, text: str, pattern: str, width: int = 100_000) -> DataFrame:
+def match_with_following(df: DataFrame, keys: Sequence[str], line_no: str, text: str, pattern: str, width: float | None = 100_000) -> DataFrame:
     """Lines that match, and the line after each of them."""
     tagged = df.withColumn("matched", F.coalesce(F.col(text).rlike(pattern), F.lit(False)))
     paired = previous_row(tagged, keys, line_no, {"__after": "matched"}, width)
     return paired.filter(F.col("matched") | F.coalesce(F.col("__after"), F.lit(False))).drop("__after")
 
 
-def cumulative_steps(df: DataFrame, t: str, warmup: float, unit: float = 1.0, width: float = HOUR, ties: Sequence[str] = ("rank", "step")) -> DataFrame:
+def cumulative_steps(df: DataFrame, t: str, warmup: float, unit: float = 1.0, width: float | None = None, ties: Sequence[str] = ("rank", "step")) -> DataFrame:
     """Records and bytes since the end of warm-up, per rank and over all ranks, with MB/s."""
     start = df.agg(F.min(t)).scalar() + F.lit(warmup)
     warm = df.withColumn("__start", start).filter(F.col(t) >= F.col("__start"))
+    # Fitted to all ranks together, so that it suits both passes.
+    width = width or fit_width(df, [], t)
     per_rank = running(
         warm, ["rank"], t,
         {"rank_records": ("sum", "batch_size"), "rank_bytes": ("sum", "num_bytes")}, width, ties=ties[1:],

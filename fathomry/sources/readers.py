@@ -148,12 +148,21 @@ def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     )
 
 
+def read_ordered_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Lines with their 0-based ``position`` over all files, taken in order of their paths."""
+    lines = read_lines(spark, paths)
+    sizes = lines.groupBy("file").agg(F.count(F.lit(1)).alias("__n"))
+    # One row per file.
+    earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("file", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__start"))
+    return lines.join(starts, "file").select("value", (F.col("__start") + F.col("line_no")).alias("position"))
+
+
 def read_label_list(spark: SparkSession, path: str) -> DataFrame:
-    """Ordered class list of one file: (synset, label, line_no); label 0 stays free for background."""
-    return read_lines(spark, path).select(
-        F.trim("value").alias("synset"),
-        (F.col("line_no") + 1).cast("bigint").alias("label"),
-        (F.col("line_no") + 1).cast("bigint").alias("line_no"),
+    """Ordered class list: (synset, label, line_no); label 0 stays free for background."""
+    number = (F.col("position") + 1).cast("bigint")
+    return read_ordered_lines(spark, path).select(
+        F.trim("value").alias("synset"), number.alias("label"), number.alias("line_no")
     )
 
 

@@ -11,7 +11,6 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomry.operators.ordered import HOUR
 from fathomry.operators.series import counter_rate
 
 WATERMARK = "10 minutes"
@@ -64,7 +63,7 @@ def windowed(stream: DataFrame, t: str, size: str, keys: Sequence[str], aggs: Se
 
 
 def counter_feed(
-    stream: DataFrame, out: str, keys: Sequence[str], t: str, value: str, unit: float, width: float = HOUR, **rate
+    stream: DataFrame, out: str, keys: Sequence[str], t: str, value: str, unit: float, width: float | None = None, **rate
 ) -> str:
     """Rates of a live counter feed. State is the last sample of each series.
 

@@ -86,6 +86,6 @@ def test_no_task_holds_the_hot_series(spark, skewed):
 
 def test_running_max_of_a_series(skewed):
     clean = skewed.filter("v IS NOT NULL").dropDuplicates(["k", "t"])
-    got = series.running_max(clean, ["k"], "t", "v", 100, "top")
+    got = series.running_max(clean, ["k"], "t", "v", "top", width=100)
     w = Window.partitionBy("k").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
     assert rows_of(got) == rows_of(clean.withColumn("top", F.max("v").over(w)))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathomry.functions.text import fixed_text
+from fathomry.operators.lookups import spread_join
 
 COORDS = ["xmin", "ymin", "xmax", "ymax"]
 
@@ -63,7 +64,7 @@ def with_foreign_label(boxes: DataFrame, synsets: DataFrame, synset: str = "syns
     """Flag ``foreign``: the box names another class that is itself listed. Unknown text is not foreign."""
     known = synsets.select(F.col(synset).alias(box_label)).distinct().withColumn("__known", F.lit(True))
     foreign = F.coalesce(F.col("__known") & (F.col(box_label) != F.col(synset)), F.lit(False))
-    return boxes.join(known, box_label, "left").withColumn("foreign", foreign).drop("__known")
+    return spread_join(boxes, known, [box_label]).withColumn("foreign", foreign).drop("__known")
 
 
 def drop_foreign_label(boxes: DataFrame, synsets: DataFrame, **names: str) -> DataFrame:
@@ -109,30 +110,46 @@ def collect_boxes(boxes: DataFrame, key: str = "filename", max_boxes: int = 65_5
     """Boxes of each image as a sorted array, duplicates kept: (key, part, boxes).
 
     An image has one row (part 0) unless it holds more than ``max_boxes``; then its boxes are dealt
-    over several parts, so that no array grows with the data. Equal boxes are counted first and a
-    group of copies is cut into pieces, so neither a hot image nor a hot box meets in one task.
+    over several parts, so that no array grows with the data. One count per image, run when the
+    frame is built, tells whether there is such an image.
     """
-    distinct = boxes.groupBy(key, *COORDS).agg(F.count(F.lit(1)).alias("__n"))
-    limit = F.lit(max_boxes)
+    box = F.struct(*COORDS)
     crowded = (
-        distinct.groupBy(key).agg(F.sum("__n").alias("__total")).filter(F.col("__total") > limit)
+        boxes.groupBy(key).agg(F.count(F.lit(1)).alias("__total")).filter(F.col("__total") > max_boxes)
     )
-    parts = F.coalesce(F.ceil(F.col("__total") / limit), F.lit(1))
+
+    def plainly(rows: DataFrame) -> DataFrame:
+        lists = rows.groupBy(key).agg(F.sort_array(F.collect_list(box)).alias("boxes"))
+        return lists.select(key, F.lit(0).alias("part"), "boxes")
+
+    if crowded.isEmpty():
+        return plainly(boxes)
+    few = spread_join(boxes, crowded, [key], "left_anti")
+    return plainly(few).unionByName(_deal_boxes(spread_join(boxes, crowded, [key], "inner"), key, max_boxes))
+
+
+def _deal_boxes(boxes: DataFrame, key: str, max_boxes: int) -> DataFrame:
+    """Box arrays of crowded images (``__total`` boxes each) in parts of about ``max_boxes``.
+
+    Equal boxes are counted first and a group of copies is cut into pieces, so neither a hot image
+    nor a hot box meets in one task.
+    """
+    limit = F.lit(max_boxes)
+    distinct = boxes.groupBy(key, "__total", *COORDS).agg(F.count(F.lit(1)).alias("__n"))
+    parts = F.ceil(F.col("__total") / limit)
     pieces = F.sequence(F.lit(0), F.floor((F.col("__n") - 1) / limit).cast("int"))
     dealt = (
-        distinct.join(crowded, key, "left")
-        .withColumn("__piece", F.explode(pieces))
+        distinct.withColumn("__piece", F.explode(pieces))
         .withColumn("part", F.pmod(F.xxhash64(*COORDS, "__piece"), parts).cast("int"))
         .withColumn("__n", F.least(limit, F.col("__n") - F.col("__piece") * limit).cast("int"))
     )
-    # A box and its copy number: the shuffle carries one row per distinct box and piece.
-    box = F.struct(*COORDS)
-    runs = F.collect_list(F.struct(box.alias("box"), "__n"))
-    gathered = dealt.groupBy(key, "part").agg(F.sort_array(runs).alias("__runs"), F.max("__n").alias("__most"))
-    plain = F.col("__runs.box")
+    runs = F.sort_array(F.collect_list(F.struct(F.struct(*COORDS).alias("box"), "__n")))
     repeated = F.flatten(F.transform("__runs", lambda r: F.array_repeat(r["box"], r["__n"])))
-    return gathered.select(
-        key, "part", F.when(F.col("__most") == 1, plain).otherwise(repeated).alias("boxes")
+    return (
+        dealt.repartition(key, "part")
+        .groupBy(key, "part")
+        .agg(runs.alias("__runs"))
+        .select(key, "part", repeated.alias("boxes"))
     )
 
 

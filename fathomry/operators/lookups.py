@@ -9,6 +9,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def spread_join(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left", null_safe: bool = False
+) -> DataFrame:
+    """Join to an aggregate (or distinct) of the same keys, so that a hot key can be split.
+
+    Spark splits a skewed join partition only where both sides come straight from a shuffle. An
+    aggregate by the join keys is already partitioned by them, so its side would not be shuffled
+    again. The hash as one more key asks for that shuffle; it is equal whenever the keys are.
+    """
+    names = {k: f"__r_{k}" for k in keys}
+    tagged = left.withColumn("__lh", F.xxhash64(*keys))
+    other = right.withColumn("__rh", F.xxhash64(*keys)).withColumnsRenamed(names)
+    same = F.col("__lh") == F.col("__rh")
+    for k in keys:
+        mine, theirs = F.col(k), F.col(names[k])
+        same = same & (mine.eqNullSafe(theirs) if null_safe else mine == theirs)
+    return tagged.join(other, same, how).drop("__lh", "__rh", *names.values())
+
+
 def replace_from(df: DataFrame, mapping: DataFrame, key: str, new: str) -> DataFrame:
     """Replace ``key`` by the mapped ``new``; a key the mapping lacks becomes null."""
     return df.join(mapping, key, "left").withColumn(key, F.col(new)).drop(new)

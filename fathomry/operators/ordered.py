@@ -46,7 +46,8 @@ def fit_width(df: DataFrame, keys: Sequence[str], order: str, rows: int = CHUNK_
 
 
 def _slot(keys: Sequence[str], order: str, width: float) -> Column:
-    # One struct, so that null keys compare equal in the join without extra key columns.
+    # One struct: null keys compare equal in the join, and a frame that is already partitioned by
+    # the keys is still spread over its chunks.
     chunk = F.floor(F.col(order) / F.lit(width)).alias("chunk")
     return F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], chunk)
 
@@ -148,11 +149,12 @@ def _with_halo(df: DataFrame, keys: Sequence[str], order: str, span: float, widt
     width = max(width or fit_width(df, keys, order), span)
     own = F.floor(F.col(order) / F.lit(width))
     reach = F.floor((F.col(order) + F.lit(span)) / F.lit(width))
-    return df.withColumn("__own", own).withColumn("__chunk", F.explode(F.sequence("__own", reach)))
+    spread = df.withColumn("__own", own).withColumn("__chunk", F.explode(F.sequence("__own", reach)))
+    return spread.withColumn("__slot", F.struct(*[F.col(k) for k in keys], "__chunk"))
 
 
 def _without_halo(df: DataFrame) -> DataFrame:
-    return df.filter(F.col("__chunk") == F.col("__own")).drop("__own", "__chunk")
+    return df.filter(F.col("__chunk") == F.col("__own")).drop("__own", "__chunk", "__slot")
 
 
 def trailing(
@@ -164,7 +166,7 @@ def trailing(
     width: float | None = None,
 ) -> DataFrame:
     """Window functions over the rows of the last ``span`` units, both ends included."""
-    frame = Window.partitionBy(*keys, "__chunk").orderBy(order).rangeBetween(-span, Window.currentRow)
+    frame = Window.partitionBy("__slot").orderBy(order).rangeBetween(-span, Window.currentRow)
     spread = _with_halo(df, keys, order, span, width)
     return _without_halo(spread.withColumns({out: agg.over(frame) for out, agg in measures.items()}))
 
@@ -173,7 +175,7 @@ def trailing_previous(
     df: DataFrame, keys: Sequence[str], order: str, span: float, carry: Mapping[str, str], width: float | None = None
 ) -> DataFrame:
     """``lag`` by one row that only has to look back ``span`` units; null further back."""
-    frame = Window.partitionBy(*keys, "__chunk").orderBy(order)
+    frame = Window.partitionBy("__slot").orderBy(order)
     near = F.col(order) - F.lag(order).over(frame) <= F.lit(span)
     spread = _with_halo(df, keys, order, span, width)
     return _without_halo(spread.withColumns({out: F.when(near, F.lag(src).over(frame)) for out, src in carry.items()}))

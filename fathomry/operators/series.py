@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fathomry.operators.lookups import spread_join
 from fathomry.operators.ordered import fit_width, previous_row, running, trailing, trailing_previous
 
 
@@ -24,15 +25,9 @@ def since_start(df: DataFrame, t: str = "t") -> DataFrame:
 def since_series_minimum(df: DataFrame, keys: Sequence[str], value: str = "counter") -> DataFrame:
     """Counter minus the smallest value of its series. The minimum is aggregated map-side and joined
     back, so a hot series is never gathered."""
-    low = df.groupBy(*keys).agg(F.min(value).alias("__low")).withColumnsRenamed({k: f"__k_{k}" for k in keys})
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
-    return (
-        df.join(low, same, "left")
-        .withColumn(value, F.col(value) - F.col("__low"))
-        .select(*df.columns)
-    )
+    low = df.groupBy(*keys).agg(F.min(value).alias("__low"))
+    joined = spread_join(df, low, keys, null_safe=True)
+    return joined.withColumn(value, F.col(value) - F.col("__low")).select(*df.columns)
 
 
 def counter_rate(

@@ -116,4 +116,7 @@ def fixed_text(value: str | Column, digits: int = 4) -> Column:
     side = (product - whole - F.lit(0.5)) + error
     up = (side > 0) | ((side == 0) & (whole % 2 == 1))
     units = whole + up.cast("bigint")
-    return F.format_string(f"%d.%0{digits}d", F.floor(units / scale), units % F.lit(10**digits))
+    # String functions here are several times faster than ``format_string``.
+    cut = F.lit(10**digits)
+    fraction = F.lpad((units % cut).cast("string"), digits, "0")
+    return F.concat(F.floor(units / cut).cast("string"), F.lit("."), fraction)

@@ -82,18 +82,31 @@ def fill_defaults(df: DataFrame, defaults: Mapping[str, Any]) -> DataFrame:
     )
 
 
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _literal(value: Any) -> str:
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return str(value)
+
+
 def _fill(df: DataFrame, pick) -> DataFrame:
-    cols = []
+    # SQL text: one call per wide frame instead of several per column.
+    items = []
     for field in df.schema.fields:
-        value = pick(field.dataType)
-        c = F.col(f"`{field.name}`")
-        cols.append(c if value is None else F.coalesce(c, F.lit(value).cast(field.dataType)).alias(field.name))
-    return df.select(*cols)
+        value, c = pick(field.dataType), _quoted(field.name)
+        filled = f"coalesce({c}, CAST({_literal(value)} AS {field.dataType.simpleString()}))"
+        items.append(c if value is None else f"{filled} AS {c}")
+    return df.selectExpr(*items)
 
 
 def as_float32(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    chosen = set(df.columns if columns is None else columns)
-    return df.select(*[F.col(c).cast("float").alias(c) if c in chosen else F.col(c) for c in df.columns])
+    names = df.columns
+    chosen = set(names if columns is None else columns)
+    quoted = {c: _quoted(c) for c in names}
+    return df.selectExpr(*[f"CAST({q} AS FLOAT) AS {q}" if c in chosen else q for c, q in quoted.items()])
 
 
 def features_except(df: DataFrame, label: str) -> list[str]:

@@ -8,13 +8,15 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-# AQE splits skewed join sides even where that costs one more shuffle.
+# AQE splits skewed join sides even where that costs one more shuffle. The JVM does not compile
+# methods above 8000 bytes, so wide projections run faster outside one whole-stage method.
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

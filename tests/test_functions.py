@@ -112,3 +112,8 @@ def test_label_by_file_number(spark):
     files = spark.createDataFrame([("val_000000002.JPEG",), ("val_7.JPEG",)], "filename string")
     labels = spark.createDataFrame([(1, "n1"), (2, "n2")], "line_no bigint, synset string")
     assert {(r.filename, r.synset) for r in lookups.label_by_file_number(files, labels).collect()} == {("val_000000002.JPEG", "n2"), ("val_7.JPEG", None)}
+
+
+def test_fill_text_is_taken_as_it_is(spark):
+    df = spark.createDataFrame([(None,)], "`odd ``name` string")
+    assert sel.fill_by_type(df, text="it's \\ \"so\"").collect()[0][0] == "it's \\ \"so\""

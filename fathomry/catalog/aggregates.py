@@ -166,11 +166,11 @@ def _(spark, sf):
 @query(
     "a14_total_and_average_by_step",
     f"""WITH {S.EVENTS_CTE} SELECT t_us // 3600000000 * 3600000000 AS step_t, instance, sum(cents) AS total, avg(cents) AS average
-    FROM ev WHERE grp IN ('dgx', 'mgmt') GROUP BY 1, 2""",
+    FROM ev WHERE grp IN ('gpu', 'mgmt') GROUP BY 1, 2""",
 )
 def _(spark, sf):
     hour = 3_600_000_000
-    samples = S.metrics(spark, sf).filter(label_matches("labels", "group", "dgx|mgmt"))
+    samples = S.metrics(spark, sf).filter(label_matches("labels", "group", "gpu|mgmt"))
     step = (F.floor(F.col("t_us") / hour) * hour).alias("step_t")
     return samples.groupBy(step, F.col("labels")["instance"].alias("instance")).agg(
         F.sum("value").alias("total"), F.avg("value").alias("average")

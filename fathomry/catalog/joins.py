@@ -41,7 +41,9 @@ per_loan AS (SELECT e.*, coalesce(delinquency_30, DATE '1970-01-01') AS delinque
 )
 def _(spark, sf):
     per_loan = loans.ever_and_first_delinquency(S.performance(spark, sf))
-    return per_loan.filter(F.col("ever_30") == 1).drop("ever_30", "ever_90", "ever_180")
+    late = per_loan.filter(F.col("ever_30") == 1).drop("ever_30", "ever_90", "ever_180")
+    # At this stage a late loan with no dated month still has no first date; the fill comes after.
+    return late.withColumn("delinquency_30", F.nullif("delinquency_30", F.lit(loans.NO_DATE).cast("date")))
 
 
 @query("j03_ever_and_dates", f"WITH {S.PERF_CTE}, {DELINQUENCY_SQL} SELECT * FROM per_loan")

@@ -72,14 +72,14 @@ def _(spark, sf):
     "p08_label_matchers",
     f"""WITH {S.EVENTS_CTE} SELECT event_id, instance FROM ev
     WHERE NOT regexp_full_match(coalesce(device, ''), 'veth.*|lo')
-      AND regexp_full_match(coalesce(device, ''), 'enp134s0.*|enp12s0.*') AND grp = 'dgx'""",
+      AND regexp_full_match(coalesce(device, ''), 'enp134s0.*|enp12s0.*') AND grp = 'gpu'""",
 )
 def _(spark, sf):
     m = S.metrics(spark, sf)
     kept = m.filter(
         ~sel.label_matches("labels", "device", "veth.*|lo")
         & sel.label_matches("labels", "device", "enp134s0.*|enp12s0.*")
-        & sel.label_is("labels", "group", "dgx")
+        & sel.label_is("labels", "group", "gpu")
     )
     return kept.select("event_id", F.col("labels")["instance"].alias("instance"))
 

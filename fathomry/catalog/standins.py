@@ -103,7 +103,7 @@ EVENTS = [
     ("counter", f"CAST(event_id % 700 * 1000 + {CENTS} % 1000 AS DOUBLE)"),
     ("sent", f"CAST(event_id % 900 * 500 + {CENTS} % 500 AS DOUBLE)"),
     ("instance", "'host' || CAST(user_id % 8 AS VARCHAR(9))"),
-    ("grp", "CASE WHEN user_id % 3 = 0 THEN 'dgx' WHEN user_id % 3 = 1 THEN 'mgmt' ELSE 'lab' END"),
+    ("grp", "CASE WHEN user_id % 3 = 0 THEN 'gpu' WHEN user_id % 3 = 1 THEN 'mgmt' ELSE 'lab' END"),
     (
         "device",
         "CASE WHEN event_type = 'click' THEN 'enp12s0f0' WHEN event_type = 'view' THEN 'enp134s0f1' "

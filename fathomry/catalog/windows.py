@@ -254,13 +254,13 @@ def _(spark, sf):
 @query(
     "w06_idle_share_by_group",
     f"""WITH {S.EVENTS_CTE}, p AS (SELECT *, lag(t_us) OVER w AS t0, lag(counter) OVER w AS v0 FROM ev
-      WHERE grp IN ('dgx', 'mgmt') WINDOW w AS (PARTITION BY instance, grp ORDER BY t_us)),
+      WHERE grp IN ('gpu', 'mgmt') WINDOW w AS (PARTITION BY instance, grp ORDER BY t_us)),
     r AS (SELECT instance, grp, t_us // 3600000000 * 3600000000 AS step_t,
       (CASE WHEN counter < v0 THEN counter ELSE counter - v0 END) / ((t_us - t0) / 1e6) AS rate FROM p WHERE t_us - t0 <= 21600000000)
     SELECT grp, instance, step_t, round(1 - avg(rate), 9) AS busy FROM r GROUP BY 1, 2, 3""",
 )
 def _(spark, sf):
-    ev = S.events(spark, sf).filter(F.col("grp").rlike("^(?:dgx|mgmt)$")).select("instance", "grp", "t_us", "counter")
+    ev = S.events(spark, sf).filter(F.col("grp").rlike("^(?:gpu|mgmt)$")).select("instance", "grp", "t_us", "counter")
     rated = series.counter_rate(ev, ["instance", "grp"], "t_us", "counter", 1e6, lookback=360 * MINUTE, resets=True)
     hour = 60 * MINUTE
     return rated.groupBy("grp", "instance", (F.floor(F.col("t_us") / hour) * hour).alias("step_t")).agg(

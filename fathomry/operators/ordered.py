@@ -210,7 +210,7 @@ def ordered_positions(
 
 
 def shuffled_positions(
-    df: DataFrame, key: str, seed: int, position: str = "position", total: str = "total", hex_digits: int = 3
+    df: DataFrame, key: str, seed: int, position: str = "position", total: str = "total", hex_digits: int = 4
 ) -> DataFrame:
     """Repeatable shuffle: position of each row in the order of ``md5(key:seed)``, and the row total.
 

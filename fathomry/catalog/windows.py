@@ -103,6 +103,23 @@ def _(spark, sf):
     return series.irate_at_step(ev, ["event_type"], "t_us", "counter", MINUTE, 5 * MINUTE, 1e6)
 
 
+@query(
+    "a14_sum_of_irate_by_step",
+    f"""WITH {S.EVENTS_CTE}, p AS (SELECT instance, event_type, t_us, counter, lag(t_us) OVER w AS t0, lag(counter) OVER w AS v0 FROM ev
+      WINDOW w AS (PARTITION BY instance, event_type ORDER BY t_us)),
+    grid AS (SELECT instance, event_type, unnest(generate_series(min(t_us) // 600000000 * 600000000, max(t_us) + 7800000000, 600000000)) AS step_t
+      FROM ev GROUP BY 1, 2),
+    r AS (SELECT g.instance, g.step_t, (CASE WHEN p.counter < p.v0 THEN p.counter ELSE p.counter - p.v0 END) / ((p.t_us - p.t0) / 1e6) AS irate
+      FROM grid g ASOF JOIN p ON g.instance = p.instance AND g.event_type = p.event_type AND g.step_t >= p.t_us
+      WHERE p.t0 >= g.step_t - 7200000000)
+    SELECT instance, step_t, round(sum(irate), 9) AS total, count(*) AS series FROM r GROUP BY 1, 2""",
+)
+def _(spark, sf):
+    ev = S.events(spark, sf).select("instance", "event_type", "t_us", "counter")
+    rates = series.irate_at_step(ev, ["instance", "event_type"], "t_us", "counter", 10 * MINUTE, 120 * MINUTE, 1e6)
+    return rates.groupBy("instance", "step_t").agg(F.round(F.sum("irate"), 9).alias("total"), F.count(F.lit(1)).alias("series"))
+
+
 @query(
     "w07_average_over_2_minutes",
     f"""WITH {S.EVENTS_CTE} SELECT event_id, avg(cents) OVER (PARTITION BY event_type ORDER BY t_us

@@ -132,27 +132,33 @@ def irate_at_step(
     )
 
 
-def bucket_derivative(df: DataFrame, keys: Sequence[str], t: str, value: str, bucket: int, unit: float) -> DataFrame:
-    """Largest value per bucket and its change per ``unit`` since the series' previous bucket."""
+def bucket_derivative(
+    df: DataFrame, keys: Sequence[str], t: str, values: Sequence[str], bucket: float, unit: float
+) -> DataFrame:
+    """Largest value per bucket and its change per ``unit`` since the series' previous bucket.
+
+    Columns: keys, ``bucket_t``, and ``<value>_top`` and ``<value>_derivative`` per value.
+    """
     start = (F.floor(F.col(t) / F.lit(bucket)) * F.lit(bucket)).cast("bigint")
-    tops = df.groupBy(*keys, start.alias("bucket_t")).agg(F.max(value).alias("top"))
+    tops = df.groupBy(*keys, start.alias("bucket_t")).agg(*[F.max(v).alias(f"{v}_top") for v in values])
     # One row per series and bucket from here on.
     w = Window.partitionBy(*keys).orderBy("bucket_t")
     elapsed = (F.col("bucket_t") - F.lag("bucket_t").over(w)) / F.lit(unit)
-    return tops.withColumn("derivative", F.try_divide(F.col("top") - F.lag("top").over(w), elapsed))
+    return tops.withColumns(
+        {f"{v}_derivative": F.try_divide(F.col(f"{v}_top") - F.lag(f"{v}_top").over(w), elapsed) for v in values}
+    )
 
 
-def traffic_by_bucket(df: DataFrame, keys: Sequence[str], t: str, inbound: str, outbound: str, bucket: int, unit: float) -> DataFrame:
+def traffic_by_bucket(
+    df: DataFrame, keys: Sequence[str], t: str, inbound: str, outbound: str, bucket: float, unit: float
+) -> DataFrame:
     """Traffic per bucket over all series: inbound falls count as 0, outbound is plotted negative
     and its falls are left out."""
-    rx = bucket_derivative(df, keys, t, inbound, bucket, unit)
-    tx = bucket_derivative(df, keys, t, outbound, bucket, unit)
-    received = F.when(F.col("derivative").isNotNull(), F.greatest(F.col("derivative"), F.lit(0.0)))
-    sent = F.when(F.col("derivative") > 0, -F.col("derivative"))
-    both = rx.select("bucket_t", received.alias("rx"), F.lit(None).cast("double").alias("tx")).unionByName(
-        tx.select("bucket_t", F.lit(None).cast("double").alias("rx"), sent.alias("tx"))
-    )
-    return both.groupBy("bucket_t").agg(F.sum("rx").alias("inbound"), F.sum("tx").alias("outbound"))
+    changes = bucket_derivative(df, keys, t, [inbound, outbound], bucket, unit)
+    rx, tx = F.col(f"{inbound}_derivative"), F.col(f"{outbound}_derivative")
+    received = F.when(rx.isNotNull(), F.greatest(rx, F.lit(0.0)))
+    sent = F.when(tx > 0, -tx)
+    return changes.groupBy("bucket_t").agg(F.sum(received).alias("inbound"), F.sum(sent).alias("outbound"))
 
 
 def match_with_following(df: DataFrame, keys: Sequence[str], line_no: str, text: str, pattern: str, width: float | None = 100_000) -> DataFrame:

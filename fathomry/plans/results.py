@@ -75,7 +75,10 @@ def clean_stage_results(
     A phase counts when its nested result is present and not in error. Where both kinds of first
     phase are present the germline result wins.
     """
-    ok = {p: F.col(f"{p}_result").isNotNull() & ~F.col(f"{p}_result.error") for p in ("fq2bam", "germline", "deepvariant")}
+    ok = {
+        p: F.col(f"{p}_result").isNotNull() & ~F.coalesce(F.col(f"{p}_result.error"), F.lit(False))
+        for p in ("fq2bam", "germline", "deepvariant")
+    }
 
     def first_phase(make) -> Column:
         return F.when(ok["germline"], make("germline_result")).when(ok["fq2bam"], make("fq2bam_result"))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomry.llm import licenses, pieces, token_files, windows
+from fathomry.llm import licenses, order_minhash, personal_data, phrases, pieces, secrets, simhash, token_files, windows
 from fathomry.session import apply_defaults, fresh_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +45,25 @@ def op2(spark, sf):
     return token_files.read_token_files(spark, folder, with_ids=False)
 
 
+@query(
+    "op3_decontamination",
+    r"""WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+    b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+    n AS (SELECT item_id, w, CAST(least(10, len(w)) AS BIGINT) AS k FROM b WHERE len(w) > 0),
+    i AS (SELECT DISTINCT item_id, k, array_to_string(w[s:s + k - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS s FROM n)),
+    g AS (SELECT doc_id, k, s, array_to_string(w[s:s + k - 1], ' ') AS g FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM d CROSS JOIN (SELECT DISTINCT k FROM i) WHERE len(w) >= k)),
+    m AS (SELECT doc_id, item_id, s, k FROM g JOIN i USING (k, g)),
+    h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + k)) AS p FROM m) GROUP BY doc_id),
+    x AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM m) GROUP BY doc_id)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+    sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN h USING (doc_id) LEFT JOIN x USING (doc_id)""",
+)
+def op3(spark, sf):
+    """Words of every document inside windows of test items."""
+    index = phrases.build_index(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return phrases.digest(phrases.hits(index))
+
+
 @query("op4_licenses")
 def op4(spark, sf):
     """Licence wording of every text."""
@@ -67,3 +86,27 @@ def op4(spark, sf):
 def op5(spark, sf):
     """Every text without its repeated windows."""
     return windows.digest(windows.remove_repeats(table(spark, sf, "documents")))
+
+
+@query("op10_order_minhash")
+def op10(spark, sf):
+    """Class of near-duplicates of every document."""
+    return order_minhash.near_duplicates(table(spark, sf, "documents"))
+
+
+@query("op6_secrets")
+def op6(spark, sf):
+    """Secrets in every text."""
+    return secrets.digest(secrets.find_secrets(table(spark, sf, "documents")))
+
+
+@query("op8_simhash")
+def op8(spark, sf):
+    """Fingerprints of every text and of its edited text."""
+    return simhash.with_edited(table(spark, sf, "documents"))
+
+
+@query("op9_personal_data")
+def op9(spark, sf):
+    """Personal data in every text."""
+    return personal_data.digest(personal_data.find_personal_data(table(spark, sf, "documents")))

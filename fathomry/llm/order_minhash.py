@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomry.llm.texts import WordHashes, fold_words, slices, text_bytes
+from fathomry.operators.lookups import spread_join
 from fathomry.session import fresh_dir
 
 WORDS = 5
@@ -205,6 +206,20 @@ def spread_least(edges: DataFrame, folder: str) -> DataFrame:
         classes = new.select("node", "class")
 
 
+WORDED = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+
+
+def _classified(docs: DataFrame, key: str, text: str, **parameters) -> DataFrame:
+    """id, digest (null without words), class (least digest; null without words), n_links of every row."""
+    folder = fresh_dir(docs.sparkSession, "near")
+    edges = links(docs, folder, key, text, **parameters)
+    classes = spread_least(edges.select(F.col("center").alias("a"), F.col("member").alias("b")), folder)
+    ends = edges.select(F.explode(F.array("center", "member")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    rows = _texts(docs, key, text).select("id", F.when(F.col("text").rlike(WORDED), F.col("digest")).alias("digest"))
+    about = classes.join(ends, "node").withColumnRenamed("node", "digest")
+    return spread_join(rows, about, ["digest"]).withColumn("class", F.coalesce("class", "digest"))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **parameters) -> DataFrame:
     """One row per row of ``docs``: key, class_id (least key of its class), class_size, n_links.
 
@@ -213,21 +228,28 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **
     rows that repeat a key are members like any others. Rows without a key can be members; where all of a
     class lack one, class_id is null. An empty table gives no rows. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    folder = fresh_dir(spark, "near")
-    edges = links(docs, folder, key, text, **parameters)
-    classes = spread_least(edges.select(F.col("center").alias("a"), F.col("member").alias("b")), folder)
-    ends = edges.select(F.explode(F.array("center", "member")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    texts = _texts(docs, key, text)
-    worded = F.col("text").rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
-    rows = texts.select("id", F.when(worded, F.col("digest")).alias("digest"))
-    about = classes.join(ends, "node").withColumnRenamed("node", "digest")
-    rows = rows.join(about, "digest", "left").withColumn("class", F.coalesce("class", "digest"))
+    rows = _classified(docs, key, text, **parameters)
     least = rows.filter(F.col("class").isNotNull()).groupBy("class").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    joined = rows.join(least, "class", "left")
+    joined = spread_join(rows, least, ["class"])
     return joined.select(
         F.col("id").alias(key),
         F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("class_size", F.lit(1)).alias("class_size"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
     )
+
+
+def keep_representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", **parameters) -> DataFrame:
+    """All columns of one row per class of near-duplicates: the one with the least key, then the least digest.
+
+    Rows equal in key and text are one. Rows without a key are last choice. Rows with a null text or without
+    words all stay as they are.
+    """
+    rows = _classified(docs, key, text, **parameters)
+    chosen = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest")).alias("best")
+    best = rows.filter(F.col("class").isNotNull()).groupBy("class").agg(chosen).select(F.col("best.id").alias("__id"), F.col("best.digest").alias("__digest"))
+    own = docs.withColumns({"__own": F.col(f"`{key}`").cast("long"), "__text": F.col(f"`{text}`").cast("string")})
+    worded = F.coalesce(F.col("__text").rlike(WORDED), F.lit(False))
+    named = own.withColumn("__sum", F.when(worded, F.unhex(F.md5(F.col("__text").cast("binary"))))).drop("__text")
+    first = named.filter(F.col("__sum").isNotNull()).join(best, F.col("__own").eqNullSafe(F.col("__id")) & (F.col("__sum") == F.col("__digest")), "left_semi").dropDuplicates(["__own", "__sum"])
+    return first.unionByName(named.filter(F.col("__sum").isNull())).select(*[F.col(f"`{c}`") for c in docs.columns])

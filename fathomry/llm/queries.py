@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomry.llm import licenses, order_minhash, personal_data, phrases, pieces, secrets, simhash, token_files, windows
+from fathomry.llm import licenses, order_minhash, personal_data, phrases, pieces, secrets, simhash, token_files, toxicity, windows
 from fathomry.session import apply_defaults, fresh_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,6 +100,14 @@ def op6(spark, sf):
     return secrets.digest(secrets.find_secrets(table(spark, sf, "documents")))
 
 
+@query("op7_toxicity")
+def op7(spark, sf):
+    """Toxicity of every text by a chain fitted on the labels."""
+    docs = table(spark, sf, "documents")
+    chain = toxicity.fit_chain(docs, table(spark, sf, "labels"))
+    return toxicity.score_toxicity(docs.select("doc_id", "text"), chain).drop("text")
+
+
 @query("op8_simhash")
 def op8(spark, sf):
     """Fingerprints of every text and of its edited text."""

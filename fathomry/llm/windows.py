@@ -5,11 +5,12 @@ hashes. One picks the bucket the window is counted in, of the other the upper se
 that the chance of a false repeat per window stays near 1e-11 however large the corpus: buckets hold about
 ``BUCKET`` windows each and grow in number with it.
 
-What is shuffled is packed: a task sends a bucket one row for about ``SLICE`` words, seven bytes a hash and a
-window number of two bytes, besides the documents of the slice. A hash that occurs more often than twice in
-a slice is sent twice, which proves it repeated; its other windows follow as mere numbers. So a passage in a
-third of all documents adds little to its bucket. The bucket sends back (document, starts), and each
-document's starts merge into maximal removal intervals.
+What is shuffled is packed: for each slice of documents a task sends a bucket one row, seven bytes a hash and a
+window number of two bytes. A hash that occurs more often than twice in a slice is sent twice, which proves it
+repeated; its other windows follow as mere numbers. So a passage in a third of all documents adds little to its
+bucket. The bucket sends back the numbers of repeated windows, which meet again by slice; the list of the slice's
+documents travels with one of its rows. Each document's starts then merge into maximal removal intervals.
+A slice is named by its content, so tasks that are run again need not cut the same slices.
 """
 
 from __future__ import annotations
@@ -21,14 +22,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomry.llm.texts import WordHashes, plain_words, slices, text_bytes
 
 WIDTH = 35
-BUCKET = 1_000_000
-SLICE = 12_000_000
+BUCKET = 2_000_000
+SLICE = 8_000_000
 MULTIPLIERS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 NO_KEY = -(1 << 63)
 
@@ -68,7 +70,8 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(data, dtype=f"<u{data[0]}", offset=1).astype(np.int64))
 
 
-SENT = "bucket int, keys binary, sums binary, counts binary, hashes binary, numbers binary, known binary"
+SENT = "bucket int, slice long, about binary, hashes binary, numbers binary, known binary"
+REPLY = "slice long, about binary, numbers binary"
 STARTS = "key long, sum long, starts binary"
 
 
@@ -100,60 +103,66 @@ def _send(buckets: int, width: int):
             third[1:] &= same[:-1]
             third[:1] = False
             bounds = np.searchsorted(b[order], np.arange(buckets + 1))
-            about = (
-                np.diff(np.array(keys, dtype=np.int64), prepend=0).astype("<i8").tobytes(),
-                np.array(sums, dtype="<u4").tobytes(),
-                np.array(counts, dtype="<u4").tobytes(),
-            )
+            about = np.array(keys, dtype="<i8").tobytes() + np.array(sums, dtype="<i8").tobytes() + np.array(counts, dtype="<i8").tobytes()
+            name = xxhash.xxh3_64_intdigest(about) - (1 << 63)
             rows: list[list] = [[] for _ in fields]
             for i in range(buckets):
                 at = order[bounds[i] : bounds[i + 1]]
                 if len(at):
                     more = third[bounds[i] : bounds[i + 1]]
-                    sent, known = np.sort(at[~more]), np.sort(at[more])
+                    kept = at[~more]
+                    sent, known = np.sort(kept), np.sort(at[more])
                     packed = h[sent].astype("<u8").view("u1").reshape(-1, 8)[:, 1:].tobytes()
-                    for column, value in zip(rows, (i, *about, packed, _packed(sent), _packed(known))):
+                    for column, value in zip(rows, (i, name, None if rows[0] else about, packed, _packed(sent), _packed(known))):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int32() if k == "int" else pa.binary()) for v, (_, k) in zip(rows, fields)], names=[n for n, _ in fields])
+            kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+            yield pa.RecordBatch.from_arrays([pa.array(v, kinds[k]) for v, (_, k) in zip(rows, fields)], names=[n for n, _ in fields])
 
     return run
 
 
 def _count(group: pa.Table) -> pa.Table:
-    """Starts of the repeated windows of one bucket, by document."""
-    rows = [dict(zip(group.column_names, r)) for r in zip(*[c.to_pylist() for c in group.columns])]
+    """Numbers of the repeated windows of one bucket, by slice."""
     hashes = []
-    for r in rows:
-        wide = np.zeros((len(r["hashes"]) // 7, 8), dtype="u1")
-        wide[:, 1:] = np.frombuffer(r["hashes"], dtype="u1").reshape(-1, 7)
+    for data in group.column("hashes").to_pylist():
+        wide = np.zeros((len(data) // 7, 8), dtype="u1")
+        wide[:, 1:] = np.frombuffer(data, dtype="u1").reshape(-1, 7)
         hashes.append(wide.view("<u8").ravel())
-    _, place, times = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
-    repeated = times[place] > 1
-    keys, sums, starts, at = [], [], [], 0
-    for r, own in zip(rows, hashes):
-        found = np.concatenate([_unpacked(r["numbers"])[repeated[at : at + len(own)]], _unpacked(r["known"])])
+    whole = np.concatenate(hashes)
+    order = np.argsort(whole)
+    same = whole[order][1:] == whole[order][:-1]
+    repeated = np.zeros(len(whole), dtype=bool)
+    repeated[order[1:][same]] = True
+    repeated[order[:-1][same]] = True
+    out, at = [], 0
+    for own, numbers, known in zip(hashes, group.column("numbers").to_pylist(), group.column("known").to_pylist()):
+        out.append(_packed(np.sort(np.concatenate([_unpacked(numbers)[repeated[at : at + len(own)]], _unpacked(known)]))))
         at += len(own)
-        found.sort()
-        ends = np.cumsum(np.frombuffer(r["counts"], dtype="<u4").astype(np.int64))
-        doc = np.searchsorted(ends, found, side="right")
-        cuts = np.flatnonzero(np.diff(doc, prepend=-1))
-        doc_keys, doc_sums = np.cumsum(np.frombuffer(r["keys"], dtype="<i8")), np.frombuffer(r["sums"], dtype="<u4")
-        for lo, hi in zip(cuts, [*cuts[1:], len(found)]):
-            d = doc[lo]
-            keys.append(int(doc_keys[d]))
-            sums.append(int(doc_sums[d]))
-            starts.append(_packed(found[lo:hi] - (ends[d - 1] if d else 0)))
-    return pa.table({"key": pa.array(keys, pa.int64()), "sum": pa.array(sums, pa.int64()), "starts": pa.array(starts, pa.binary())})
+    return pa.table({"slice": group.column("slice"), "about": group.column("about"), "numbers": pa.array(out, pa.binary())})
+
+
+def _gather(group: pa.Table) -> pa.Table:
+    """Starts of the repeated windows of one slice, by document."""
+    about = np.frombuffer(next(x for x in group.column("about").to_pylist() if x is not None), dtype="<i8").reshape(3, -1)
+    found = np.unique(np.concatenate([_unpacked(x) for x in group.column("numbers").to_pylist()]))
+    ends = np.cumsum(about[2])
+    doc = np.searchsorted(ends, found, side="right")
+    cuts = np.flatnonzero(np.diff(doc, prepend=-1))
+    which = doc[cuts]
+    starts = [_packed(found[lo:hi] - (ends[d - 1] if d else 0)) for d, lo, hi in zip(which, cuts, [*cuts[1:], len(found)])]
+    return pa.table({"key": pa.array(about[0][which]), "sum": pa.array(about[1][which]), "starts": pa.array(starts, pa.binary())})
 
 
 def repeated_windows(docs: DataFrame, width: int = WIDTH, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, sum, starts): for documents with repeated windows, lists of packed starts. ``sum`` is the text's crc32."""
+    """(key, sum, starts): for documents with repeated windows, their packed starts. ``sum`` is the text's crc32."""
     rows = docs.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NO_KEY)).alias("key"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     # About one word in six bytes; one aggregate over the lengths.
     volume = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, math.ceil(volume / 6 / BUCKET))
     sent = rows.mapInArrow(_send(buckets, width), SENT)
-    return sent.groupBy("bucket").applyInArrow(_count, STARTS).groupBy("key", "sum").agg(F.collect_list("starts").alias("starts"))
+    replies = sent.groupBy("bucket").applyInArrow(_count, REPLY)
+    # Rows that are equal in key and text have equal starts.
+    return replies.groupBy("slice").applyInArrow(_gather, STARTS).groupBy("key", "sum").agg(F.max("starts").alias("starts"))
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -169,11 +178,11 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, key: str = "doc_id", tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, n_removed, removed, kept = [], [], [], []
-            for data, packs in zip(text_bytes(batch.column("text")), batch.column("starts").to_pylist()):
+            for data, pack in zip(text_bytes(batch.column("text")), batch.column("starts").to_pylist()):
                 words = plain_words(data)
                 intervals = []
-                if packs:
-                    starts = np.sort(np.concatenate([_unpacked(p) for p in packs]))
+                if pack is not None:
+                    starts = _unpacked(pack)
                     first = np.flatnonzero(np.diff(starts, prepend=-width - 1) > width)
                     last = [*(first[1:] - 1), len(starts) - 1]
                     intervals = list(zip(starts[first].tolist(), (starts[last] + width).tolist()))

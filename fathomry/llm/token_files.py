@@ -30,7 +30,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Most pieces of text whose ids a task remembers.
-REMEMBERED = 700_000
+REMEMBERED = 1_000_000
+
+#: White space beside space and line feed: the ASCII ones, and beginnings of the others in UTF-8.
+ASCII_SPACES = b"\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+WIDE_SPACES = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
 MANIFEST = "part string, documents long, tokens long, id_bytes int"
 
 
@@ -39,7 +43,7 @@ class Encoder:
 
     Byte-level tokenizers split a text before a space that stands alone between two other characters, and
     treat what lies between such places by itself; so ids of the pieces, joined, are ids of the text. Texts
-    with other white space beside a space go to the tokenizer whole.
+    with any other white space than that, or lone line feeds, go to the tokenizer whole.
     """
 
     def __init__(self, path: str):
@@ -78,6 +82,14 @@ class Encoder:
         out.pop()
         return out
 
+    @staticmethod
+    def _plain(text: str) -> bool:
+        """Whether all white space is single spaces and line feeds, each between two other characters."""
+        if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[:1] in " \n" or text[-1] in " \n":
+            return False
+        data = text.encode()
+        return len(data.translate(None, ASCII_SPACES)) == len(data) and (data.isascii() or not any(w in data for w in WIDE_SPACES))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """ids of each text, packed."""
         if len(self._known) > REMEMBERED:
@@ -88,17 +100,12 @@ class Encoder:
         split: list[list[str] | None] = []
         cut: dict[str, list[str]] = {}
         for text in texts:
-            words = text.split(" ") if self.pieces and text else None
+            words = text.split(" ") if self.pieces and self._plain(text) else None
             if words is not None:
-                new = [w for w in words[1:] if w not in known and w not in cut]
-                # White space at either end of a piece would belong to the spaces beside it, and so would an empty piece.
-                if any(not w or w[0].isspace() or w[-1].isspace() or len(w.split()) > 1 + w.count("\n") or "\n\n" in w for w in [words[0], *new]):
-                    words = None
-                else:
-                    cut.update((w, self._parts(" " + w)) for w in new)
-                    words[0] = f"\0{words[0]}"  # the first piece has no space before it
-                    if words[0] not in known:
-                        cut[words[0]] = self._parts(words[0][1:])
+                cut.update((w, self._parts(" " + w)) for w in words[1:] if w not in known and w not in cut)
+                words[0] = f"\0{words[0]}"  # the first piece has no space before it
+                if words[0] not in known:
+                    cut[words[0]] = self._parts(words[0][1:])
             split.append(words)
         if cut:
             parts = list(dict.fromkeys(x for xs in cut.values() for x in xs if x not in known_parts))
@@ -159,7 +166,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     files, root = _open(folder)
     files.create_dir(root, recursive=True)
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("k"), F.col(f"`{text}`").cast("string").alias("t"))
-    parts = rows.repartitionByRange(F.col("k").asc_nulls_first(), F.col("t").asc_nulls_first()).sortWithinPartitions(F.col("k").asc_nulls_first(), F.col("t").asc_nulls_first())
+    parts = rows.repartitionByRange(F.col("k").asc_nulls_first()).sortWithinPartitions(F.col("k").asc_nulls_first(), F.col("t").asc_nulls_first())
     # One row per part: the number of partitions bounds what the driver gets.
     found = sorted(parts.mapInArrow(run, MANIFEST).collect(), key=lambda r: r.part)
     bases = np.cumsum([0, *[r.tokens for r in found]]).tolist()
@@ -208,4 +215,4 @@ def read_token_files(spark: SparkSession, folder: str, with_ids: bool = True) ->
                     yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(columns)])
 
     manifest = spark.read.parquet(f"{folder}/manifest.parquet")
-    return manifest.repartition(F.col("part")).mapInArrow(run, schema)
+    return manifest.repartition(max(1, manifest.count()), F.col("part")).mapInArrow(run, schema)

@@ -9,15 +9,16 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 HEADLINE = [
     "a01_max_rate_by_servicer", "a03_first_delinquency", "a07_max_rate_by_batch", "a09_boxes_per_image",
     "a11_stats_by_parameter", "a14_total_and_average_by_step", "j06_performance_with_monthly_features",
-    "j12_images_with_boxes", "k08_sharded_corpus", "k15_round_robin_files", "m00_loan_training_table",
-    "m01_encoded_text_columns", "m02_cleaned_training_results", "p09_varying_columns", "p13_drop_degenerate_boxes",
-    "r01_unstack", "s01_performance_csv", "s08_result_records", "t01_counter_feed_rates", "t02_utilisation_per_window",
-    "w01_forward_12_month_label", "w04_sample_rate", "w06_irate_at_samples", "w06_irate_on_step_grid",
+    "j12_images_with_boxes", "k08_sharded_corpus", "k08_built_corpus", "k15_round_robin_files", "m00_loan_training_table",
+    "m01_encoded_text_columns", "m02_cleaned_training_results", "p09_varying_columns", "p13_drop_degenerate_boxes", "p13_p14_normalised_boxes",
+    "r01_unstack", "s01_performance_csv", "s08_result_records", "s12_xml_annotations", "t01_counter_feed_rates", "t02_utilisation_per_window",
+    "w01_forward_12_month_label", "w04_sample_rate", "w05_running_maximum", "w06_irate_at_samples", "w06_irate_on_step_grid",
     "w07_average_over_2_minutes", "w08_traffic_per_bucket", "w09_shuffled_shards", "w10_matching_lines_and_next",
     "w11_cumulative_bytes", "w15_value_on_step_grid", "x17_box_line",
 ]
@@ -38,6 +39,7 @@ def main() -> None:
             "spark.ui.enabled": "false",
             "spark.driver.memory": os.environ.get("BENCH_MEMORY", "12g"),
             "spark.log.level": "ERROR",
+            "spark.checkpoint.dir": tempfile.mkdtemp(prefix="bench-"),
         },
     )
 

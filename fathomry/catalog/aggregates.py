@@ -106,13 +106,13 @@ def _(spark, sf):
 
 @query(
     "a09_boxes_per_image",
-    f"""WITH {S.SCALED_CTE} SELECT filename, 0 AS part, count(*) OVER (PARTITION BY filename) AS n,
+    f"""WITH {S.SCALED_CTE} SELECT filename, count(*) OVER (PARTITION BY filename) AS n,
       CAST(row_number() OVER (PARTITION BY filename ORDER BY xmin, ymin, xmax, ymax) - 1 AS INT) AS box_no, xmin, ymin, xmax, ymax FROM scaled""",
 )
 def _(spark, sf):
     lists = B.collect_boxes(S.box_series(spark, sf)).withColumn("n", F.size("boxes").cast("bigint"))
-    rows = lists.select("filename", "part", "n", F.posexplode("boxes").alias("box_no", "box"))
-    return rows.select("filename", "part", "n", "box_no", *[F.col(f"box.{c}") for c in B.COORDS])
+    rows = lists.select("filename", "n", F.posexplode("boxes").alias("box_no", "box"))
+    return rows.select("filename", "n", "box_no", *[F.col(f"box.{c}") for c in B.COORDS])
 
 
 @query(

@@ -16,11 +16,11 @@ from fathomry.plans.results import MEAN_BYTES, suffix_dimension
 
 @query(
     "j01_seller_names",
-    f"WITH {S.ACQ_CTE}, {S.NAMES_CTE} SELECT loan_id, n.new AS seller_name FROM acq LEFT JOIN names n USING (seller_name)",
+    f"WITH {S.ACQ_CTE}, {S.SOME_NAMES_CTE} SELECT loan_id, n.new AS seller_name FROM acq LEFT JOIN names n USING (seller_name)",
 )
 def _(spark, sf):
     acq = S.acquisition(spark, sf).select("loan_id", "seller_name")
-    return loans.resolve_seller_names(acq, S.seller_names(spark, sf))
+    return loans.resolve_seller_names(acq, S.seller_names(spark, sf, S.NAMES_WHERE))
 
 
 DELINQUENCY_SQL = """d30 AS (SELECT loan_id, min(monthly_reporting_period) AS d FROM perf WHERE current_loan_delinquency_status >= 1 GROUP BY 1),
@@ -99,12 +99,12 @@ def _(spark, sf):
 
 @query(
     "j07_performance_with_acquisition",
-    f"""WITH {S.PERF_CTE}, {S.ACQ_CTE} SELECT loan_id, coalesce(current_actual_upb, -1) AS current_actual_upb, a.orig_ltv, a.dti, a.zip
+    f"""WITH {S.PERF_CTE}, {S.SOME_ACQ_CTE} SELECT loan_id, coalesce(current_actual_upb, -1) AS current_actual_upb, a.orig_ltv, a.dti, a.zip
     FROM perf LEFT JOIN (SELECT loan_id, coalesce(orig_ltv, -1) AS orig_ltv, coalesce(dti, -1) AS dti, zip FROM acq) a USING (loan_id)""",
 )
 def _(spark, sf):
     perf = sel.fill_numbers(S.performance(spark, sf).select("loan_id", "current_actual_upb"))
-    acq = sel.fill_numbers(S.acquisition(spark, sf).select("loan_id", "orig_ltv", "dti", "zip"))
+    acq = sel.fill_numbers(S.acquisition(spark, sf, S.ACQ_WHERE).select("loan_id", "orig_ltv", "dti", "zip"))
     return perf.join(acq, "loan_id", "left")
 
 
@@ -149,11 +149,11 @@ def _(spark, sf):
 
 @query(
     "j12_images_with_boxes",
-    f"""WITH {S.SCALED_CTE}, n AS (SELECT filename, count(*) AS n, min(xmin) AS first_xmin FROM scaled WHERE suppkey % 10 = 0 GROUP BY 1)
+    f"""WITH {S.SCALED_CTE}, n AS (SELECT filename, count(*) AS n, min(xmin) AS first_xmin FROM scaled WHERE filename NOT LIKE '%7.JPEG' GROUP BY 1)
     SELECT filename, coalesce(n, 0) AS n_boxes, first_xmin, n IS NOT NULL AS has_boxes FROM images LEFT JOIN n USING (filename)""",
 )
 def _(spark, sf):
-    boxes = S.box_series(spark, sf).filter("suppkey % 10 = 0")
+    boxes = S.box_series(spark, sf).filter("filename NOT LIKE '%7.JPEG'")
     out = corpus.with_boxes(S.images(spark, sf).select("filename"), boxes)
     return out.select(
         "filename",
@@ -165,11 +165,11 @@ def _(spark, sf):
 
 @query(
     "j12_count_of_images_with_boxes",
-    "SELECT count(*) AS images, count(*) FILTER (WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_suppkey % 10 = 0)) AS with_boxes FROM part",
+    "SELECT count(*) AS images, count(*) FILTER (WHERE p_partkey % 10 <> 7 AND p_partkey IN (SELECT l_partkey FROM lineitem)) AS with_boxes FROM part",
 )
 def _(spark, sf):
-    boxes = S.box_series(spark, sf).filter("suppkey % 10 = 0")
-    out = corpus.with_boxes(S.images(spark, sf).select("filename"), boxes).filter("part = 0")
+    boxes = S.box_series(spark, sf).filter("filename NOT LIKE '%7.JPEG'")
+    out = corpus.with_boxes(S.images(spark, sf).select("filename"), boxes)
     return out.agg(F.count(F.lit(1)).alias("images"), F.count_if(F.size("boxes") > 0).alias("with_boxes"))
 
 

@@ -20,19 +20,19 @@ LOAN_CSV = {"header": False, "sep": "|", "dateFormat": readers.LOAN_DATES}
 @query("s01_performance_csv", f"WITH {S.PERF_CTE} SELECT * FROM perf")
 def _(spark, sf):
     path = writers.write_csv(S.performance(spark, sf), fresh_dir(spark, "performance"), **LOAN_CSV)
-    return readers.read_performance(spark, path)
+    return readers.read_performance(spark, path)[0]
 
 
 @query("s02_acquisition_csv", f"WITH {S.ACQ_CTE} SELECT * FROM acq")
 def _(spark, sf):
     path = writers.write_csv(S.acquisition(spark, sf), fresh_dir(spark, "acquisition"), **LOAN_CSV | {"header": True})
-    return readers.read_acquisition(spark, path, header=True)
+    return readers.read_acquisition(spark, path, header=True)[0]
 
 
 @query("s03_seller_names_csv", S.NAMES_SQL)
 def _(spark, sf):
     path = writers.write_csv(S.seller_names(spark, sf), fresh_dir(spark, "names"), **LOAN_CSV)
-    return readers.read_names(spark, path)
+    return readers.read_names(spark, path)[0]
 
 
 @query("s04_orc_scan", "SELECT l_returnflag, max(l_discount) AS max_discount FROM lineitem GROUP BY 1")
@@ -48,9 +48,9 @@ def _(spark, sf):
     return readers.read_columnar(spark, path, columns=["loan_id", "seller_name", "upb"])
 
 
-@query("s06_parquet_scan", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 400000")
+@query("s06_parquet_scan", "SELECT o_orderkey, o_totalprice FROM orders")
 def _(spark, sf):
-    return readers.read_columnar(spark, f"{sf}/orders.parquet", "parquet").filter("o_totalprice > 400000").select("o_orderkey", "o_totalprice")
+    return readers.read_columnar(spark, f"{sf}/orders.parquet", "parquet").select("o_orderkey", "o_totalprice")
 
 
 @query(
@@ -104,7 +104,7 @@ def _(spark, sf):
         S.ports(spark, sf), fresh_dir(spark, "counters"),
         ["t", "counter", "rate_gbps", "device", "port", "counter_name"], header=False,
     )
-    return readers.read_counters(spark, path)
+    return readers.read_counters(spark, path)[0]
 
 
 @query("s10_headered_dimension", "SELECT p_name AS sample_id, p_retailprice AS coverage, p_partkey AS k FROM part")
@@ -113,7 +113,7 @@ def _(spark, sf):
         F.col("p_name").alias("sample_id"), F.col("p_retailprice").alias("coverage"), F.col("p_partkey").alias("k")
     )
     path = writers.write_csv(part, fresh_dir(spark, "samples"))
-    return readers.read_dimension(spark, path, f"{schemas.SAMPLES}, k bigint")
+    return readers.read_dimension(spark, path, f"{schemas.SAMPLES}, k bigint")[0]
 
 
 @query(
@@ -194,10 +194,14 @@ def _(spark, sf):
     return readers.read_boxes(spark, path)
 
 
-@query("s16_image_folders", "SELECT DISTINCT 'synset=' || replace(p_brand, '#', '_') AS synset FROM part")
+@query(
+    "s16_image_folders",
+    f"WITH {S.IMAGES_CTE} SELECT filename, synset, CAST(strlen(content) AS INT) AS length, md5(content) AS md5 FROM images",
+)
 def _(spark, sf):
-    path = writers.write_by_folder(S.images(spark, sf), fresh_dir(spark, "images"), "synset")
-    return readers.read_images(spark, path, "*.parquet").select("synset").distinct()
+    files = S.images(spark, sf).select(F.concat_ws("/", "synset", "filename").alias("path"), F.col("content").cast("binary").alias("bytes"))
+    path = writers.write_files(files, fresh_dir(spark, "images"))
+    return readers.read_images(spark, path).select("filename", "synset", F.octet_length("encoded").alias("length"), F.md5("encoded").alias("md5"))
 
 
 @query("s17_file_sizes", "SELECT CAST(sum(strlen(text) + 1) AS BIGINT) AS total_bytes FROM documents")
@@ -210,7 +214,7 @@ def _(spark, sf):
 @query("s18_sample_list", "SELECT p_name || '-' || p_partkey AS sample_id, p_retailprice AS coverage FROM part")
 def _(spark, sf):
     part = table(spark, sf, "part").select(F.concat_ws("-", "p_name", "p_partkey").alias("sample_id"), "p_retailprice")
-    return readers.read_samples(spark, writers.write_csv(part, fresh_dir(spark, "samples"), header=False))
+    return readers.read_samples(spark, writers.write_csv(part, fresh_dir(spark, "samples"), header=False))[0]
 
 
 @query(
@@ -233,7 +237,66 @@ def _(spark, sf):
     stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("@timestamp")
     path = fresh_dir(spark, "steps")
     steps.select(stamp, *[c for c in steps.columns if c not in ("ts", "t_us")]).write.json(path)
-    return readers.read_step_log(spark, path).select("rank", "hostname", "step", "num_bytes", "latency_sec", "ts")
+    return readers.read_step_log(spark, path)[0].select("rank", "hostname", "step", "num_bytes", "latency_sec", "ts")
+
+
+def _spoil(df, column, key):
+    """One row in 40 has a word where ``column`` should have a number."""
+    return df.withColumn(column, F.when(F.col(key) % 40 == 0, F.lit("none")).otherwise(F.col(column).cast("string")))
+
+
+def _counted(both):
+    good, rejects = both
+    kinds = good.select(F.lit("good").alias("kind")).unionByName(rejects.select(F.lit("reject").alias("kind")))
+    return kinds.groupBy("kind").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def _spoilt_sql(source, key):
+    return f"SELECT CASE WHEN {key} % 40 = 0 THEN 'reject' ELSE 'good' END AS kind, count(*) AS rows FROM {source} GROUP BY 1"
+
+
+@query("s01_rejected_rows", f"WITH {S.PERF_CTE} {_spoilt_sql('perf', 'loan_id')}")
+def _(spark, sf):
+    spoilt = _spoil(S.performance(spark, sf), "loan_age", "loan_id")
+    return _counted(readers.read_performance(spark, writers.write_csv(spoilt, fresh_dir(spark, "spoilt"), **LOAN_CSV)))
+
+
+@query("s02_rejected_rows", f"WITH {S.ACQ_CTE} {_spoilt_sql('acq', 'loan_id')}")
+def _(spark, sf):
+    acq = S.acquisition(spark, sf)
+    spoilt = _spoil(acq.withColumn("orig_date", F.date_format("orig_date", readers.LOAN_DATES)), "orig_date", "loan_id")
+    return _counted(readers.read_acquisition(spark, writers.write_csv(spoilt, fresh_dir(spark, "spoilt"), **LOAN_CSV)))
+
+
+@query("s09_rejected_rows", f"WITH {S.PORTS_CTE} {_spoilt_sql('ports', 'event_id')}")
+def _(spark, sf):
+    names = ["t", "counter", "rate_gbps", "device", "port", "counter_name"]
+    spoilt = _spoil(S.ports(spark, sf), "counter", "event_id")
+    return _counted(readers.read_counters(spark, writers.write_csv(spoilt, fresh_dir(spark, "spoilt"), names, header=False)))
+
+
+@query("s10_rejected_rows", _spoilt_sql("part", "p_partkey"))
+def _(spark, sf):
+    part = table(spark, sf, "part").selectExpr("p_name AS sample_id", "p_retailprice AS coverage", "p_partkey AS k")
+    path = writers.write_csv(_spoil(part, "coverage", "k"), fresh_dir(spark, "spoilt"))
+    return _counted(readers.read_dimension(spark, path, f"{schemas.SAMPLES}, k bigint"))
+
+
+@query("s18_rejected_rows", _spoilt_sql("part", "p_partkey"))
+def _(spark, sf):
+    part = table(spark, sf, "part").selectExpr("p_name AS sample_id", "p_retailprice AS coverage", "p_partkey AS k")
+    path = writers.write_csv(_spoil(part, "coverage", "k").drop("k"), fresh_dir(spark, "spoilt"), header=False)
+    return _counted(readers.read_samples(spark, path))
+
+
+@query("s20_rejected_rows", f"WITH {S.STEPS_CTE} {_spoilt_sql('steps', 'step')}")
+def _(spark, sf):
+    steps = S.steps(spark, sf).withColumn("@timestamp", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
+    path = fresh_dir(spark, "spoilt")
+    line = F.to_json(F.struct(*[c for c in steps.columns if c not in ("ts", "t_us")]))
+    word = F.regexp_replace(line, '"num_bytes":-?[0-9]+', '"num_bytes":"none"')
+    steps.select(F.when(F.col("step") % 40 == 0, word).otherwise(line)).write.text(path)
+    return _counted(readers.read_step_log(spark, path))
 
 
 # In each file the numbers are 0 .. n - 1, whatever files the text came to lie in.

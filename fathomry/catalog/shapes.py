@@ -8,53 +8,52 @@ from fathomry.catalog import standins as S
 from fathomry.catalog.base import query, table
 from fathomry.operators import report
 
-NPS = ["16", "32", "48"]
+NPS = [16, 32, 48]
+STORAGES = ["na", "nfs", None]
+LINES = range(1, 8)
+
+
+def _is(column: str, value) -> str:
+    return f"{column} IS NULL" if value is None else f"{column} = {value!r}"
 
 
 @query(
     "r01_unstack",
-    f"""WITH {S.TRAINING_CTE}, r AS (SELECT model, concat_ws('_', np, storage_type) AS k, num_batches FROM runs)
-    SELECT model, """
+    f"WITH {S.TRAINING_CTE} SELECT model, "
     + ", ".join(
-        f"{fn}(num_batches) FILTER (WHERE k = '{n}_{s}') AS num_batches_{stat}_{n}_{s}"
+        f'{fn}(num_batches) FILTER (WHERE np = {n} AND {_is("storage_type", s)}) AS "num_batches_{stat}_{report.pivot_name((n, s))}"'
         for fn, stat in (("avg", "mean"), ("max", "max"))
-        for n in (16, 48)
-        for s in ("na", "nfs")
+        for n in NPS
+        for s in STORAGES
     )
-    + " FROM r GROUP BY 1",
+    + " FROM runs GROUP BY 1",
 )
 def _(spark, sf):
-    keys = [f"{n}_{s}" for n in (16, 48) for s in ("na", "nfs")]
-    return report.pivot_stats(
-        S.training_runs(spark, sf), ["model"], ["np", "storage_type"], {"num_batches": ["mean", "max"]}, keys
-    )
+    return report.pivot_stats(S.training_runs(spark, sf), ["model"], ["np", "storage_type"], {"num_batches": ["mean", "max"]})
 
 
 @query(
     "r02_unstack_unique",
-    """SELECT l_orderkey, l_partkey, max(l_quantity) FILTER (WHERE l_linenumber = 1) AS l_quantity_1,
-      max(l_quantity) FILTER (WHERE l_linenumber = 2) AS l_quantity_2 FROM lineitem
-    WHERE (l_orderkey, l_partkey, l_linenumber) NOT IN (SELECT (l_orderkey, l_partkey, l_linenumber) FROM lineitem GROUP BY 1 HAVING count(*) > 1)
-    GROUP BY 1, 2""",
+    "SELECT l_orderkey, l_partkey, l_suppkey, l_extendedprice, "
+    + ", ".join(f"max(l_quantity) FILTER (WHERE l_linenumber = {i}) AS l_quantity_{i}" for i in LINES)
+    + " FROM lineitem GROUP BY 1, 2, 3, 4",
 )
 def _(spark, sf):
-    items = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity")
-    keys = ["l_orderkey", "l_partkey", "l_linenumber"]
-    twice = items.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    unique = items.join(twice.select(*keys), keys, "left_anti")
-    return report.unique_pivot(unique, ["l_orderkey", "l_partkey"], "l_linenumber", "l_quantity", ["1", "2"])
+    items = table(spark, sf, "lineitem")
+    return report.unique_pivot(items, ["l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice"], "l_linenumber", "l_quantity", list(LINES))
 
 
 @query(
     "r03_stack_then_unstack",
-    f"""WITH {S.TRAINING_CTE} SELECT model, count(num_batches) FILTER (WHERE np = 16)::DOUBLE AS value_max_16_count,
-      avg(num_batches) FILTER (WHERE np = 16) AS value_max_16_mean, count(num_batches) FILTER (WHERE np = 48)::DOUBLE AS value_max_48_count,
-      avg(num_batches) FILTER (WHERE np = 48) AS value_max_48_mean FROM runs GROUP BY 1""",
+    f"WITH {S.TRAINING_CTE} SELECT model, "
+    + ", ".join(
+        f"count(num_batches) FILTER (WHERE np = {n})::DOUBLE AS value_max_{n}_count, avg(num_batches) FILTER (WHERE np = {n}) AS value_max_{n}_mean" for n in NPS
+    )
+    + " FROM runs GROUP BY 1",
 )
 def _(spark, sf):
     stacked = report.stack_stats(S.training_runs(spark, sf), ["model", "np"], "num_batches", ["count", "mean"])
-    keys = [f"{n}_{s}" for n in (16, 48) for s in ("count", "mean")]
-    return report.pivot_stats(stacked, ["model"], ["np", "agg"], {"value": ["max"]}, keys)
+    return report.pivot_stats(stacked, ["model"], ["np", "agg"], {"value": ["max"]}, [(n, s) for n in NPS for s in ("count", "mean")])
 
 
 @query(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from fathomry.catalog import standins as S
 from fathomry.catalog.base import query, table
 from fathomry.operators import report
+from fathomry.operators.lookups import spread_join
 from fathomry.plans import corpus
 from fathomry.plans.corpus import round_robin, with_shards
 from fathomry.session import fresh_dir
@@ -62,7 +63,7 @@ def _(spark, sf):
 @query("k06_csv_export", "SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders")
 def _(spark, sf):
     path = writers.write_csv(table(spark, sf, "orders"), fresh_dir(spark, "export"), ["o_orderkey", "o_totalprice", "o_orderstatus"])
-    return readers.read_dimension(spark, path, "o_orderkey bigint, o_totalprice double, o_orderstatus string")
+    return readers.read_dimension(spark, path, "o_orderkey bigint, o_totalprice double, o_orderstatus string")[0]
 
 
 @query(
@@ -71,11 +72,11 @@ def _(spark, sf):
       avg(num_batches) FILTER (WHERE np = 32) AS num_batches_mean_32, avg(num_batches) FILTER (WHERE np = 48) AS num_batches_mean_48 FROM runs GROUP BY 1""",
 )
 def _(spark, sf):
-    wide = report.pivot_stats(S.training_runs(spark, sf), ["model"], ["np"], {"num_batches": ["mean"]}, ["16", "32", "48"])
+    wide = report.pivot_stats(S.training_runs(spark, sf), ["model"], ["np"], {"num_batches": ["mean"]}, [16, 32, 48])
     path = writers.write_csv(wide, fresh_dir(spark, "report"))
     return readers.read_dimension(
         spark, path, "model string, num_batches_mean_16 double, num_batches_mean_32 double, num_batches_mean_48 double"
-    )
+    )[0]
 
 
 @query(
@@ -109,11 +110,11 @@ def _(spark, sf):
 
 @query(
     "k11_append_result_records",
-    f"WITH {S.TRAINING_CTE} SELECT test_uuid, np, error FROM runs WHERE np IN (16, 48)",
+    f"WITH {S.TRAINING_CTE} SELECT test_uuid, np, error FROM runs",
 )
 def _(spark, sf):
     runs, path = S.training_runs(spark, sf), fresh_dir(spark, "records")
-    for np in (16, 48):
+    for np in (16, 32, 48):
         writers.append_results(runs.filter(F.col("np") == np), path)
     good, _ = readers.read_results(spark, path, list_files=False)
     return good.select("test_uuid", "np", "error")
@@ -124,16 +125,27 @@ def _(spark, sf):
     return _item_sums(table(spark, sf, "lineitem").select("l_returnflag", "l_orderkey").repartition(12))
 
 
-@query("k13_bootstrap_scale")
+@query("k13_bootstrap_scale", "SELECT TRUE AS all_known, TRUE AS about_six_times, TRUE AS some_repeat")
 def _(spark, sf):
-    return writers.bootstrap(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber"), 6.0)
+    items = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber")
+    drawn = writers.bootstrap(items, 6.0).groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n"))
+    known = items.groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("m"))
+    both = spread_join(known, drawn, ["l_orderkey", "l_linenumber"], "full")
+    # The number drawn has the variance of its mean; six standard deviations are allowed.
+    total, wanted = F.coalesce(F.sum("n"), F.lit(0)), 6.0 * F.sum("m")
+    return both.agg(
+        (F.count_if(F.col("m").isNull()) == 0).alias("all_known"),
+        (F.abs(total - wanted) <= 6 * F.sqrt(wanted)).alias("about_six_times"),
+        (F.count_if(F.col("n") > F.col("m")) > 0).alias("some_repeat"),
+    )
 
 
-@query("k14_timed_persisted_runs")
+@query("k14_timed_persisted_runs", "SELECT CAST(i AS INT) AS run, TRUE AS took_time, (SELECT count(*) FROM lineitem) AS rows FROM range(3) t(i)")
 def _(spark, sf):
     scan = table(spark, sf, "lineitem").withColumnsRenamed({"l_returnflag": "servicer", "l_discount": "interest_rate"})
     seconds = writers.timed_runs(scan.select("servicer", "interest_rate"), report.max_rate_by_servicer)
-    return spark.createDataFrame(list(enumerate(seconds)), "run int, compute_sec double")
+    timed = spark.createDataFrame(list(enumerate(seconds)), "run int, compute_sec double")
+    return timed.select("run", (F.col("compute_sec") > 0).alias("took_time"), F.lit(scan.count()).cast("bigint").alias("rows"))
 
 
 @query(

@@ -185,15 +185,15 @@ def select_sql(items: list[tuple[str, str]], source: str, where: str = "") -> st
     return f"SELECT {', '.join(columns(items, DUCK_US))} FROM {source} {where}"
 
 
+# For joins that must meet loans without an acquisition row, and sellers without a name.
 ACQ_WHERE = f"WHERE {C} % 10 <> 9"
-NAMES_SQL = (
-    "SELECT DISTINCT c_mktsegment AS seller_name, 'Bank ' || c_mktsegment AS new FROM customer "
-    "WHERE c_mktsegment <> 'MACHINERY'"
-)
+NAMES_WHERE = "WHERE c_mktsegment <> 'MACHINERY'"
+NAMES_SQL = "SELECT DISTINCT c_mktsegment AS seller_name, 'Bank ' || c_mktsegment AS new FROM customer"
 
 PERF_CTE = f"perf AS ({select_sql(PERFORMANCE, 'orders')})"
-ACQ_CTE = f"acq AS ({select_sql(ACQUISITION, 'customer', ACQ_WHERE)})"
-NAMES_CTE = f"names AS ({NAMES_SQL})"
+ACQ_CTE = f"acq AS ({select_sql(ACQUISITION, 'customer')})"
+SOME_ACQ_CTE = f"acq AS ({select_sql(ACQUISITION, 'customer', ACQ_WHERE)})"
+SOME_NAMES_CTE = f"names AS ({NAMES_SQL} {NAMES_WHERE})"
 EVENTS_CTE = f"ev AS ({select_sql(EVENTS, 'events')})"
 PORTS_CTE = f"ports AS ({select_sql(PORTS, 'events')})"
 STEPS_CTE = f"steps AS ({select_sql(STEPS, 'events')})"
@@ -215,18 +215,15 @@ def performance(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").selectExpr(*columns(PERFORMANCE))
 
 
-def acquisition(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "customer").filter(ACQ_WHERE.removeprefix("WHERE ")).selectExpr(*columns(ACQUISITION))
+def acquisition(spark: SparkSession, sf: str, where: str = "") -> DataFrame:
+    customers = table(spark, sf, "customer")
+    return (customers.filter(where.removeprefix("WHERE ")) if where else customers).selectExpr(*columns(ACQUISITION))
 
 
-def seller_names(spark: SparkSession, sf: str) -> DataFrame:
-    segment = F.col("c_mktsegment")
-    return (
-        table(spark, sf, "customer")
-        .filter(segment != "MACHINERY")
-        .select(segment.alias("seller_name"), F.concat(F.lit("Bank "), segment).alias("new"))
-        .distinct()
-    )
+def seller_names(spark: SparkSession, sf: str, where: str = "") -> DataFrame:
+    customers, segment = table(spark, sf, "customer"), F.col("c_mktsegment")
+    kept = customers.filter(where.removeprefix("WHERE ")) if where else customers
+    return kept.select(segment.alias("seller_name"), F.concat(F.lit("Bank "), segment).alias("new")).distinct()
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:

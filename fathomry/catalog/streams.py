@@ -59,10 +59,11 @@ def _(spark, sf):
 @query(
     "t04_totals_after_warm_up",
     f"""WITH {S.STEPS_CTE} SELECT rank, CAST(sum(batch_size) AS BIGINT) AS records, CAST(sum(num_bytes) AS BIGINT) AS num_bytes
-    FROM steps WHERE ts >= TIMESTAMP '2024-01-02 00:00:00' GROUP BY 1""",
+    FROM steps WHERE ts >= (SELECT min(ts) FROM steps) + INTERVAL 1 DAY GROUP BY 1""",
 )
 def _(spark, sf):
-    warm = event_stream(spark, sf, S.STEPS).filter(F.col("ts") >= F.lit("2024-01-02 00:00:00").cast("timestamp_ntz"))
+    start = table(spark, sf, "events").agg(F.min("ts")).first()[0]
+    warm = feeds.after_warm_up(event_stream(spark, sf, S.STEPS), "ts", start, 86_400.0)
     totals = warm.groupBy("rank").agg(F.sum("batch_size").alias("records"), F.sum("num_bytes").alias("num_bytes"))
     path = feeds.run_to_files(totals, fresh_dir(spark, "feed"), mode="update")
     return feeds.latest_per_key(spark, path, ["rank"])
@@ -81,13 +82,16 @@ def _(spark, sf):
 
 @query(
     "t06_top_20_per_window",
-    f"""WITH {S.EVENTS_CTE}, w AS (SELECT time_bucket(INTERVAL '6 hours', ts) AS window_start, user_id, avg(cents) AS load FROM ev GROUP BY 1, 2)
-    SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY window_start ORDER BY load DESC, user_id) <= 20""",
+    f"""WITH {S.EVENTS_CTE}, w AS (SELECT time_bucket(INTERVAL '6 hours', ts) AS window_start, user_id, avg(cents) AS cpu, avg(sent) AS memory FROM ev GROUP BY 1, 2)
+    SELECT 'cpu' AS ranked_by, * FROM w QUALIFY row_number() OVER (PARTITION BY window_start ORDER BY cpu DESC, user_id) <= 20
+    UNION ALL SELECT 'memory', * FROM w QUALIFY row_number() OVER (PARTITION BY window_start ORDER BY memory DESC, user_id) <= 20""",
 )
 def _(spark, sf):
-    path = feeds.windowed_load(event_stream(spark, sf), fresh_dir(spark, "feed"), "at", "6 hours", ["user_id"], "cents")
+    values = {"cpu": "cents", "memory": "sent"}
+    path = feeds.windowed_load(event_stream(spark, sf), fresh_dir(spark, "feed"), "at", "6 hours", ["user_id"], values)
     loads = feeds.latest_per_key(spark, path, ["window_start", "user_id"])
-    return first_n_per_group(loads, ["window_start"], [F.desc("load"), "user_id"], 20)
+    top = [first_n_per_group(loads, ["window_start"], [F.desc(v), "user_id"], 20).withColumn("ranked_by", F.lit(v)) for v in values]
+    return top[0].unionByName(top[1])
 
 
 MOUNT = "CASE WHEN user_id % 4 = 0 THEN '/proc/fs' WHEN user_id % 4 = 1 THEN '/processed' WHEN user_id % 4 = 2 THEN '/dev' ELSE '/mnt/data' END"
@@ -96,11 +100,11 @@ MOUNT = "CASE WHEN user_id % 4 = 0 THEN '/proc/fs' WHEN user_id % 4 = 1 THEN '/p
 @query(
     "t07_dropped_mount_points",
     f"""SELECT event_id, mount FROM (SELECT event_id, {MOUNT} AS mount FROM events)
-    WHERE NOT regexp_matches(mount, '^/(sys|cgroup|proc|dev|etc|host|lib)($|/)')""",
+    WHERE NOT regexp_matches(mount, '{feeds.DROPPED_MOUNTS}')""",
 )
 def _(spark, sf):
     stream = event_stream(spark, sf, extra=[f"{MOUNT} AS mount"]).select("event_id", "mount")
-    kept = stream.filter(feeds.unmatched("mount", r"^/(sys|cgroup|proc|dev|etc|host|lib)($|/)"))
+    kept = stream.filter(feeds.unmatched("mount", feeds.DROPPED_MOUNTS))
     return spark.read.parquet(feeds.run_to_files(kept, fresh_dir(spark, "feed"))).drop("batch")
 
 

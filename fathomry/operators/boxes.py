@@ -41,11 +41,14 @@ def annotation_boxes(annotations: DataFrame) -> DataFrame:
 
 
 def scale_boxes(boxes: DataFrame) -> DataFrame:
-    """Order the ends of each axis, divide by the image size and clamp to 0..1."""
+    """Order the ends of each axis, divide by the image size and clamp to 0..1.
+
+    A width or height of zero fails the job.
+    """
 
     def axis(low: str, high: str, size: str) -> dict[str, Column]:
-        a = F.try_divide(F.col(low).cast("double"), F.col(size).cast("double"))
-        b = F.try_divide(F.col(high).cast("double"), F.col(size).cast("double"))
+        length = F.when(F.col(size) == 0, F.raise_error(F.lit(f"image without {size}")).cast("double")).otherwise(F.col(size).cast("double"))
+        a, b = F.col(low).cast("double") / length, F.col(high).cast("double") / length
         clamp = lambda c: F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
         return {low: clamp(F.least(a, b)), high: clamp(F.greatest(a, b))}
 
@@ -85,8 +88,8 @@ def normalise_boxes(annotations: DataFrame, synsets: DataFrame | None = None) ->
 
 
 def box_line(filename: str = "filename") -> Column:
-    """Text line of a box: file name and four coordinates with four decimals."""
-    return F.concat_ws(",", F.col(filename), *[fixed_text(c) for c in COORDS])
+    """Text line of a box: file name and four coordinates with four decimals; null if one of them is."""
+    return F.concat(F.col(filename), *[F.concat(F.lit(","), fixed_text(c)) for c in COORDS])
 
 
 def count_boxes(annotations: DataFrame, synsets: DataFrame, observation) -> DataFrame:
@@ -106,51 +109,16 @@ def count_boxes(annotations: DataFrame, synsets: DataFrame, observation) -> Data
     )
 
 
-def collect_boxes(boxes: DataFrame, key: str = "filename", max_boxes: int = 65_536) -> DataFrame:
-    """Boxes of each image as a sorted array, duplicates kept: (key, part, boxes).
-
-    An image has one row (part 0) unless it holds more than ``max_boxes``; then its boxes are dealt
-    over several parts, so that no array grows with the data. One count per image, run when the
-    frame is built, tells whether there is such an image.
-    """
-    box = F.struct(*COORDS)
-    crowded = (
-        boxes.groupBy(key).agg(F.count(F.lit(1)).alias("__total")).filter(F.col("__total") > max_boxes)
-    )
-
-    def plainly(rows: DataFrame) -> DataFrame:
-        lists = rows.groupBy(key).agg(F.sort_array(F.collect_list(box)).alias("boxes"))
-        return lists.select(key, F.lit(0).alias("part"), "boxes")
-
-    if crowded.isEmpty():
-        return plainly(boxes)
-    few = spread_join(boxes, crowded, [key], "left_anti")
-    return plainly(few).unionByName(_deal_boxes(spread_join(boxes, crowded, [key], "inner"), key, max_boxes))
-
-
-def _deal_boxes(boxes: DataFrame, key: str, max_boxes: int) -> DataFrame:
-    """Box arrays of crowded images (``__total`` boxes each) in parts of about ``max_boxes``.
+def collect_boxes(boxes: DataFrame, key: str = "filename") -> DataFrame:
+    """Boxes of each image as a sorted array, duplicates kept: (key, boxes), one row per image.
 
-    Equal boxes are counted first and a group of copies is cut into pieces, so neither a hot image
-    nor a hot box meets in one task.
+    Equal boxes are counted before the shuffle, so copies of a box do not meet in one task. The array is
+    the image's record; where boxes are not needed as an array, work on the rows themselves.
     """
-    limit = F.lit(max_boxes)
-    distinct = boxes.groupBy(key, "__total", *COORDS).agg(F.count(F.lit(1)).alias("__n"))
-    parts = F.ceil(F.col("__total") / limit)
-    pieces = F.sequence(F.lit(0), F.floor((F.col("__n") - 1) / limit).cast("int"))
-    dealt = (
-        distinct.withColumn("__piece", F.explode(pieces))
-        .withColumn("part", F.pmod(F.xxhash64(*COORDS, "__piece"), parts).cast("int"))
-        .withColumn("__n", F.least(limit, F.col("__n") - F.col("__piece") * limit).cast("int"))
-    )
+    counted = boxes.groupBy(key, *COORDS).agg(F.count(F.lit(1)).cast("int").alias("__n"))
     runs = F.sort_array(F.collect_list(F.struct(F.struct(*COORDS).alias("box"), "__n")))
     repeated = F.flatten(F.transform("__runs", lambda r: F.array_repeat(r["box"], r["__n"])))
-    return (
-        dealt.repartition(key, "part")
-        .groupBy(key, "part")
-        .agg(runs.alias("__runs"))
-        .select(key, "part", repeated.alias("boxes"))
-    )
+    return counted.groupBy(key).agg(runs.alias("__runs")).select(key, repeated.alias("boxes"))
 
 
 def box_lists(df: DataFrame, label: str = "label") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathomry.operators.boxes import box_lists, collect_boxes
-from fathomry.operators.lookups import require_lookup, with_label_index
+from fathomry.operators.lookups import require_lookup, spread_join, with_label_index
 from fathomry.operators.ordered import ordered_positions, shuffled_positions
 
 # Images known to be stored as PNG, or as JPEG in CMYK colour.
@@ -56,11 +56,7 @@ def with_boxes(images: DataFrame, boxes: DataFrame, key: str = "filename") -> Da
     """Attach the box array, empty where an image has none."""
     lists = collect_boxes(boxes, key)
     empty = F.array().cast(lists.schema["boxes"].dataType)
-    return (
-        images.join(lists, key, "left")
-        .withColumn("boxes", F.coalesce("boxes", empty))
-        .withColumn("part", F.coalesce("part", F.lit(0)))
-    )
+    return spread_join(images, lists, [key]).withColumn("boxes", F.coalesce("boxes", empty))
 
 
 def build_corpus(
@@ -74,7 +70,7 @@ def build_corpus(
     slim = images.select("filename", "synset")
     placed = with_shards(with_label_index(slim, labels), "filename", shards, seed)
     texted = require_lookup(placed, texts.select("synset", "text"), "synset", "text")
-    listed = box_lists(with_boxes(texted, boxes)).withColumnRenamed("part", "bbox_part")
+    listed = box_lists(with_boxes(texted, boxes))
     rest = images.drop("synset")
     return listed.join(rest, "filename").withColumns(
         {

@@ -13,22 +13,32 @@ from fathomry.operators.lookups import union_all
 LOAN_DATES = "MM/dd/yyyy"
 
 
-def _loan_file(spark: SparkSession, paths, schema: str, header: bool) -> DataFrame:
-    return spark.read.schema(schema).csv(
-        paths, sep="|", dateFormat=LOAN_DATES, header=header, enforceSchema=True
-    )
+def _split_text(raw) -> tuple[DataFrame, DataFrame]:
+    good, rejects = _split_rejects(raw.withColumn("source_file", F.col("_metadata.file_path")), "source_file")
+    return good.drop("source_file"), rejects
+
+
+def _csv(spark: SparkSession, paths, schema: str, **options) -> tuple[DataFrame, DataFrame]:
+    """Delimited text as (good, rejects): a row with a field that does not parse, or with too few or too many
+    fields, goes to ``rejects`` whole, with its file."""
+    reader = spark.read.schema(f"{schema.strip().rstrip(',')}, _corrupt string").options(mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt")
+    return _split_text(reader.csv(paths, **options))
+
+
+def _loan_file(spark: SparkSession, paths, schema: str, header: bool) -> tuple[DataFrame, DataFrame]:
+    return _csv(spark, paths, schema, sep="|", dateFormat=LOAN_DATES, header=header, enforceSchema=True)
 
 
-def read_performance(spark: SparkSession, paths: str | list[str], header: bool = False) -> DataFrame:
-    """Pipe-separated performance files; ``header`` skips the first row of each file."""
+def read_performance(spark: SparkSession, paths: str | list[str], header: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Pipe-separated performance files as (good, rejects); ``header`` skips the first row of each file."""
     return _loan_file(spark, paths, schemas.PERFORMANCE, header)
 
 
-def read_acquisition(spark: SparkSession, paths: str | list[str], header: bool = False) -> DataFrame:
+def read_acquisition(spark: SparkSession, paths: str | list[str], header: bool = False) -> tuple[DataFrame, DataFrame]:
     return _loan_file(spark, paths, schemas.ACQUISITION, header)
 
 
-def read_names(spark: SparkSession, paths: str | list[str], header: bool = False) -> DataFrame:
+def read_names(spark: SparkSession, paths: str | list[str], header: bool = False) -> tuple[DataFrame, DataFrame]:
     return _loan_file(spark, paths, schemas.SELLER_NAMES, header)
 
 
@@ -79,15 +89,15 @@ def read_results(
     return _split_rejects(raw, "loaded_filename")
 
 
-def read_counters(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    return spark.read.schema(schemas.COUNTERS).csv(paths, ignoreLeadingWhiteSpace=True)
+def read_counters(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, DataFrame]:
+    return _csv(spark, paths, schemas.COUNTERS, ignoreLeadingWhiteSpace=True)
 
 
-def read_dimension(spark: SparkSession, paths: str | list[str], schema: str, header: bool = True) -> DataFrame:
-    return spark.read.schema(schema).csv(paths, header=header)
+def read_dimension(spark: SparkSession, paths: str | list[str], schema: str, header: bool = True) -> tuple[DataFrame, DataFrame]:
+    return _csv(spark, paths, schema, header=header)
 
 
-def read_samples(spark: SparkSession, paths: str | list[str], header: bool = False) -> DataFrame:
+def read_samples(spark: SparkSession, paths: str | list[str], header: bool = False) -> tuple[DataFrame, DataFrame]:
     return read_dimension(spark, paths, schemas.SAMPLES, header)
 
 
@@ -215,9 +225,11 @@ def read_images(spark: SparkSession, root: str, pattern: str = "*.JPEG") -> Data
     )
 
 
-def read_step_log(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    raw = spark.read.schema(schemas.STEP_LOG).json(paths)
-    return raw.withColumn("ts", F.to_timestamp("@timestamp"))
+def read_step_log(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, DataFrame]:
+    """Step records, one JSON object per line, as (good, rejects)."""
+    reader = spark.read.schema(f"{schemas.STEP_LOG.strip().rstrip(',')}, _corrupt string").options(mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt")
+    good, rejects = _split_text(reader.json(paths))
+    return good.withColumn("ts", F.to_timestamp("@timestamp")), rejects
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:

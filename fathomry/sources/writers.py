@@ -5,6 +5,8 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Sequence
 
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,6 +53,28 @@ def append_results(df: DataFrame, path: str) -> str:
     return path
 
 
+def write_files(df: DataFrame, root: str, path: str = "path", content: str = "bytes") -> str:
+    """One file per row: ``content`` under ``path``, relative to ``root``. A file that is there is replaced, so
+    a task that is run again does no harm. ``root`` is a mounted folder or one that Arrow's file systems open."""
+
+    def write(batches):
+        files, top = pafs.FileSystem.from_uri(root)
+        made = set()
+        for batch in batches:
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                whole = f"{top}/{name}"
+                folder = whole.rpartition("/")[0]
+                if folder not in made:
+                    files.create_dir(folder, recursive=True)
+                    made.add(folder)
+                with files.open_output_stream(whole) as out:
+                    out.write(data or b"")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    df.select(F.col(path), F.col(content).cast("binary")).mapInArrow(write, "n long").write.format("noop").mode("overwrite").save()
+    return root
+
+
 def write_by_folder(df: DataFrame, path: str, folder: str, fmt: str = "parquet") -> str:
     """One folder per value. Rows are gathered by value, and values too large for one task are
     split over several, so a hot label costs more files instead of one long task."""
@@ -59,9 +83,10 @@ def write_by_folder(df: DataFrame, path: str, folder: str, fmt: str = "parquet")
 
 
 def write_shards(df: DataFrame, path: str, shards: int) -> str:
-    """Sharded corpus. Shards are equal by construction, so range partitions on them are too."""
+    """Sharded corpus. Shards are equal by construction and dealt out by hash, so nothing below runs twice
+    for a sample of ranges."""
     (
-        df.repartitionByRange(shards, "shard")
+        df.repartition(shards, "shard")
         .sortWithinPartitions("shard", "position")
         .write.mode("overwrite").partitionBy("shard").parquet(path)
     )
@@ -70,8 +95,11 @@ def write_shards(df: DataFrame, path: str, shards: int) -> str:
 
 def replicate(df: DataFrame, copies: int, mounts: int = 16) -> DataFrame:
     """Every row ``copies`` times, with copy number and target mount; copies of a row are made in
-    its own task."""
-    return df.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))).withColumn(
+    its own task. 0 copies give no rows."""
+    if copies < 0:
+        raise ValueError("copies must not be negative")
+    numbers = F.sequence(F.lit(0), F.lit(copies - 1)) if copies else F.array().cast("array<int>")
+    return df.withColumn("copy", F.explode(numbers)).withColumn(
         "target", F.pmod(F.col("copy"), F.lit(mounts)) + 1
     )
 

@@ -6,7 +6,7 @@ folder, so a restart neither loses nor repeats rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,14 +88,24 @@ def counter_feed(
 
 
 def windowed_load(
-    stream: DataFrame, out: str, t: str, size: str, keys: Sequence[str], value: str, delay: str = WATERMARK
+    stream: DataFrame, out: str, t: str, size: str, keys: Sequence[str], values: Mapping[str, str], delay: str = WATERMARK
 ) -> str:
-    """Average ``load`` per window and key, as update-mode files. A top-n of it is only final over
-    the latest row of every key, so it is taken from those files and not inside a micro-batch."""
-    totals = windowed(stream, t, size, keys, [F.avg(value).alias("load")], delay=delay)
+    """Averages per window and key, ``values`` by name and column, as update-mode files. A top-n of one is only
+    final over the latest row of every key, so it is taken from those files and not inside a micro-batch."""
+    totals = windowed(stream, t, size, keys, [F.avg(c).alias(n) for n, c in values.items()], delay=delay)
     return run_to_files(totals, out, mode="update")
 
 
+def after_warm_up(stream: DataFrame, t: str, start, seconds: float) -> DataFrame:
+    """Rows from ``seconds`` after ``start`` on; totals taken of them count from zero there."""
+    begin = F.lit(start).cast(stream.schema[t].dataType)
+    return stream.filter(F.col(t) >= begin + F.make_dt_interval(secs=F.lit(seconds)))
+
+
+# Fixed value: mount points that the feed drops.
+DROPPED_MOUNTS = r"^/(sys|cgroup|proc|dev|etc|host|lib)($|/)"
+
+
 def unmatched(column: str, pattern: str) -> Column:
     """Keep events whose field does not match the pattern, as a drop rule states it."""
     return ~F.coalesce(F.col(column).rlike(pattern), F.lit(False))

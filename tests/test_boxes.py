@@ -72,20 +72,27 @@ def test_broken_annotation_is_reported(spark, tmp_path):
     assert rejects.count() == 1
 
 
-def test_crowded_images_and_copies_are_dealt_over_parts(spark):
+def test_one_row_per_image_however_many_boxes(spark):
     rng = random.Random(5)
     rows = [("hot.JPEG", rng.random(), 0.0, 1.0, 1.0) for _ in range(900)]
     rows += [("hot.JPEG", 0.25, 0.25, 0.75, 0.75)] * 700  # one box many times
     rows += [(f"{i % 40}.JPEG", 0.1, 0.1, rng.choice([0.5, 0.6]), 0.5) for i in range(800)]
     boxes = spark.createDataFrame(rows, "filename string, xmin double, ymin double, xmax double, ymax double")
-    got = B.collect_boxes(boxes, max_boxes=100).collect()
-    back = Counter((r.filename, *b) for r in got for b in r.boxes)
-    assert back == Counter(rows)
-    assert max(len(r.boxes) for r in got) < 300
-    assert {r.part for r in got if r.filename != "hot.JPEG"} == {0}
+    got = B.collect_boxes(boxes).collect()
+    assert Counter((r.filename, *b) for r in got for b in r.boxes) == Counter(rows)
+    assert len(got) == len({r.filename for r in got}) == 41
     assert all(list(r.boxes) == sorted(r.boxes) for r in got)
-    whole = B.collect_boxes(boxes).collect()
-    assert len(whole) == 41 and {r.part for r in whole} == {0}
+
+
+def test_box_line_without_a_coordinate_is_null(spark):
+    df = spark.createDataFrame([("a", 0.1, None, 0.3, 0.4), ("b", 0.1, 0.2, 0.3, 0.4)], "filename string, xmin double, ymin double, xmax double, ymax double")
+    assert [r[0] for r in df.select(B.box_line()).collect()] == [None, "b,0.1000,0.2000,0.3000,0.4000"]
+
+
+def test_image_without_a_size_fails(spark):
+    df = spark.createDataFrame([(0, 10, 1, 2, 3, 4)], "width int, height int, xmin int, ymin int, xmax int, ymax int")
+    with pytest.raises(PySparkException, match="image without width"):
+        B.scale_boxes(df).collect()
 
 
 @pytest.fixture(scope="module")

@@ -80,6 +80,33 @@ def test_duplicate_cell_fails(spark):
         report.unique_pivot(df, ["r"], "c", "v", ["x"]).collect()
 
 
+def test_pivot_keeps_null_and_separator_apart(spark):
+    df = spark.createDataFrame([("a", None, 1), (None, "a", 5), ("b", "c", 7), ("b_c", "", 9), ("b", "_c", 11)], "x string, y string, v int")
+    row = report.pivot_stats(df.withColumn("r", F.lit(1)), ["r"], ["x", "y"], {"v": ["sum"]}).first().asDict()
+    assert sorted(v for k, v in row.items() if k != "r") == [1, 5, 7, 9, 11]
+    assert row["v_sum_" + report.pivot_name(("b_c", ""))] == 9 and row["v_sum_" + report.pivot_name((None, "a"))] == 5
+
+
+def test_pivot_fails_on_a_key_that_is_not_listed(spark):
+    df = spark.createDataFrame([(1, "a", 1), (1, "b", 2)], "r int, x string, v int")
+    with pytest.raises(PySparkException, match="key not listed"):
+        report.pivot_stats(df, ["r"], ["x"], {"v": ["sum"]}, ["a"]).collect()
+    with pytest.raises(PySparkException, match="key not listed"):
+        report.unique_pivot(df, ["r"], "x", "v", ["a"]).collect()
+    assert report.unique_pivot(df, ["r"], "x", "v").columns == ["r", "v_a", "v_b"]
+
+
+def test_duplicate_baseline_fails(spark):
+    df = spark.createDataFrame([("a", "base", 1.0), ("a", "base", 2.0)], "r string, g string, v double")
+    with pytest.raises(PySparkException, match="duplicate baseline"):
+        report.versus_baseline(df, ["r"], {"g": "base"}, "v").collect()
+
+
+def test_replicate_nothing(spark):
+    assert writers.replicate(spark.range(3), 0).count() == 0
+    assert writers.replicate(spark.range(3), 2).count() == 6
+
+
 def test_baseline_zero_or_missing_is_null(spark):
     df = spark.createDataFrame([("a", "base", 0.0), ("a", "x", 5.0), ("b", "x", 5.0), ("c", "base", 4.0), ("c", "x", 5.0)], "r string, g string, v double")
     got = {(r.r, r.g): r.v_percent for r in report.versus_baseline(df, ["r"], {"g": "base"}, "v").collect()}
@@ -91,14 +118,12 @@ def test_group_sizes_leave_out_null_keys(spark):
     assert [tuple(r) for r in report.group_sizes(df, "k").collect()] == [("a", 2)]
 
 
-def test_both_encoders_agree(spark):
+def test_codes_by_frequency_then_text(spark):
     rows = [("b",), ("b",), ("a",), ("c",), ("c",), (None,), (None,), (None,)]
     df = spark.createDataFrame(rows, "s string")
     want = sorted([1, 1, 3, 2, 2, 0, 0, 0])
     assert sorted(r.s for r in encode_strings(df).collect()) == want
-    assert sorted(r.s for r in encode_strings(df, max_labels=0).collect()) == want
     assert sorted(r.s for r in encode_strings(df, null_code=-1).collect()) == [-1, -1, -1, 0, 0, 1, 1, 2]
-    assert sorted(r.s for r in encode_strings(df, null_code=-1, max_labels=0).collect()) == [-1, -1, -1, 0, 0, 1, 1, 2]
 
 
 def test_first_rows_per_group_are_cut_before_the_shuffle(spark):

@@ -15,7 +15,7 @@ from fathomry.sources import readers, writers
 def test_performance_dates_and_header(spark, tmp_path):
     line = "|".join(["7", "03/01/2001", "BANK", "6.5", "100.0", *[""] * 5, "2", *[""] * 20])
     (tmp_path / "p.txt").write_text("header" + "|" * 30 + "\n" + line + "\n")
-    row = readers.read_performance(spark, str(tmp_path), header=True).first()
+    row = readers.read_performance(spark, str(tmp_path), header=True)[0].first()
     assert (row.loan_id, str(row.monthly_reporting_period), row.current_loan_delinquency_status, row.mod_flag) == (7, "2001-03-01", 2, None)
     assert len(row) == 31
 

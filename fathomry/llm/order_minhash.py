@@ -156,7 +156,7 @@ def links(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text",
     """Verified links (center, member, near) between digests of different texts."""
     texts = _texts(docs, key, text).filter(F.col("digest").isNotNull()).select("digest", "text")
     sketched = texts.mapInArrow(_sketched(tables, length, size), "digest binary, n int, sketches array<long>")
-    sketched = _stored(sketched, folder, "sketched")
+    sketched = _stored(sketched.dropDuplicates(["digest"]), folder, "sketched")
     members = sketched.select("digest", "n", F.posexplode("sketches").alias("table", "sketch")).select("digest", "n", "table", F.xxhash64("table", "sketch").alias("bucket"))
     found = taken = None
     number = 0
@@ -179,7 +179,10 @@ def links(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text",
         rejected = candidates.join(found.filter(F.col("near") > 0).select("center", "member"), ["center", "member"], "left_anti").select(F.col("member").alias("digest"), "n", "table", "bucket")
         number += 1
         more = F.col("sketches")[(F.col("table") + number) % tables]
-        members = rejected.join(sketched.select("digest", "sketches").dropDuplicates(["digest"]), "digest").select("digest", "n", "table", F.xxhash64("bucket", more).alias("bucket"))
+        members = rejected.join(sketched.select("digest", "sketches"), "digest").select("digest", "n", "table", F.xxhash64("bucket", more).alias("bucket"))
+        members = _stored(members, folder, f"rejected-{number}")
+        if members.isEmpty():
+            break
     if found is None:
         return docs.sparkSession.createDataFrame([], "center binary, member binary, near double")
     return found.filter(F.col("near") > 0)

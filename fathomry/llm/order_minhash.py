@@ -5,10 +5,12 @@ their occurrence. Each of ``TABLES`` sketches hashes all labelled shingles anew,
 and keeps them in text order, so two texts agree in a sketch with a chance that falls with their edit
 distance, not only with the shingles they share.
 
-Texts that agree in a sketch form a bucket. Within a bucket each text is compared with its first member
-only, so a bucket of n texts gives n candidates and never n times n. What the first member rejects goes to
-another round, in buckets that must also agree in a further sketch and have a first member of their own, until
-no bucket has two members. Exact copies are one text from the start.
+Texts that agree in a sketch form a bucket. Each bucket's centre, the text that shares most sketches with others,
+is compared with all of it, and what it accepts becomes one class. Texts of a bucket that are in different
+classes after that are dealt anew, by their rarest shingles: two texts that align far enough share one of these,
+so no pair is lost, while a passage that many texts have is rarely among them. Each of these buckets takes one
+centre, then four, sixteen and so on, until all of its pairs are compared, of one class, or too unlike in length.
+So a group of n near copies takes about n comparisons. Exact copies are one text from the start.
 
 A candidate counts if at least ``SIMILARITY`` of the longer text's shingles align in order: the longest common
 subsequence of both shingle sequences, computed bit-parallel inside the band of diagonals that such an
@@ -152,37 +154,79 @@ def _stored(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
 
 
+def _marked(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in slices(batches, SLICE):
+            marks = [labelled(shingles(hashes.array(fold_words(text)), size)).view(np.int64) for text in text_bytes(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(marks, pa.list_(pa.int64()))], names=["digest", "marks"])
+
+    return run
+
+
+def _by_rare_shingles(rest: DataFrame, taken: DataFrame, similarity: float, size: int) -> DataFrame:
+    """(digest, n, score, bucket) of ``rest`` (digest, n, score) with the rarest labelled shingles as buckets.
+
+    Texts of n shingles that align in ``similarity`` of the longer one have so many labelled shingles in common
+    that, in any one order of them, they share one of the first ``n - least + 1``.
+    """
+    marks = taken.join(rest.select("digest"), "digest", "left_semi").mapInArrow(_marked(size), "digest binary, marks array<long>")
+    marks = marks.select("digest", F.explode("marks").alias("bucket"))
+    ranked = spread_join(marks, marks.groupBy("bucket").agg(F.count(F.lit(1)).alias("often")), ["bucket"], "inner")
+    first = ranked.groupBy("digest").agg(F.array_sort(F.collect_list(F.struct("often", "bucket"))).alias("marks")).join(rest, "digest")
+    least = F.ceil(F.col("n") * F.lit(similarity) - F.lit(1e-9)).cast("int")
+    first = first.select("digest", "n", "score", F.explode(F.slice("marks", F.lit(1), F.col("n") - least + 1)).alias("mark"))
+    return first.filter("mark.often > 1").select("digest", "n", "score", F.col("mark.bucket").alias("bucket"))
+
+
 def links(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, tables: int = TABLES, length: int = LENGTH, size: int = WORDS) -> DataFrame:
     """Verified links (center, member, near) between digests of different texts."""
     texts = _texts(docs, key, text).filter(F.col("digest").isNotNull()).select("digest", "text")
     sketched = texts.mapInArrow(_sketched(tables, length, size), "digest binary, n int, sketches array<long>")
     sketched = _stored(sketched.dropDuplicates(["digest"]), folder, "sketched")
-    members = sketched.select("digest", "n", F.posexplode("sketches").alias("table", "sketch")).select("digest", "n", "table", F.xxhash64("table", "sketch").alias("bucket"))
-    found = taken = None
-    number = 0
+    members = sketched.select("digest", "n", F.posexplode("sketches").alias("table", "sketch")).select("digest", "n", F.xxhash64("table", "sketch").alias("bucket"))
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    members = _stored(spread_join(members, sizes, ["bucket"], "inner"), folder, "crowded")
+    score = members.groupBy("digest").agg(F.sum("size").alias("score"))
+    members = _stored(members.drop("size").join(score, "digest").withColumn("class", F.col("digest")), folder, "members")
+    taken = _stored(texts.join(members.select("digest").distinct(), "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text")), folder, "texts")
+    ends = F.least("center", "member").alias("a"), F.greatest("center", "member").alias("b")
+    found, number, shares = None, 0, 1
     while True:
-        first = members.groupBy("bucket").agg(F.min(F.struct("digest", "n")).alias("first"), F.max("digest").alias("last")).filter(F.col("first.digest") != F.col("last"))
-        candidates = members.join(first, "bucket").filter(F.col("digest") != F.col("first.digest"))
-        like = F.least("n", "first.n") >= F.greatest("n", "first.n") * similarity - 1e-9
-        candidates = _stored(candidates.select("bucket", "table", F.col("first.digest").alias("center"), F.col("digest").alias("member"), "n", like.alias("like")).distinct(), folder, f"candidates-{number}")
-        if candidates.isEmpty():
+        share = F.pmod(F.xxhash64("digest", F.lit(number)), F.lit(shares)).alias("share")
+        centers = members.groupBy("bucket", share).agg(F.max(F.struct("score", "digest", "n", "class")).alias("c"), F.min("class").alias("lo"), F.max("class").alias("hi"))
+        mixed = centers.groupBy("bucket").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo != hi").select("bucket")
+        centers = _stored(centers.select("bucket", "c").join(mixed, "bucket"), folder, f"centers-{number}")
+        if centers.isEmpty():
             break
-        if taken is None:
-            wanted = candidates.select(F.explode(F.array("center", "member")).alias("digest")).distinct()
-            taken = _stored(texts.join(wanted, "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text")), folder, "texts")
-        pairs = candidates.filter("like").select("center", "member").distinct()
+        like = F.least("n", "c.n") >= F.greatest("n", "c.n") * similarity - 1e-9
+        pairs = spread_join(members, centers, ["bucket"], "inner").filter(like & (F.col("class") != F.col("c.class")))
+        pairs = pairs.select(F.col("c.score").alias("score"), F.col("c.digest").alias("center"), F.col("digest").alias("member"))
+        # Where both are centres, the one of higher score stays it.
+        pairs = pairs.groupBy(*ends).agg(F.max(F.struct("score", "center", "member")).alias("p"))
         if found is not None:
-            pairs = pairs.join(found, ["center", "member"], "left_anti")
+            pairs = pairs.join(found.select(*ends), ["a", "b"], "left_anti")
+        pairs = _stored(pairs.select("p.center", "p.member"), folder, f"pairs-{number}")
         joined = pairs.join(taken.withColumnRenamed("digest", "member"), "member").join(taken.select(F.col("digest").alias("center"), F.col("text").alias("center_text")), "center")
         checked = _stored(joined.mapInArrow(_verified(similarity, size), "center binary, member binary, near double"), folder, f"checked-{number}")
         found = checked if found is None else found.unionByName(checked)
-        rejected = candidates.join(found.filter(F.col("near") > 0).select("center", "member"), ["center", "member"], "left_anti").select(F.col("member").alias("digest"), "n", "table", "bucket")
+        # What a centre leaves has met it; the others of its bucket have not met each other.
+        met = centers.select("bucket", F.col("c.digest").alias("digest"))
+        left = members.join(centers.select("bucket").distinct(), "bucket", "left_semi").join(met, ["bucket", "digest"], "left_anti").drop("class")
+        edges = found.filter("near > 0").select(F.col("center").alias("a"), F.col("member").alias("b"))
+        classes = spread_least(edges, fresh_dir(docs.sparkSession, "near")).withColumnRenamed("node", "digest")
+        left = left.join(classes, "digest", "left").withColumn("class", F.coalesce("class", "digest"))
+        left = _stored(left, folder, f"left-{number}")
+        if number == 0:
+            mixed = left.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo != hi").select("bucket")
+            rest = left.join(mixed, "bucket", "left_semi").select("digest", "n", "score", "class").distinct()
+            rest = _stored(rest, folder, "rest")
+            left = _by_rare_shingles(rest.drop("class"), taken, similarity, size).join(rest.select("digest", "class"), "digest")
+            left = _stored(left, folder, "rare")
+        else:
+            shares *= 4
+        members = left
         number += 1
-        more = F.col("sketches")[(F.col("table") + number) % tables]
-        members = rejected.join(sketched.select("digest", "sketches"), "digest").select("digest", "n", "table", F.xxhash64("bucket", more).alias("bucket"))
-        members = _stored(members, folder, f"rejected-{number}")
-        if members.isEmpty():
-            break
     if found is None:
         return docs.sparkSession.createDataFrame([], "center binary, member binary, near double")
     return found.filter(F.col("near") > 0)

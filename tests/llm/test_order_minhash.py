@@ -139,3 +139,37 @@ def test_long_chains_become_one_class(spark, tmp_path):
     edges = spark.createDataFrame([(bytes([i]), bytes([i + 1])) for i in range(0, 60)] + [(b"\xf0", b"\xf1")], "a binary, b binary")
     rows = {bytes(r.node): bytes(r["class"]) for r in omh.spread_least(edges, str(tmp_path)).collect()}
     assert set(rows.values()) == {b"\x00", b"\xf0"} and len(rows) == 63
+
+
+def replaced(r, words, n):
+    own = list(words)
+    for at in r.sample(range(len(own)), n):
+        own[at] = f"x{r.randrange(10**9)}"
+    return own
+
+
+@pytest.mark.parametrize("size", [5, 100])
+def test_stars_and_chains_of_edits(docs_of, size):
+    """Edits that are near their base or the edit before them, but seldom near each other."""
+    r = random.Random(size)
+    texts = []
+    for _ in range(4 if size < 100 else 1):
+        base = [f"w{r.randrange(10**6)}" for _ in range(300)]
+        texts += [" ".join(base), *[" ".join(replaced(r, base, 8)) for _ in range(size)]]
+        own = [f"w{r.randrange(10**6)}" for _ in range(300)]
+        for _ in range(size):
+            texts.append(" ".join(own))
+            own = replaced(r, own, 6)
+    rows = {x.doc_id: x.class_id for x in omh.near_duplicates(docs_of(texts)).collect()}
+    want = dict((int(k), int(c)) for k, c in classes(list(enumerate(texts))))
+    assert sum(rows[k] != c for k, c in want.items()) <= len(texts) // 100
+
+
+def test_texts_around_one_hot_passage(docs_of):
+    r = random.Random(4)
+    passage = [f"p{i}" for i in range(90)]
+    texts = []
+    for _ in range(60):
+        base = [*passage, *[f"y{r.randrange(10**6)}" for _ in range(60)]]
+        texts += [" ".join(base), " ".join(replaced(r, base, 3))]
+    assert got(docs_of(texts)) == classes(list(enumerate(texts)))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomry.llm import licenses, order_minhash, personal_data, phrases, pieces, secrets, simhash, token_files, toxicity, windows
+from fathomry.llm import licenses, order_minhash, personal_data, phrases, pieces, secrets, simhash, suffix_dedup, token_files, toxicity, windows
 from fathomry.session import apply_defaults, fresh_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +118,9 @@ def op8(spark, sf):
 def op9(spark, sf):
     """Personal data in every text."""
     return personal_data.digest(personal_data.find_personal_data(table(spark, sf, "documents")))
+
+
+@query("op13_suffix_dedup")
+def op13(spark, sf):
+    """Every text without what documents of smaller id have too."""
+    return suffix_dedup.digest(suffix_dedup.remove_owned(table(spark, sf, "documents")))

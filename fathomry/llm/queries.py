@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomry.llm import licenses, order_minhash, personal_data, phrases, pieces, secrets, simhash, suffix_dedup, token_files, toxicity, windows
+from fathomry.llm import alignment, divergence, licenses, order_minhash, personal_data, phrases, pieces, secrets, simhash, suffix_dedup, token_files, toxicity, windows
 from fathomry.session import apply_defaults, fresh_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,6 +120,34 @@ def op9(spark, sf):
     return personal_data.digest(personal_data.find_personal_data(table(spark, sf, "documents")))
 
 
+@query("op11_tokenizer_alignment")
+def op11(spark, sf):
+    """Groups and links of the tokens of two tokenizers over every text."""
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.align(table(spark, sf, "documents"), *paths)
+
+
+@query(
+    "op12_source_divergence",
+    r"""WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+    t AS (SELECT id, lang, source, unnest(w) AS term FROM d),
+    k AS (SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT id) >= 10),
+    c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN k USING (lang, term) GROUP BY lang, source, term),
+    v AS (SELECT lang, count(*) AS v, sum(n) AS s FROM k GROUP BY lang),
+    g AS (SELECT DISTINCT lang, source FROM d),
+    a AS (SELECT lang, source, v, s AS ls, coalesce(u, 0) AS gs FROM g JOIN v USING (lang) LEFT JOIN (SELECT lang, source, sum(n) AS u FROM c GROUP BY lang, source) USING (lang, source)),
+    p AS (SELECT a.lang, a.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (gs + 2 * v) AS p, 1 + (1000000000::HUGEINT * (k.n + 2)) // (ls + 2 * v) AS q
+      FROM a JOIN k USING (lang) LEFT JOIN c ON c.lang = a.lang AND c.source = a.source AND c.term = k.term),
+    s AS (SELECT x.lang, x.source, y.source AS item, sum(((x.p - y.p) * (x.p - y.p)) // (x.p + y.p)) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+    r AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN s ON s.lang = x.lang AND s.source = x.source AND s.item = y.source
+      UNION ALL SELECT lang, source, 'term', term, CAST(((p - q) * (p - q)) // (p + q) AS BIGINT) FROM p WHERE n > 0 AND p > q)
+    SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM r) WHERE part = 'pair' OR rank <= 10""",
+)
+def op12(spark, sf):
+    """How far the sources of each language lie apart, and the terms that mark them."""
+    return divergence.divergence(table(spark, sf, "documents"))
+
+
 @query("op13_suffix_dedup")
 def op13(spark, sf):
     """Every text without what documents of smaller id have too."""

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomry.llm.suffix_order import MEMORY, Scratch, induced
-from fathomry.llm.texts import slices, text_bytes
+from fathomry.llm.texts import pack, slices, text_bytes, unpack
 from fathomry.operators.lookups import spread_join
 from fathomry.session import fresh_dir
 
@@ -46,26 +46,6 @@ REPLY = "slice long, about binary, spans binary"
 SPANS = "nokey boolean, key long, digest binary, spans binary"
 
 
-def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of integers, byte planes apart, compressed."""
-    parts = [np.array([len(arrays), *[x for a in arrays for x in (a.dtype.itemsize, len(a))]], dtype="<i8").tobytes()]
-    parts += [np.ascontiguousarray(np.ascontiguousarray(a).view("u1").reshape(-1, a.dtype.itemsize).T).tobytes() for a in arrays]
-    data = b"".join(parts)
-    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
-
-
-def unpack(data: bytes) -> list[np.ndarray]:
-    whole = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
-    n = int(np.frombuffer(whole, "<i8", 1)[0])
-    about = np.frombuffer(whole, "<i8", 2 * n, 8).reshape(n, 2)
-    out, at = [], 8 + 16 * n
-    for size, length in about.tolist():
-        planes = np.frombuffer(whole, "u1", size * length, at).reshape(size, length)
-        out.append(np.ascontiguousarray(planes.T).view(f"<i{size}").ravel())
-        at += size * length
-    return out
-
-
 def gram_values(data: np.ndarray, gram: int, hot: np.ndarray, block: int = 1 << 20) -> np.ndarray:
     """Rank of the gram at each place: 30 bits of its hash, above them one for no space in front and one for ``hot``."""
     n = len(data) - gram + 1

@@ -29,8 +29,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Most pieces of text whose ids a task remembers.
+#: Most words whose ids a task remembers, and words that are encoded together.
 REMEMBERED = 1_000_000
+TOGETHER = 256
 
 #: White space beside space and line feed: the ASCII ones, and beginnings of the others in UTF-8.
 ASCII_SPACES = b"\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
@@ -39,24 +40,29 @@ MANIFEST = "part string, documents long, tokens long, id_bytes int"
 
 
 class Encoder:
-    """A tokenizer of the tokenizers library, with the ids of space-separated pieces remembered.
+    """A tokenizer of the tokenizers library, with the ids of space-separated words remembered.
 
     Byte-level tokenizers split a text before a space that stands alone between two other characters, and
-    treat what lies between such places by itself; so ids of the pieces, joined, are ids of the text. Texts
-    with any other white space than that, or lone line feeds, go to the tokenizer whole.
+    treat what lies between such places by itself; so ids of the words, joined, are ids of the text. Words a task
+    has not met are encoded together, one text of ``TOGETHER`` words with a space before each: a token that begins with
+    a space is then the first of its word. Texts with any other white space than that, or lone line feeds, go
+    to the tokenizer whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain_specials: bool = False):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has the cores
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = plain_specials
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.pieces = self._by_pieces()
+        self.by_words = self._by_words()
         self._known: dict[str, bytes] = {}
-        self._known_parts: dict[str, bytes] = {}
+        self._first: dict[str, bytes] = {}
+        names = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
+        self._heads = np.array([x.startswith("Ġ") for x in names])
 
-    def _by_pieces(self) -> bool:
+    def _by_words(self) -> bool:
         """Whether the tokenizer splits texts as described, tried on its own pre-tokenizer."""
         rule = self.tokenizer.pre_tokenizer
         if rule is None or type(rule).__name__ != "ByteLevel" or self.tokenizer.normalizer is not None or rule.add_prefix_space:
@@ -67,19 +73,19 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype=self.dtype).tobytes() for x in found]
 
-    def _parts(self, word: str) -> list[str]:
-        """A piece cut further where letters or digits meet points or commas, and around line ends."""
-        out = []
-        for line in word.split("\n") if "\n" in word else (word,):
-            head = line.rstrip(".,")
-            if head and head[-1].isalnum():
-                out.append(head)
-                if len(head) < len(line):
-                    out.append(line[len(head) :])
-            else:
-                out.append(line)
-            out.append("\n")
-        out.pop()
+    def _words(self, words: list[str]) -> list[bytes]:
+        """ids of each word with a space before it."""
+        out: list[bytes] = []
+        together = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
+        size = np.dtype(self.dtype).itemsize
+        for part, found in zip(together, self.tokenizer.encode_batch_fast([" " + " ".join(p) for p in together], add_special_tokens=False)):
+            ids = np.array(found.ids, dtype=self.dtype)
+            starts = np.flatnonzero(self._heads[ids])
+            if len(starts) != len(part):  # a word with a token that begins with a space and has none
+                out += self._whole([" " + w for w in part])
+                continue
+            raw, cuts = ids.tobytes(), (starts * size).tolist()
+            out += [raw[a:b] for a, b in zip(cuts, [*cuts[1:], len(raw)])]
         return out
 
     @staticmethod
@@ -90,34 +96,30 @@ class Encoder:
         data = text.encode()
         return len(data.translate(None, ASCII_SPACES)) == len(data) and (data.isascii() or not any(w in data for w in WIDE_SPACES))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """ids of each text, packed."""
-        if len(self._known) > REMEMBERED:
-            self._known.clear()
-        if len(self._known_parts) > REMEMBERED:
-            self._known_parts.clear()
-        known, known_parts = self._known, self._known_parts
-        split: list[list[str] | None] = []
-        cut: dict[str, list[str]] = {}
-        for text in texts:
-            words = text.split(" ") if self.pieces and self._plain(text) else None
-            if words is not None:
-                cut.update((w, self._parts(" " + w)) for w in words[1:] if w not in known and w not in cut)
-                words[0] = f"\0{words[0]}"  # the first piece has no space before it
-                if words[0] not in known:
-                    cut[words[0]] = self._parts(words[0][1:])
-            split.append(words)
-        if cut:
-            parts = list(dict.fromkeys(x for xs in cut.values() for x in xs if x not in known_parts))
-            known_parts.update(zip(parts, self._whole(parts)))
-            known.update((w, b"".join([known_parts[x] for x in xs])) for w, xs in cut.items())
-        whole = iter(self._whole([t for t, w in zip(texts, split) if w is None]))
-        return [next(whole) if words is None else b"".join([known[w] for w in words]) for words in split]
+    def encode(self, texts: list[str], space: bool = False) -> list[bytes]:
+        """ids of each text, packed; with ``space``, of a space and the text."""
+        for known in (self._known, self._first):
+            if len(known) > REMEMBERED:
+                known.clear()
+        known, first = self._known, self._first
+        split = [text.split(" ") if self.by_words and self._plain(text) else None for text in texts]
+        new = {w for words in split if words is not None for w in words[not space :]}.difference(known)
+        if new:
+            new = list(new)
+            known.update(zip(new, self._words(new)))
+        if not space:
+            new = list({words[0] for words in split if words is not None}.difference(first))
+            first.update(zip(new, self._whole(new)))
+        whole = iter(self._whole([" " * space + t for t, w in zip(texts, split) if w is None]))
+        get = known.__getitem__
+        if space:
+            return [next(whole) if words is None else b"".join(map(get, words)) for words in split]
+        return [next(whole) if words is None else first[words[0]] + b"".join(map(get, words[1:])) for words in split]
 
 
 @lru_cache(maxsize=2)
-def load(path: str) -> Encoder:
-    return Encoder(path)
+def load(path: str, plain_specials: bool = False) -> Encoder:
+    return Encoder(path, plain_specials)
 
 
 def _open(folder: str) -> tuple[pfs.FileSystem, str]:

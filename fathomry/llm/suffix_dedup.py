@@ -9,7 +9,8 @@ frequent is estimated from ``SAMPLE`` bytes of documents; it moves strings betwe
 
 A shard puts its strings into suffix order by external induced sorting (``suffix_order``), which carries the common
 prefix of neighbours; where that is ``WIDTH`` or more, windows are equal, and the least id of the documents that
-have one is known. Strings whose least gram stands in one document only have no equal elsewhere and are not
+have one is known. A window reaches far enough to one side of its gram to hold half of what is left of it beside the
+gram; a string whose grams stand beside such a context in one document only has no equal window elsewhere and is not
 sorted. Windows of documents with a greater id go back to their slice, where they merge into maximal spans.
 """
 
@@ -30,11 +31,13 @@ from fathomry.operators.lookups import spread_join
 from fathomry.session import fresh_dir
 
 WIDTH = 50
-GRAM = 12
+GRAM = 8
 #: Bytes of strings a shard receives on average, windows one string holds at most, bytes of text in a slice.
 SHARD = 8_000_000
 LONGEST = 256
 SLICE = 8_000_000
+#: Of the compression of strings.
+LEVEL = 6
 #: Bytes of documents in which frequent grams are looked for, and their share of documents.
 SAMPLE = 64_000_000
 OFTEN = 0.005
@@ -148,7 +151,7 @@ def _send(shards: int, width: int, gram: int, bits: bytes | None):
                     np.diff(place[ids[at]], prepend=0).astype("<i4"), np.diff(starts[at], prepend=0).astype("<i4"),
                     np.diff(keys[d], prepend=0).astype("<i8"), nokey[d],
                 )
-                packed = len(joined).to_bytes(8, "little") + pa.compress(joined, codec="zstd", asbytes=True)
+                packed = len(joined).to_bytes(8, "little") + pa.Codec("zstd", compression_level=LEVEL).compress(joined, asbytes=True)
                 for column, value in zip(out, (s, name, None if out[0] else about, packed, numbers)):
                     column.append(value)
             kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
@@ -196,6 +199,45 @@ def _settle(least: np.ndarray, places: np.ndarray, group: np.ndarray, owner: np.
         least[places] = np.repeat(np.minimum.reduceat(owner[who[places]], cuts), np.diff(np.append(cuts, len(places))))
 
 
+def _met_elsewhere(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray, which: np.ndarray, rank: np.ndarray, width: int, gram: int, hot: np.ndarray) -> np.ndarray:
+    """Whether a string has its least gram beside a context that another document has too.
+
+    ``which`` and ``rank`` are the strings and documents of all places. Equal windows of two documents have equal
+    contexts at the same gram, so none of them is in a string that is left out.
+    """
+    low, high = np.full(len(starts), NO_WINDOW, dtype=np.int32), np.full(len(starts), -1, dtype=np.int32)
+    np.minimum.at(low, which, rank)
+    np.maximum.at(high, which, rank)
+    values = gram_values(raw, gram, hot)
+    least = window_least(values, width - gram + 1)[starts]
+    who = np.repeat(np.arange(len(starts), dtype=np.int32), lengths)[: len(values)]
+    at = np.flatnonzero(values == least[who])
+    who = who[at].astype(np.int64)
+    stop = starts + lengths
+    at, who = at[at + gram <= stop[who]], who[at + gram <= stop[who]]
+    beside = (width - gram + 1) // 2
+    size = gram + beside
+    wide = np.ndarray((len(raw) - 7,), dtype="<u8", buffer=raw.data, strides=(1,))
+    keys, strings = [], []
+    for side, first in ((0, at), (1, at - beside)):
+        inside = (first >= starts[who]) & (first + size <= stop[who])
+        first = first[inside]
+        h = np.full(len(first), side, dtype=np.uint64)
+        for step in [*range(0, size - 8, 8), size - 8]:
+            h = (h ^ wide[first + step]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        keys.append(h)
+        strings.append(who[inside])
+    keys, strings = np.concatenate(keys), np.concatenate(strings)
+    _, same = np.unique(keys, return_inverse=True)
+    first, last = np.full(len(keys), NO_WINDOW, dtype=np.int32), np.full(len(keys), -1, dtype=np.int32)
+    np.minimum.at(first, same, low[strings])
+    np.maximum.at(last, same, high[strings])
+    met = np.zeros(len(starts), dtype=bool)
+    met[strings[(first < last)[same]]] = True
+    return met
+
+
 def _judge(width: int, gram: int, bits: bytes | None, folder: str, memory: int):
     def run(group: pa.Table) -> pa.Table:
         texts, lengths, rows, which, offsets, keys, nokey = [], [], [], [], [], [], []
@@ -216,15 +258,9 @@ def _judge(width: int, gram: int, bits: bytes | None, folder: str, memory: int):
         # Documents by rank of their id; those without one come after all others.
         known, rank = np.unique(keys, return_inverse=True)
         rank = np.where(nokey == 1, len(known), rank).astype(np.int32)
-        low, high = np.full(len(lengths), NO_WINDOW, dtype=np.int32), np.full(len(lengths), -1, dtype=np.int32)
+        wanted = np.flatnonzero(_met_elsewhere(np.frombuffer(raw, "u1"), starts, lengths, which, rank, width, gram, _table(bits)))
+        low = np.full(len(lengths), NO_WINDOW, dtype=np.int32)
         np.minimum.at(low, which, rank)
-        np.maximum.at(high, which, rank)
-        grams = window_least(gram_values(np.frombuffer(raw, "u1"), gram, _table(bits)), width - gram + 1)[starts]
-        _, same = np.unique(grams, return_inverse=True)
-        least_low, most_high = np.full(same.max() + 1, NO_WINDOW, dtype=np.int32), np.full(same.max() + 1, -1, dtype=np.int32)
-        np.minimum.at(least_low, same, low)
-        np.maximum.at(most_high, same, high)
-        wanted = np.flatnonzero((least_low < most_high)[same])
         spans: list[tuple[np.ndarray, ...]] = []
         if len(wanted):
             seen: dict[bytes, int] = {}

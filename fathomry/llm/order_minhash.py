@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomry.llm.texts import WordHashes, fold_words, slices, text_bytes
@@ -37,6 +37,8 @@ SIMILARITY = 0.8
 TABLES = 12
 LENGTH = 2
 SLICE = 8_000_000
+#: Rows of a small table in one file.
+ROWS = 200_000
 
 
 def shingles(hashes: np.ndarray, size: int = WORDS) -> np.ndarray:
@@ -122,7 +124,8 @@ def _sketched(tables: int, length: int, size: int):
         hashes = WordHashes()
         for batch in slices(batches, SLICE):
             digests, counts, keys = [], [], []
-            for digest, text in zip(batch.column("digest").to_pylist(), text_bytes(batch.column("text"))):
+            texts = dict(zip(batch.column("digest").to_pylist(), text_bytes(batch.column("text"))))  # copies once
+            for digest, text in texts.items():
                 found = shingles(hashes.array(fold_words(text)), size)
                 if len(found):
                     digests.append(digest)
@@ -143,17 +146,28 @@ def _verified(similarity: float, size: int):
                 if a != center[0]:
                     center = a, shingles(hashes.array(fold_words(text)), size)
                 near.append(aligned(center[1], shingles(hashes.array(fold_words(other)), size), similarity))
-            yield pa.RecordBatch.from_arrays([batch.column("center"), batch.column("member"), pa.array(near, pa.float64())], names=["center", "member", "near"])
+            kept = ["center", "member", "of_center", "of_member"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(near, pa.float64())], names=[*kept, "near"])
 
     return run
 
 
-def _stored(df: DataFrame, folder: str, name: str) -> DataFrame:
-    """Cut the lineage with a written table in the shared folder."""
+def _stored(df: DataFrame, folder: str, name: str, rows: int | None = None) -> DataFrame:
+    """Cut the lineage with a written table in the shared folder; one known to have few rows is written in few files."""
+    if rows is not None:
+        df = df.coalesce(1 + rows // ROWS)
     df.write.mode("overwrite").parquet(f"{folder}/{name}")
     return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
 
 
+def _dropped(docs: DataFrame, folder: str, names: list[str]) -> None:
+    """Delete tables that nothing reads any more."""
+    jvm = docs.sparkSession._jvm
+    for name in names:
+        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        path.getFileSystem(docs.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _marked(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -179,67 +193,81 @@ def _by_rare_shingles(rest: DataFrame, taken: DataFrame, similarity: float, size
     return first.filter("mark.often > 1").select("digest", "n", "score", F.col("mark.bucket").alias("bucket"))
 
 
-def links(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, tables: int = TABLES, length: int = LENGTH, size: int = WORDS) -> DataFrame:
-    """Verified links (center, member, near) between digests of different texts."""
+def links(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, tables: int = TABLES, length: int = LENGTH, size: int = WORDS) -> tuple[DataFrame, DataFrame]:
+    """Verified links (center, member, near) between digests of different texts, and their classes (digest, class)."""
     texts = _texts(docs, key, text).filter(F.col("digest").isNotNull()).select("digest", "text")
     sketched = texts.mapInArrow(_sketched(tables, length, size), "digest binary, n int, sketches array<long>")
     sketched = _stored(sketched.dropDuplicates(["digest"]), folder, "sketched")
     members = sketched.select("digest", "n", F.posexplode("sketches").alias("table", "sketch")).select("digest", "n", F.xxhash64("table", "sketch").alias("bucket"))
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = _stored(spread_join(members, sizes, ["bucket"], "inner"), folder, "crowded")
-    score = members.groupBy("digest").agg(F.sum("size").alias("score"))
-    members = _stored(members.drop("size").join(score, "digest").withColumn("class", F.col("digest")), folder, "members")
-    taken = _stored(texts.join(members.select("digest").distinct(), "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text")), folder, "texts")
+    score = F.sum("size").over(Window.partitionBy("digest")).alias("score")  # of at most ``tables`` rows
+    crowded = spread_join(members, sizes, ["bucket"], "inner").select("digest", "n", "bucket", score)
+    members = _stored(crowded.withColumn("class", F.col("digest")), folder, "members")
+    rows = members.count()
+    classes = _stored(members.select("digest", "class").distinct(), folder, "classes", rows)
+    # Copies become one row before they meet in a task.
+    taken = texts.groupBy("digest").agg(F.first("text").alias("text")).join(classes.select("digest"), "digest", "left_semi")
+    taken = _stored(taken, folder, "texts")
     ends = F.least("center", "member").alias("a"), F.greatest("center", "member").alias("b")
-    found, number, shares = None, 0, 1
+    _dropped(docs, folder, ["sketched"])
+    found, number, shares, now = None, 0, 1, ["members", "classes"]
     while True:
         share = F.pmod(F.xxhash64("digest", F.lit(number)), F.lit(shares)).alias("share")
         centers = members.groupBy("bucket", share).agg(F.max(F.struct("score", "digest", "n", "class")).alias("c"), F.min("class").alias("lo"), F.max("class").alias("hi"))
         mixed = centers.groupBy("bucket").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo != hi").select("bucket")
-        centers = _stored(centers.select("bucket", "c").join(mixed, "bucket"), folder, f"centers-{number}")
+        centers = _stored(centers.select("bucket", "c").join(mixed, "bucket"), folder, f"centers-{number}", rows)
         if centers.isEmpty():
             break
         like = F.least("n", "c.n") >= F.greatest("n", "c.n") * similarity - 1e-9
         pairs = spread_join(members, centers, ["bucket"], "inner").filter(like & (F.col("class") != F.col("c.class")))
-        pairs = pairs.select(F.col("c.score").alias("score"), F.col("c.digest").alias("center"), F.col("digest").alias("member"))
+        pairs = pairs.select(F.col("c.score").alias("score"), F.col("c.digest").alias("center"), F.col("digest").alias("member"), F.col("c.class").alias("of_center"), F.col("class").alias("of_member"))
         # Where both are centres, the one of higher score stays it.
-        pairs = pairs.groupBy(*ends).agg(F.max(F.struct("score", "center", "member")).alias("p"))
+        pairs = pairs.groupBy(*ends).agg(F.max(F.struct("score", "center", "member", "of_center", "of_member")).alias("p"))
         if found is not None:
             pairs = pairs.join(found.select(*ends), ["a", "b"], "left_anti")
-        pairs = _stored(pairs.select("p.center", "p.member"), folder, f"pairs-{number}")
+        pairs = _stored(pairs.select("p.center", "p.member", "p.of_center", "p.of_member"), folder, f"pairs-{number}", rows)
         joined = pairs.join(taken.withColumnRenamed("digest", "member"), "member").join(taken.select(F.col("digest").alias("center"), F.col("text").alias("center_text")), "center")
-        checked = _stored(joined.mapInArrow(_verified(similarity, size), "center binary, member binary, near double"), folder, f"checked-{number}")
-        found = checked if found is None else found.unionByName(checked)
+        checked = joined.mapInArrow(_verified(similarity, size), "center binary, member binary, of_center binary, of_member binary, near double")
+        checked = _stored(checked, folder, f"checked-{number}")
+        found = checked.select("center", "member", "near") if found is None else found.unionByName(checked.select("center", "member", "near"))
+        # Classes that a link joins become one; all others stay as they are.
+        joins = _stored(checked.filter("near > 0").select(F.col("of_center").alias("a"), F.col("of_member").alias("b")).distinct(), folder, f"joins-{number}", rows)
+        merged = spread_least(joins, f"{folder}/merged-{number}", joins.count()).select(F.col("node").alias("class"), F.col("class").alias("new"))
+        renamed = lambda df: df.join(merged, "class", "left").withColumn("class", F.coalesce("new", "class")).drop("new")  # noqa: B023, E731
+        classes = _stored(renamed(classes), folder, f"classes-{number}", rows)
         # What a centre leaves has met it; the others of its bucket have not met each other.
         met = centers.select("bucket", F.col("c.digest").alias("digest"))
-        left = members.join(centers.select("bucket").distinct(), "bucket", "left_semi").join(met, ["bucket", "digest"], "left_anti").drop("class")
-        edges = found.filter("near > 0").select(F.col("center").alias("a"), F.col("member").alias("b"))
-        classes = spread_least(edges, fresh_dir(docs.sparkSession, "near")).withColumnRenamed("node", "digest")
-        left = left.join(classes, "digest", "left").withColumn("class", F.coalesce("class", "digest"))
-        left = _stored(left, folder, f"left-{number}")
+        left = members.join(centers.select("bucket").distinct(), "bucket", "left_semi").join(met, ["bucket", "digest"], "left_anti")
+        left = _stored(renamed(left), folder, f"left-{number}", rows)
+        _dropped(docs, folder, [f"{x}-{number}" for x in ("centers", "pairs", "joins", "merged")] + now)
+        now = [f"left-{number}", f"classes-{number}"]
         if number == 0:
             mixed = left.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo != hi").select("bucket")
             rest = left.join(mixed, "bucket", "left_semi").select("digest", "n", "score", "class").distinct()
-            rest = _stored(rest, folder, "rest")
+            rest = _stored(rest, folder, "rest", rows)
             left = _by_rare_shingles(rest.drop("class"), taken, similarity, size).join(rest.select("digest", "class"), "digest")
             left = _stored(left, folder, "rare")
+            _dropped(docs, folder, ["rest", "left-0"])
+            now[0] = "rare"
         else:
             shares *= 4
-        members = left
+        members, rows = left, left.count()
         number += 1
+    _dropped(docs, folder, ["texts", f"centers-{number}", now[0]])
     if found is None:
-        return docs.sparkSession.createDataFrame([], "center binary, member binary, near double")
-    return found.filter(F.col("near") > 0)
+        found = docs.sparkSession.createDataFrame([], "center binary, member binary, near double")
+    return found.filter(F.col("near") > 0), classes
 
 
-def spread_least(edges: DataFrame, folder: str) -> DataFrame:
+def spread_least(edges: DataFrame, folder: str, rows: int | None = None) -> DataFrame:
     """(node, class): the least node of each connected component of edges (a, b).
 
     Each round gives every node the least class of its neighbours and then that class's own class, so long
     chains halve. Rounds are written to the shared folder.
     """
-    both = _stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), folder, "edges")
-    classes = _stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("class")).withColumnRenamed("a", "node"), folder, "classes-0")
+    few = None if rows is None else 2 * rows
+    both = _stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), folder, "edges", few)
+    classes = _stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("class")).withColumnRenamed("a", "node"), folder, "classes-0", few)
     number = 0
     while True:
         number += 1
@@ -247,7 +275,7 @@ def spread_least(edges: DataFrame, folder: str) -> DataFrame:
         closer = classes.join(near, "node").select("node", "class", F.least("class", "near").alias("next"))
         jump = classes.select(F.col("node").alias("next"), F.col("class").alias("beyond"))
         new = closer.join(jump, "next", "left").select("node", F.least("next", F.coalesce("beyond", "next")).alias("class"), (F.least("next", F.coalesce("beyond", "next")) != F.col("class")).alias("moved"))
-        new = _stored(new, folder, f"classes-{number}")
+        new = _stored(new, folder, f"classes-{number}", few)
         if new.filter("moved").isEmpty():
             return new.select("node", "class")
         classes = new.select("node", "class")
@@ -259,11 +287,10 @@ WORDED = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 def _classified(docs: DataFrame, key: str, text: str, **parameters) -> DataFrame:
     """id, digest (null without words), class (least digest; null without words), n_links of every row."""
     folder = fresh_dir(docs.sparkSession, "near")
-    edges = links(docs, folder, key, text, **parameters)
-    classes = spread_least(edges.select(F.col("center").alias("a"), F.col("member").alias("b")), folder)
+    edges, classes = links(docs, folder, key, text, **parameters)
     ends = edges.select(F.explode(F.array("center", "member")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     rows = _texts(docs, key, text).select("id", F.when(F.col("text").rlike(WORDED), F.col("digest")).alias("digest"))
-    about = classes.join(ends, "node").withColumnRenamed("node", "digest")
+    about = ends.withColumnRenamed("node", "digest").join(classes, "digest")
     return spread_join(rows, about, ["digest"]).withColumn("class", F.coalesce("class", "digest"))
 
 

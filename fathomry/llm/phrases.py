@@ -51,11 +51,15 @@ def _n_words() -> Column:
     return (F.size("split") - _shift() - tail).cast("long")
 
 
+def _name(key: str, text: str) -> list[Column]:
+    """doc and sum, 128 bits that name a row by its key (null apart) and its whole text."""
+    own, whole = F.col(f"`{key}`"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    return [F.xxhash64(whole, own, own.isNull()).alias("doc"), F.xxhash64(F.md5(whole.cast("binary")), own, own.isNull()).alias("sum")]
+
+
 def _documents(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """doc and sum name a row: its key, and the text's checksum in case several rows share the key."""
     whole = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    rows = docs.select(F.col(f"`{key}`").alias("id"), F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(-(1 << 63))).alias("doc"), F.crc32(whole.cast("binary")).alias("sum"), whole.alias("text"))
-    return rows.select("id", *DOC, _split(F.col("text")).alias("split"))
+    return docs.select(F.col(f"`{key}`").alias("id"), *_name(key, text), _split(whole).alias("split"))
 
 
 @dataclass
@@ -113,7 +117,8 @@ def _leading(index: Index, slop: int) -> DataFrame:
     first = first.select(*LEADS, *DOC, (F.col("pos") - F.col("ipos1")).alias("diagonal"), "term2", F.explode(F.array(*[F.lit(i) for i in range(-slop, slop + 1)])).alias("off"))
     first = first.withColumn("pos", F.col("diagonal") + F.col("ipos2") + F.col("off"))
     second = index.postings.join(_small(leads.select(F.col("term2").alias("term")).distinct()), "term").withColumnRenamed("term", "term2")
-    return first.join(second, [*DOC, "pos", "term2"]).select(*LEADS, *DOC, "diagonal", "off")
+    # A row that is repeated has each posting as often; of one side they are made one before they meet.
+    return first.join(second.select(*DOC, "pos", "term2").distinct(), [*DOC, "pos", "term2"]).select(*LEADS, *DOC, "diagonal", "off").distinct()
 
 
 def phrase_matches(index: Index) -> DataFrame:
@@ -123,7 +128,7 @@ def phrase_matches(index: Index) -> DataFrame:
     tried = met.join(_small(about), LEADS)
     wanted = tried.select("item", "place", *DOC, "diagonal", "start", "size", F.explode("terms").alias("t"))
     wanted = wanted.select("item", "place", *DOC, "diagonal", "start", "size", (F.col("diagonal") + F.col("t.ipos")).alias("pos"), F.col("t.term").alias("term"))
-    there = index.postings.join(_small(met.select(*DOC).distinct()), DOC, "left_semi")
+    there = index.postings.join(_small(met.select(*DOC).distinct()), DOC, "left_semi").select(*DOC, "pos", "term").distinct()
     whole = wanted.join(there, [*DOC, "pos", "term"]).groupBy("item", "place", *DOC, "diagonal", "start", "size").agg(F.count(F.lit(1)).alias("n"))
     return whole.filter(F.col("n") == F.col("size")).select("item", *DOC, (F.col("diagonal") + F.col("start")).alias("start"), "size").distinct()
 
@@ -159,7 +164,6 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     """Rows of ``docs`` (doc_id, text, ...) without an exact match of any window; all columns kept."""
     index = build_index(docs, items, window)
     dirty = _stored(phrase_matches(index).select(*DOC).distinct(), index.folder, "dirty")
-    whole = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.withColumns({"__doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "__sum": F.crc32(whole.cast("binary"))})
+    keyed = docs.withColumns({f"__{n}": c for n, c in zip(DOC, _name("doc_id", "text"))})
     dirty = dirty.select(F.col("doc").alias("__doc"), F.col("sum").alias("__sum"))
     return keyed.join(dirty, ["__doc", "__sum"], "left_anti").drop("__doc", "__sum")

@@ -330,7 +330,7 @@ def _gather(group: pa.Table) -> pa.Table:
 
 
 def _frequent(width: int, gram: int):
-    """Slots of grams and how many documents of the sample they are met in, at most once each; and the documents."""
+    """Slots of grams and how many documents of the sample they are met in; those rare in a whole slice are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(SLOTS, dtype=bool)
@@ -340,8 +340,7 @@ def _frequent(width: int, gram: int):
             for t in texts:
                 met[np.unique(gram_values(np.frombuffer(t, "u1"), gram, none) & np.uint32(SLOTS - 1))] += 1
             slots = np.flatnonzero(met > OFTEN * len(texts))
-            slot = np.append(slots, -1)
-            yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), pa.array(np.append(met[slots], len(texts)), pa.int64())], names=["slot", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int32()), pa.array(met[slots], pa.int64())], names=["slot", "n"])
 
     return run
 
@@ -350,11 +349,10 @@ def _frequent_grams(rows: DataFrame, volume: int, width: int, gram: int) -> byte
     """One bit per slot of grams: whether it is met in more than ``OFTEN`` of the sample's documents. None: no slot."""
     share = max(1, volume // SAMPLE)
     sample = rows.filter(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).select("text")
-    met = sample.mapInArrow(_frequent(width, gram), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    found = {r.slot: r.n for r in met.collect()}  # at most SLOTS + 1 rows
-    least = OFTEN * found.pop(-1, 0)
+    least = OFTEN * sample.count()
+    met = sample.mapInArrow(_frequent(width, gram), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).filter(F.col("n") > least)
     table = np.zeros(SLOTS, dtype=bool)
-    table[[s for s, n in found.items() if n > least]] = True
+    table[[r.slot for r in met.select("slot").collect()]] = True  # at most SLOTS rows
     return np.packbits(table).tobytes() if table.any() else None
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 
 import pytest
 
@@ -81,7 +82,7 @@ def test_proximity(spark, docs_of):
     item = "zebra one two three four five six seven eight yak"
     texts = ["zebra one two three four five six seven eight extra yak", "zebra yak", item, "none of it one two"]
     index, _ = run(spark, docs_of(texts), texts, [(1, item)])
-    off = {(r.doc, r.off) for r in phrases.proximity_matches(index, 1).collect()}
+    off = {(r.id, r.off) for r in phrases.proximity_matches(index, 1).join(index.rows, ["doc", "sum"]).collect()}
     assert (2, 0) in off and all(d != 3 for d, _ in off)
 
 
@@ -94,6 +95,27 @@ def test_decontaminate_keeps_columns_and_clean_rows(spark, docs_of):
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "1", "3", "None"]
 
 
+def test_repeated_contaminated_rows_and_names_of_rows(spark, docs_of):
+    item = "one two three four five six seven eight nine ten eleven"
+    texts = [item, item, item, item + " " + item, None, "clean", item]
+    ids = [1, 1, 1, 2, 2, None, None]
+    run(spark, docs_of(texts, ids), texts, [(1, item)])
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    kept = phrases.decontaminate(docs_of(texts, ids), bench)
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["2", "None"]
+
+
+def test_texts_of_equal_checksum_without_a_key(spark, docs_of):
+    sums, r = {}, random.Random(11)
+    while True:  # two texts of one 32-bit sum, as any large corpus has
+        text = " ".join(r.choice("abcdefghijklmnop") for _ in range(12))
+        other = sums.setdefault(zlib.crc32(text.encode()), text)
+        if other != text:
+            break
+    texts = [text, other, text]
+    run(spark, docs_of(texts, [None, None, -(2**63)]), texts, [(7, text)])
+
+
 def test_plan_has_no_python(spark):
     docs, bench = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     plan = phrases.hits(phrases.build_index(docs, bench))._jdf.queryExecution().toString()

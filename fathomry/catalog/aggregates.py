@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from fathomry.catalog import standins as S
 from fathomry.catalog.base import query, table
+from fathomry.catalog.scans import annotation_documents
 from fathomry.functions import measures as M
 from fathomry.operators import boxes as B
 from fathomry.operators import loans, report, series
@@ -230,6 +231,23 @@ def _(spark, sf):
     )
 
 
+# The same run by its plain definition: classes of an even number are listed.
+@query(
+    "a18_counted_annotation_run",
+    f"""WITH {S.SCALED_CTE}, listed AS (SELECT DISTINCT synset FROM images WHERE length(synset) % 2 = 0),
+    b AS (SELECT filename, suppkey % 5 = 0 AND other IN (SELECT synset FROM listed) AND other <> synset AS is_foreign, xmin < xmax AND ymin < ymax AS area
+      FROM (SELECT *, 'Brand_' || CAST(1 + suppkey % 40 AS VARCHAR) AS other FROM scaled) WHERE synset IN (SELECT synset FROM listed)),
+    f AS (SELECT filename, count(*) FILTER (WHERE NOT is_foreign AND area) AS saved, count(*) AS boxes, count(*) FILTER (WHERE is_foreign) AS others FROM b GROUP BY 1),
+    a AS (SELECT DISTINCT filename, synset FROM scaled)
+    SELECT synset, CAST(sum(coalesce(saved, 0)) AS BIGINT) AS saved_boxes, CAST(sum(coalesce(boxes - saved, 0)) AS BIGINT) AS skipped_boxes,
+      CAST(sum(coalesce(others, 0)) AS BIGINT) AS foreign_boxes, count(*) FILTER (WHERE saved > 0) AS saved_files, count(*) FILTER (WHERE coalesce(saved, 0) = 0) AS skipped_files
+    FROM a LEFT JOIN f USING (filename) GROUP BY 1""",
+)
+def _(spark, sf):
+    listed = S.images(spark, sf).select("synset").distinct().filter(F.length("synset") % 2 == 0)
+    return B.count_annotations(annotation_documents(spark, sf), listed, by="synset")
+
+
 @query(
     "a19_average_per_bucket_and_term",
     """SELECT event_type, time_bucket(INTERVAL '1 hour', ts) AS bucket, avg(CAST(round(value * 100) AS DOUBLE)) AS average

@@ -293,6 +293,40 @@ def _(spark, sf):
     return clean.select("test_uuid", "images_per_sec", "images_per_sec_per_gpu", "num_copies", "image_format", "MB_per_sec")
 
 
+#: What older records of the second kind of runs lack.
+SECOND_DEFAULTS = {"storage_type": "nfs", "mpi": True, "use_tf_layers": True, "nvlink": True}
+FLAGS = ["CASE WHEN o_orderkey % 5 < 2 THEN TRUE WHEN o_orderkey % 5 = 2 THEN FALSE END AS mpi", "CASE WHEN o_orderkey % 7 = 0 THEN FALSE END AS nvlink",
+         "CASE WHEN o_orderkey % 11 = 0 THEN FALSE END AS use_tf_layers"]
+
+
+@query(
+    "m02_cleaned_second_training_results",
+    f"""WITH {S.TRAINING_CTE}, f AS (SELECT 'run-' || CAST(o_orderkey AS VARCHAR) AS test_uuid, {', '.join(FLAGS)} FROM orders),
+    r AS (SELECT *, TRY_CAST(list_last(regexp_extract_all(output, '(?m)^total images/sec: ([.0-9]+)$', 1)) AS DOUBLE) AS images_per_sec
+      FROM runs JOIN f USING (test_uuid) WHERE error = false)
+    SELECT test_uuid, np AS num_gpus, images_per_sec / np AS images_per_sec_per_gpu, coalesce(num_copies, 1) AS num_copies, 'JPEG' AS image_format,
+      coalesce(storage_type, 'nfs') AS storage_type, coalesce(mpi, true) AS mpi, coalesce(use_tf_layers, true) AS use_tf_layers, coalesce(nvlink, true) AS nvlink,
+      images_per_sec * (CASE data_dir_suffix WHEN '-png2' THEN CAST({results.MEAN_BYTES['-png2']!r} AS DOUBLE) WHEN '-other' THEN NULL
+        ELSE CAST({results.MEAN_BYTES['']!r} AS DOUBLE) END) * 1e-6 AS MB_per_sec FROM r""",
+)
+def _(spark, sf):
+    flags = table(spark, sf, "orders").selectExpr("'run-' || CAST(o_orderkey AS STRING) AS test_uuid", *FLAGS)
+    raw = S.training_runs(spark, sf).join(flags, "test_uuid")
+    clean = results.clean_second_training_results(raw, results.suffix_dimension(spark), SECOND_DEFAULTS)
+    return clean.select("test_uuid", "num_gpus", "images_per_sec_per_gpu", "num_copies", "image_format", *SECOND_DEFAULTS, "MB_per_sec")
+
+
+@query(
+    "m02_rejected_training_results",
+    """SELECT 'run-' || CAST(o_orderkey AS VARCHAR) AS test_uuid, CASE o_orderkey % 6 WHEN 1 THEN 'not a time: utc_begin' WHEN 2 THEN 'not a time: utc_end'
+      ELSE 'not a time: utc_begin, utc_end' END AS reason FROM orders WHERE o_orderkey % 6 IN (1, 2, 3)""",
+)
+def _(spark, sf):
+    n = F.regexp_extract("test_uuid", "[0-9]+", 0).cast("bigint") % 6
+    broken = {"utc_begin": F.when(n.isin(1, 3), F.lit("no time")).otherwise(F.col("utc_begin")), "utc_end": F.when(n.isin(2, 3), F.lit("2019-99-99")).when(n != 4, F.col("utc_end"))}
+    return results.training_rejects(S.training_runs(spark, sf).withColumns(broken)).select("test_uuid", "reason")
+
+
 @query(
     "x14_cleaned_scan_results",
     """SELECT o_orderkey, CASE WHEN b THEN sec END AS compute_sec, CASE WHEN b THEN bytes END AS input_files_size,

@@ -94,6 +94,94 @@ def _(spark, sf):
     return top[0].unionByName(top[1])
 
 
+SLICES = 4
+
+
+def arriving(spark, df, at, jitter):
+    """Lands the rows in slices, in the order of the number ``at`` and up to ``jitter`` late. Yields after each slice: the
+    glob of all that has landed, and whether it was the last."""
+    folder = fresh_dir(spark, "landed")
+    arrival = F.col(at) + F.pmod(F.xxhash64("event_id"), F.lit(1000)) / 1000 * jitter
+    first, last = df.agg(F.min(at), F.max(at)).first()
+    size = ((last or 0) + jitter - (first or 0) + 1) / SLICES
+    part = F.floor((arrival - F.lit(first or 0)) / size).cast("int")
+    for i in range(SLICES):
+        df.filter(part == i).write.parquet(f"{folder}/slice={i}")
+        yield f"{folder}/*", i == SLICES - 1
+
+
+@query(
+    "t01_counter_feed_out_of_order",
+    f"""WITH {S.PORTS_CTE}, p AS (SELECT *, lag(t) OVER w AS t0, lag(counter) OVER w AS c0 FROM ports
+      WINDOW w AS (PARTITION BY device, port, counter_name ORDER BY t))
+    SELECT event_id, device, port, counter_name, t, (counter - c0) / (t - t0) AS rate FROM p WHERE t0 IS NOT NULL""",
+)
+def _(spark, sf):
+    keys = ["device", "port", "counter_name"]
+    out, day = fresh_dir(spark, "feed"), 86_400.0
+    ports = S.ports(spark, sf).select("event_id", *keys, "t", "counter")
+    for path, end in arriving(spark, ports, "t", day):
+        stream = feeds.file_stream(spark, path, ports.schema)
+        rows = feeds.counter_feed(stream, out, keys, "t", "counter", unit=1.0, delay=day, finish=end)
+    return spark.read.parquet(rows).drop("batch", "counter")
+
+
+def closing(spark, sf):
+    """The events as they arrive, up to an hour late, and behind them a mark a day later that closes all windows."""
+    ev = S.events(spark, sf).select("event_id", "user_id", "instance", "cents", "sent", F.col("ts").cast("timestamp").alias("at"), "t_us")
+    mark = ev.agg((F.max("at") + F.expr("INTERVAL 1 DAY")).alias("at")).withColumn("t_us", F.unix_micros("at"))
+    return ev.unionByName(mark, allowMissingColumns=True)
+
+
+HOUR_US = 3_600_000_000
+
+
+@query(
+    "t02_final_utilisation_per_window",
+    f"WITH {S.EVENTS_CTE} SELECT instance, time_bucket(INTERVAL '1 hour', ts) AS window_start, avg(cents) AS average FROM ev GROUP BY 1, 2",
+)
+def _(spark, sf):
+    out, landed = fresh_dir(spark, "feed"), closing(spark, sf)
+    for path, _ in arriving(spark, landed, "t_us", HOUR_US):
+        stream = feeds.file_stream(spark, path, landed.schema)
+        totals = feeds.windowed(stream, "at", "1 hour", ["instance"], [F.avg("cents").alias("average")], delay="2 hours")
+        rows, _ = feeds.final_windows(totals, out)
+    return spark.read.parquet(rows).drop("batch")
+
+
+@query(
+    "t06_top_20_as_windows_close",
+    f"""WITH {S.EVENTS_CTE}, w AS (SELECT time_bucket(INTERVAL '6 hours', ts) AS window_start, user_id, avg(cents) AS cpu, avg(sent) AS memory FROM ev GROUP BY 1, 2)
+    SELECT 'cpu' AS ranked_by, * FROM w QUALIFY row_number() OVER (PARTITION BY window_start ORDER BY cpu DESC, user_id) <= 20
+    UNION ALL SELECT 'memory', * FROM w QUALIFY row_number() OVER (PARTITION BY window_start ORDER BY memory DESC, user_id) <= 20""",
+)
+def _(spark, sf):
+    def ranked(batch, number):
+        # All of a window is in the micro-batch that closes it.
+        top = [first_n_per_group(batch, ["window_start"], [F.desc(v), "user_id"], 20).withColumn("ranked_by", F.lit(v)) for v in ("cpu", "memory")]
+        return top[0].unionByName(top[1])
+
+    out, landed = fresh_dir(spark, "feed"), closing(spark, sf)
+    for path, _ in arriving(spark, landed, "t_us", HOUR_US):
+        stream = feeds.file_stream(spark, path, landed.schema)
+        totals = feeds.windowed(stream, "at", "6 hours", ["user_id"], [F.avg("cents").alias("cpu"), F.avg("sent").alias("memory")], delay="2 hours")
+        rows, _ = feeds.final_windows(totals, out, each=ranked)
+    return spark.read.parquet(rows).drop("batch")
+
+
+@query(
+    "t04_totals_after_own_start",
+    f"""WITH {S.STEPS_CTE} SELECT rank, count(*) AS "rows", CAST(sum(batch_size) AS BIGINT) AS batch_size, CAST(sum(num_bytes) AS BIGINT) AS num_bytes
+    FROM steps WHERE ts >= (SELECT min(ts) FROM steps) + INTERVAL 1 DAY GROUP BY 1""",
+)
+def _(spark, sf):
+    out = fresh_dir(spark, "feed")
+    steps = S.steps(spark, sf).withColumn("event_id", F.col("t_us"))
+    for path, _ in arriving(spark, steps, "t_us", 24 * HOUR_US):
+        rows = feeds.totals_after_warm_up(feeds.file_stream(spark, path, steps.schema), out, "ts", 86_400.0, ["rank"], ["batch_size", "num_bytes"])
+    return feeds.last_batch(spark, rows)
+
+
 MOUNT = "CASE WHEN user_id % 4 = 0 THEN '/proc/fs' WHEN user_id % 4 = 1 THEN '/processed' WHEN user_id % 4 = 2 THEN '/dev' ELSE '/mnt/data' END"
 
 

@@ -130,6 +130,35 @@ def _(spark, sf):
     return series.avg_over_time(ev, ["event_type"], "t_us", "cents", 2 * MINUTE, "average").select("event_id", "average")
 
 
+@query(
+    "w07_average_on_step_grid",
+    f"""WITH {S.EVENTS_CTE}, grid AS (SELECT event_type, unnest(generate_series(
+      min(t_us) // 60000000 * 60000000, max(t_us) + 360000000, 60000000)) AS step_t FROM ev GROUP BY 1),
+    s AS (SELECT g.event_type, g.step_t, avg(e.cents) AS average FROM grid g JOIN ev e ON e.event_type = g.event_type
+      AND e.t_us >= g.step_t - 300000000 AND e.t_us <= g.step_t GROUP BY 1, 2)
+    SELECT step_t, round(sum(average), 6) AS total, round(avg(average), 6) AS average, count(*) AS series FROM s GROUP BY 1""",
+)
+def _(spark, sf):
+    ev = S.events(spark, sf).select("event_type", "t_us", "cents")
+    steps = series.avg_at_step(ev, ["event_type"], "t_us", "cents", MINUTE, 5 * MINUTE)
+    found = series.over_series(steps, "average")
+    return found.select("step_t", F.round("total", 6).alias("total"), F.round("average", 6).alias("average"), "series")
+
+
+@query(
+    "a14_value_at_step_over_series",
+    f"""WITH {S.EVENTS_CTE}, grid AS (SELECT instance, event_type, unnest(generate_series(
+      min(t_us) // 600000000 * 600000000, max(t_us) + 7800000000, 600000000)) AS step_t FROM ev GROUP BY 1, 2),
+    v AS (SELECT g.step_t, e.cents FROM grid g ASOF JOIN ev e ON g.instance = e.instance AND g.event_type = e.event_type AND g.step_t >= e.t_us
+      WHERE e.t_us >= g.step_t - 7200000000)
+    SELECT step_t, sum(cents) AS total, avg(cents) AS average, count(*) AS series FROM v GROUP BY 1""",
+)
+def _(spark, sf):
+    ev = S.events(spark, sf).select("instance", "event_type", "t_us", "cents")
+    steps = series.sample_at_step(ev, ["instance", "event_type"], "t_us", "cents", 10 * MINUTE, 120 * MINUTE)
+    return series.over_series(steps, "cents")
+
+
 @query(
     "w08_traffic_per_bucket",
     f"""WITH {S.EVENTS_CTE},

@@ -92,20 +92,37 @@ def box_line(filename: str = "filename") -> Column:
     return F.concat(F.col(filename), *[F.concat(F.lit(","), fixed_text(c)) for c in COORDS])
 
 
+def _judged(annotations: DataFrame, synsets: DataFrame) -> DataFrame:
+    """Scaled boxes of listed classes with ``good``: of the file's own or an unlisted label, and with an area."""
+    listed = annotations.join(synsets.select("synset").distinct(), "synset", "left_semi")
+    boxes = with_foreign_label(scale_boxes(annotation_boxes(listed)), synsets)
+    return boxes.withColumn("good", ~F.col("foreign") & F.coalesce(has_area(), F.lit(False)))
+
+
 def count_boxes(annotations: DataFrame, synsets: DataFrame, observation) -> DataFrame:
     """``normalise_boxes`` that also reports saved and skipped boxes through an ``Observation``."""
-    listed = annotations.join(synsets.select("synset"), "synset", "left_semi")
-    boxes = with_foreign_label(scale_boxes(annotation_boxes(listed)), synsets)
-    good = ~F.col("foreign") & F.coalesce(has_area(), F.lit(False))
-    return (
-        boxes.withColumn("__good", good)
-        .observe(
-            observation,
-            F.count_if(F.col("__good")).alias("saved_boxes"),
-            F.count_if(~F.col("__good")).alias("skipped_boxes"),
-        )
-        .filter("__good")
-        .drop("__good", "foreign")
+    saved, skipped = F.count_if("good").alias("saved_boxes"), F.count_if(~F.col("good")).alias("skipped_boxes")
+    return _judged(annotations, synsets).observe(observation, saved, skipped).filter("good").drop("good", "foreign")
+
+
+def count_annotations(annotations: DataFrame, synsets: DataFrame, by: str | None = None) -> DataFrame:
+    """Saved and skipped boxes and files of an annotation run, in all or for each value of column ``by``.
+
+    A box is skipped for the label of another listed class or for want of an area; a file for a class that is not
+    listed, or when it has no box left. Boxes of files whose class is not listed are not looked at. ``filename``
+    names a file.
+    """
+    group = [] if by is None else [by]
+    of_file = {"boxes": F.count("good"), "saved": F.count_if("good"), "foreign": F.count_if(F.coalesce("foreign", F.lit(False)))}
+    counted = _judged(annotations, synsets).groupBy("filename").agg(*[c.alias(n) for n, c in of_file.items()])
+    files = annotations.select("filename", *group).distinct()
+    rows = spread_join(files, counted, ["filename"]).fillna(0, list(of_file))
+    return rows.groupBy(*group).agg(
+        F.sum("saved").alias("saved_boxes"),
+        F.sum(F.col("boxes") - F.col("saved")).alias("skipped_boxes"),
+        F.sum("foreign").alias("foreign_boxes"),
+        F.count_if(F.col("saved") > 0).alias("saved_files"),
+        F.count_if(F.col("saved") == 0).alias("skipped_files"),
     )
 
 

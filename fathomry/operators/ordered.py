@@ -71,29 +71,35 @@ def previous_row(
     ``ties`` makes the order total where ``order`` alone is not unique within a series. Without
     ``width`` the chunks are fitted to the data.
     """
+    return _neighbour(df, keys, order, carry, width, ties, F.lag, F.max_by)
+
+
+def next_row(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    carry: Mapping[str, str],
+    width: float | None = None,
+    ties: Sequence[str] = (),
+) -> DataFrame:
+    """``lead`` by one row within ``keys``, as ``previous_row`` is ``lag``: a chunk's last row takes what the next
+    chunk of the series begins with."""
+    return _neighbour(df, keys, order, carry, width, ties, F.lead, F.min_by)
+
+
+def _neighbour(df, keys, order, carry, width, ties, shift, edge) -> DataFrame:
     width = width or fit_width(df, keys, order)
     tagged = df.withColumn("__slot", _slot(keys, order, width))
     rank = F.struct(order, *ties) if ties else F.col(order)
     inside = Window.partitionBy("__slot").orderBy(order, *ties)
-    tails = tagged.groupBy("__slot").agg(
-        F.max(order).alias("__at"),
-        *[F.max_by(src, rank).alias(f"__tail_{out}") for out, src in carry.items()],
+    edges = tagged.groupBy("__slot").agg(*[edge(src, rank).alias(f"__edge_{out}") for out, src in carry.items()])
+    beyond = edges.select("__slot", *[shift(f"__edge_{out}").over(_chain(keys)).alias(f"__far_{out}") for out in carry])
+    near = tagged.withColumn("__end", shift(F.lit(False), 1, True).over(inside)).withColumns(
+        {f"__near_{out}": shift(src).over(inside) for out, src in carry.items()}
     )
-    before = tails.select(
-        "__slot",
-        F.lag("__at").over(_chain(keys)).alias("__seen"),
-        *[F.lag(f"__tail_{out}").over(_chain(keys)).alias(f"__old_{out}") for out in carry],
-    )
-    lagged = tagged.withColumn("__first", F.lag(F.lit(False), 1, True).over(inside)).withColumns(
-        {f"__lag_{out}": F.lag(src).over(inside) for out, src in carry.items()}
-    )
-    joined = lagged.join(before, "__slot", "left")
-    return joined.select(
+    return near.join(beyond, "__slot", "left").select(
         *df.columns,
-        *[
-            F.when(F.col("__first"), F.col(f"__old_{out}")).otherwise(F.col(f"__lag_{out}")).alias(out)
-            for out in carry
-        ],
+        *[F.when(F.col("__end"), F.col(f"__far_{out}")).otherwise(F.col(f"__near_{out}")).alias(out) for out in carry],
     )
 
 
@@ -171,11 +177,29 @@ def trailing(
     return _without_halo(spread.withColumns({out: agg.over(frame) for out, agg in measures.items()}))
 
 
+def trailing_sums(
+    df: DataFrame, keys: Sequence[str], order: str, span: float, sums: Mapping[str, Column], width: float | None = None
+) -> DataFrame:
+    """Sums over the rows of the last ``span`` units, both ends included, at a fixed cost per row.
+
+    A frame is what the chunk holds up to the row, less what it holds up to ``span`` before, and the rows of
+    that very moment again. All three frames grow or hold one moment, so none is summed anew for each row.
+    Sums of whole numbers are exact; of others the error is that of a sum over the chunk.
+    """
+    ordered = Window.partitionBy("__slot").orderBy(order)
+    until, before = (ordered.rangeBetween(Window.unboundedPreceding, end) for end in (Window.currentRow, -span))
+    edge = ordered.rangeBetween(-span, -span)
+    spread = _with_halo(df, keys, order, span, width)
+    zero = lambda total: F.coalesce(total, F.lit(0))
+    counted = {out: F.sum(c).over(until) - zero(F.sum(c).over(before)) + zero(F.sum(c).over(edge)) for out, c in sums.items()}
+    return _without_halo(spread.withColumns(counted))
+
+
 def trailing_previous(
-    df: DataFrame, keys: Sequence[str], order: str, span: float, carry: Mapping[str, str], width: float | None = None
+    df: DataFrame, keys: Sequence[str], order: str, span: float, carry: Mapping[str, str], width: float | None = None, ties: Sequence[str] = ()
 ) -> DataFrame:
     """``lag`` by one row that only has to look back ``span`` units; null further back."""
-    frame = Window.partitionBy("__slot").orderBy(order)
+    frame = Window.partitionBy("__slot").orderBy(order, *ties)
     near = F.col(order) - F.lag(order).over(frame) <= F.lit(span)
     spread = _with_halo(df, keys, order, span, width)
     return _without_halo(spread.withColumns({out: F.when(near, F.lag(src).over(frame)) for out, src in carry.items()}))

@@ -7,13 +7,14 @@ runs a small aggregate when the frame is built.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomry.operators.lookups import spread_join
-from fathomry.operators.ordered import fit_width, previous_row, running, trailing, trailing_previous
+from fathomry.operators.ordered import fit_width, next_row, previous_row, running, trailing_previous, trailing_sums
 
 
 def since_start(df: DataFrame, t: str = "t") -> DataFrame:
@@ -44,13 +45,14 @@ def counter_rate(
     """Change since the previous sample of the series per ``unit`` of ``t``.
 
     The first sample of a series has no rate and gives no row. ``lookback`` also drops samples
-    whose predecessor is further away. ``resets`` counts from zero after a fall of the counter.
+    whose predecessor is further away. ``resets`` counts from zero after a fall of the counter. Samples of one
+    time follow their value; between them there is no rate but null.
     """
     carry = {"__t0": t, "__v0": value}
     if lookback is None:
-        paired = previous_row(df, keys, t, carry, width)
+        paired = previous_row(df, keys, t, carry, width, ties=[value])
     else:
-        paired = trailing_previous(df, keys, t, lookback, carry, width)
+        paired = trailing_previous(df, keys, t, lookback, carry, width, ties=[value])
     delta = F.col(value) - F.col("__v0")
     if resets:
         delta = F.when(F.col(value) < F.col("__v0"), F.col(value)).otherwise(delta)
@@ -78,22 +80,59 @@ def running_max(df: DataFrame, keys: Sequence[str], t: str, value: str, out: str
 
 
 def avg_over_time(df: DataFrame, keys: Sequence[str], t: str, value: str, span: float, out: str, width: float | None = None) -> DataFrame:
-    """Average of the samples in the closed range [t - span, t], at each sample."""
-    return trailing(df, keys, t, span, {out: F.avg(value)}, width)
+    """Average of the samples in the closed range [t - span, t], at each sample.
+
+    Null values count for nothing; a range with a value that is not finite has no number (NaN).
+    """
+    v = F.col(value).cast("double")
+    finite = ~F.isnan(v) & (F.abs(v) < float("inf"))
+    sums = {"__sum": F.when(finite, v), "__n": F.when(finite, 1).otherwise(0), "__odd": F.when(~finite, 1).otherwise(0)}
+    summed = trailing_sums(df, keys, t, span, sums, width)
+    average = F.when(F.col("__odd") > 0, F.lit(float("nan"))).when(F.col("__n") > 0, F.col("__sum") / F.col("__n"))
+    return summed.withColumn(out, average).drop(*sums)
+
+
+def avg_at_step(df: DataFrame, keys: Sequence[str], t: str, value: str, step: int, span: int) -> DataFrame:
+    """Average of the samples in the closed range [step_t - span, step_t], at each multiple of ``step`` whose range has
+    any. Columns: keys, step_t, average.
+
+    Samples are summed once, by panes that divide both lengths; a pane adds its sum to each step whose range holds
+    it, and the samples of its last moment also to the step ``span`` later, which begins with them.
+    """
+    pane = math.gcd(step, span)
+    known = df.filter(F.col(value).isNotNull() & F.col(t).isNotNull())
+    edge = F.col(t) == F.col("__pane")
+    panes = known.withColumn("__pane", _grid_time(t, pane)).groupBy(*keys, "__pane").agg(
+        F.sum(value).alias("__sum"), F.count(value).alias("__n"),
+        F.sum(F.when(edge, F.col(value))).alias("__edge_sum"), F.count(F.when(edge, 1)).alias("__edge_n"),
+    )
+    first = F.ceil(F.col("__pane") / F.lit(step)) * F.lit(step)
+    last = F.floor((F.col("__pane") + F.lit(span - 1)) / F.lit(step)) * F.lit(step)
+    steps = F.when(first <= last, F.sequence(first.cast("bigint"), last.cast("bigint"), F.lit(step).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
+    later = F.col("__pane") + F.lit(span)
+    whole = panes.select(*keys, F.explode(steps).alias("step_t"), "__sum", "__n")
+    edges = panes.filter((later % step == 0) & (F.col("__edge_n") > 0)).select(*keys, later.cast("bigint").alias("step_t"), F.col("__edge_sum").alias("__sum"), F.col("__edge_n").alias("__n"))
+    sums = whole.unionByName(edges).groupBy(*keys, "step_t").agg((F.sum("__sum") / F.sum("__n")).alias("average"))
+    return sums.select(*keys, "step_t", "average")
 
 
-def _on_grid(per_step: DataFrame, keys: Sequence[str], step: int, until) -> DataFrame:
+def over_series(at_steps: DataFrame, value: str) -> DataFrame:
+    """Sum, average and number of the series' values at each step."""
+    return at_steps.groupBy("step_t").agg(F.sum(value).alias("total"), F.avg(value).alias("average"), F.count(value).alias("series"))
+
+
+def _on_grid(per_step: DataFrame, keys: Sequence[str], step: int, until, width: float) -> DataFrame:
     """Repeat each step's latest sample on the following grid times, up to the next step that has
     its own sample and up to ``until``. Input has one row per series and step."""
-    following = F.lead("step_t").over(Window.partitionBy(*keys).orderBy("step_t")) - F.lit(step)
     reach = F.floor(until / F.lit(step)) * F.lit(step)
     # ``least`` skips nulls: right for the last step of a series, wrong for a missing ``until``.
-    last = F.when(until.isNotNull(), F.least(reach, following))
+    last = F.when(until.isNotNull(), F.least(reach, F.col("__next") - F.lit(step)))
     return (
-        per_step.withColumn("__last", last)
+        next_row(per_step, keys, "step_t", {"__next": "step_t"}, width)
+        .withColumn("__last", last)
         .filter(F.col("__last") >= F.col("step_t"))
         .withColumn("step_t", F.explode(F.sequence("step_t", "__last", F.lit(step).cast("bigint"))))
-        .drop("__last")
+        .drop("__last", "__next")
     )
 
 
@@ -101,52 +140,52 @@ def _grid_time(t: str, step: int):
     return (F.ceil(F.col(t) / F.lit(step)) * F.lit(step)).cast("bigint")
 
 
-def sample_at_step(df: DataFrame, keys: Sequence[str], t: str, value: str, step: int, lookback: int) -> DataFrame:
+def sample_at_step(
+    df: DataFrame, keys: Sequence[str], t: str, value: str, step: int, lookback: int, width: float | None = None
+) -> DataFrame:
     """Instant vector: at each multiple of ``step`` the latest sample of the closed range
-    [step_t - lookback, step_t]. Columns: keys, step_t, value."""
-    per_step = df.groupBy(*keys, _grid_time(t, step).alias("step_t")).agg(
-        F.max(t).alias("__t"), F.max_by(value, t).alias(value)
-    )
-    return _on_grid(per_step, keys, step, F.col("__t") + F.lit(lookback)).select(*keys, "step_t", value)
+    [step_t - lookback, step_t]; of several at one time the greatest. Columns: keys, step_t, value."""
+    width = width or fit_width(df, keys, t)
+    latest = F.max(F.struct(F.col(t).alias("__t"), F.col(value).alias("__v")))
+    per_step = df.filter(F.col(t).isNotNull()).groupBy(*keys, _grid_time(t, step).alias("step_t")).agg(latest.alias("__s"))
+    per_step = per_step.select(*keys, "step_t", "__s.__t", F.col("__s.__v").alias(value))
+    return _on_grid(per_step, keys, step, F.col("__t") + F.lit(lookback), width).select(*keys, "step_t", value)
 
 
 def irate_at_step(
     df: DataFrame, keys: Sequence[str], t: str, value: str, step: int, span: int, unit: float, width: float | None = None
 ) -> DataFrame:
     """Rate from the last two samples of the closed range [step_t - span, step_t] on the grid."""
-    paired = trailing_previous(df, keys, t, span, {"__t0": t, "__v0": value}, width)
-    per_step = paired.groupBy(*keys, _grid_time(t, step).alias("step_t")).agg(
-        F.max(t).alias("__t"),
-        F.max_by(value, t).alias("__v"),
-        F.max_by("__t0", t).alias("__t0"),
-        F.max_by("__v0", t).alias("__v0"),
-    )
+    width = width or fit_width(df, keys, t)
+    paired = trailing_previous(df, keys, t, span, {"__t0": t, "__v0": value}, width, ties=[value])
+    latest = F.max(F.struct(F.col(t).alias("__t"), F.col(value).alias("__v"), "__t0", "__v0"))
+    per_step = paired.groupBy(*keys, _grid_time(t, step).alias("step_t")).agg(latest.alias("__s")).select(*keys, "step_t", "__s.*")
     # The next step is looked up before samples without a partner are dropped: such a sample
     # still ends the validity of the one before it.
     delta = F.when(F.col("__v") < F.col("__v0"), F.col("__v")).otherwise(F.col("__v") - F.col("__v0"))
     seconds = (F.col("__t") - F.col("__t0")) / F.lit(unit)
     return (
-        _on_grid(per_step, keys, step, F.col("__t0") + F.lit(span))
+        _on_grid(per_step, keys, step, F.col("__t0") + F.lit(span), width)
         .withColumn("irate", F.try_divide(delta, seconds))
         .select(*keys, "step_t", "irate")
     )
 
 
 def bucket_derivative(
-    df: DataFrame, keys: Sequence[str], t: str, values: Sequence[str], bucket: float, unit: float
+    df: DataFrame, keys: Sequence[str], t: str, values: Sequence[str], bucket: float, unit: float, width: float | None = None
 ) -> DataFrame:
     """Largest value per bucket and its change per ``unit`` since the series' previous bucket.
 
     Columns: keys, ``bucket_t``, and ``<value>_top`` and ``<value>_derivative`` per value.
     """
+    width = width or fit_width(df, keys, t)
     start = (F.floor(F.col(t) / F.lit(bucket)) * F.lit(bucket)).cast("bigint")
     tops = df.groupBy(*keys, start.alias("bucket_t")).agg(*[F.max(v).alias(f"{v}_top") for v in values])
-    # One row per series and bucket from here on.
-    w = Window.partitionBy(*keys).orderBy("bucket_t")
-    elapsed = (F.col("bucket_t") - F.lag("bucket_t").over(w)) / F.lit(unit)
-    return tops.withColumns(
-        {f"{v}_derivative": F.try_divide(F.col(f"{v}_top") - F.lag(f"{v}_top").over(w), elapsed) for v in values}
-    )
+    carry = {"__before": "bucket_t", **{f"__old_{v}": f"{v}_top" for v in values}}
+    paired = previous_row(tops, keys, "bucket_t", carry, width)
+    elapsed = (F.col("bucket_t") - F.col("__before")) / F.lit(unit)
+    rated = {f"{v}_derivative": F.try_divide(F.col(f"{v}_top") - F.col(f"__old_{v}"), elapsed) for v in values}
+    return paired.withColumns(rated).drop(*carry)
 
 
 def traffic_by_bucket(
@@ -205,7 +244,11 @@ def step_alarms(df: DataFrame, t: str, warmup: float, warn_latency: float = 4.0,
 
 
 def difference_of(df: DataFrame, keys: Sequence[str], metric: str, minuend: str, subtrahend: str, value: str, out: str) -> DataFrame:
-    """One metric minus another where both exist on the same keys."""
-    a = df.filter(F.col(metric) == minuend).select(*keys, F.col(value).alias("__a"))
-    b = df.filter(F.col(metric) == subtrahend).select(*keys, F.col(value).alias("__b"))
-    return a.join(b, list(keys)).select(*keys, (F.col("__a") - F.col("__b")).alias(out))
+    """One metric minus another where both exist on the same keys; a metric met more than once there fails the job."""
+    of = lambda name: F.when(F.col(metric) == name, F.col(value))
+    both = df.filter(F.col(metric).isin(minuend, subtrahend)).groupBy(*keys).agg(
+        F.max(of(minuend)).alias("__a"), F.max(of(subtrahend)).alias("__b"),
+        F.greatest(F.count(of(minuend)), F.count(of(subtrahend))).alias("__n"),
+    )
+    single = both.withColumn("__a", F.when(F.col("__n") <= 1, F.col("__a")).otherwise(F.raise_error(F.lit("a metric has several samples on one key"))))
+    return single.filter(F.col("__a").isNotNull() & F.col("__b").isNotNull()).select(*keys, (F.col("__a") - F.col("__b")).alias(out))

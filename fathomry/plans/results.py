@@ -28,22 +28,43 @@ def suffix_dimension(spark, mean_bytes: Mapping[str, float] = MEAN_BYTES) -> Dat
     return spark.createDataFrame(rows, "data_dir_suffix string, mean_bytes_per_image double")
 
 
+def _unread_times() -> Column:
+    """Why a run can't be cleaned: the times that are there and do not parse. Null where it can."""
+    unread = [F.when(F.col(c).isNotNull() & utc(c).isNull(), F.lit(c)) for c in ("utc_begin", "utc_end")]
+    return F.concat(F.lit("not a time: "), F.nullif(F.concat_ws(", ", *unread), F.lit("")))
+
+
+def _training_rates(raw: DataFrame, gpus: str) -> DataFrame:
+    """Parsed times and rates of the runs that can be cleaned and are not in error."""
+    good = raw.filter(_unread_times().isNull() & ~F.col("error"))
+    parsed = good.withColumns({"utc_begin": utc("utc_begin"), "utc_end": utc("utc_end"), "images_per_sec": X.last_number("output")})
+    return parsed.withColumn("images_per_sec_per_gpu", F.try_divide("images_per_sec", F.col(gpus)))
+
+
+def _with_bytes(df: DataFrame, suffixes: DataFrame) -> DataFrame:
+    joined = df.join(suffixes, "data_dir_suffix", "left")
+    return joined.withColumn("MB_per_sec", F.col("images_per_sec") * F.col("mean_bytes_per_image") * 1e-6)
+
+
 def clean_training_results(raw: DataFrame, suffixes: DataFrame, storage_type: str | None = None) -> DataFrame:
-    """Times, rates and defaults of training runs; runs in error are left out."""
-    df = raw.withColumns(
-        {
-            "utc_begin": utc("utc_begin"),
-            "utc_end": utc("utc_end"),
-            "images_per_sec": X.last_number("output"),
-        }
-    )
-    df = df.withColumn("images_per_sec_per_gpu", F.try_divide("images_per_sec", F.col("np")))
+    """Times, rates and defaults of training runs; runs in error and runs that can't be cleaned are left out."""
+    df = _training_rates(raw, "np")
     if storage_type is not None:
         df = df.withColumn("storage_type", F.lit(storage_type))
-    df = fill_defaults(df.filter(~F.col("error")), {"num_copies": 1.0, "image_format": "JPEG"})
-    return df.join(suffixes, "data_dir_suffix", "left").withColumn(
-        "MB_per_sec", F.col("images_per_sec") * F.col("mean_bytes_per_image") * 1e-6
-    )
+    return _with_bytes(fill_defaults(df, {"num_copies": 1.0, "image_format": "JPEG"}), suffixes)
+
+
+def clean_second_training_results(raw: DataFrame, suffixes: DataFrame, defaults: Mapping[str, object]) -> DataFrame:
+    """The second kind of training runs: ``num_gpus`` is np, images are JPEG, and flags and storage that older
+    records lack are filled with ``defaults``, as is num_copies with 1."""
+    df = _training_rates(raw.withColumn("num_gpus", F.col("np")), "num_gpus")
+    df = fill_defaults(df.withColumn("image_format", F.lit("JPEG")), {"num_copies": 1.0, **defaults})
+    return _with_bytes(df, suffixes)
+
+
+def training_rejects(raw: DataFrame) -> DataFrame:
+    """Runs that can't be cleaned, as they are, with the reason."""
+    return raw.withColumn("reason", _unread_times()).filter(F.col("reason").isNotNull())
 
 
 def clean_scan_results(raw: DataFrame) -> DataFrame:

@@ -33,6 +33,23 @@ def test_previous_row(skewed, width):
     assert rows_of(got) == rows_of(want)
 
 
+@pytest.mark.parametrize("width", [7, 1000, 10**6])
+def test_next_row(skewed, width):
+    w = Window.partitionBy("k").orderBy("t", "id")
+    want = skewed.withColumn("nv", F.lead("v").over(w)).withColumn("nt", F.lead("t").over(w))
+    got = O.next_row(skewed, ["k"], "t", {"nv": "v", "nt": "t"}, width, ties=["id"])
+    assert rows_of(got) == rows_of(want)
+
+
+@pytest.mark.parametrize("width", [None, 100, 5000])
+def test_trailing_sums(skewed, width):
+    w = Window.partitionBy("k").orderBy("t").rangeBetween(-50, 0)
+    want = skewed.withColumn("n", F.sum(F.lit(1)).over(w)).withColumn("s", F.sum("v").over(w))
+    got = O.trailing_sums(skewed.withColumn("one", F.lit(1)), ["k"], "t", 50, {"n": F.col("one"), "s": F.col("v")}, width).drop("one")
+    known = lambda df: rows_of(df.withColumn("s", F.coalesce("s", F.lit(0))))
+    assert known(got) == known(want)
+
+
 @pytest.mark.parametrize("width", [7, 1000, 10**6])
 @pytest.mark.parametrize("keys", [["k"], []])
 def test_running(skewed, width, keys):

@@ -1,5 +1,6 @@
 """Streams over several micro-batches against their batch form, restarts and late data."""
 
+import random
 import time
 
 import pytest
@@ -82,3 +83,62 @@ def test_repeats_within_watermark(spark):
     once = feeds.first_seen(stream(spark, path), "at", ["id"])
     out = feeds.run_to_files(once, fresh_dir(spark, "feed"))
     assert sorted(r.id for r in spark.read.parquet(out).collect()) == [1, 2, 3]
+
+
+def shuffled(spark, rows, parts, seed=2):
+    """A folder to which files are landed one after the other, rows up to 400 out of order."""
+    r, path = random.Random(seed), fresh_dir(spark, "shuffled")
+    ordered = sorted(rows, key=lambda x: x[2] + r.uniform(0, 400))
+    size = -(-len(ordered) // parts)
+    for i in range(parts):
+        land(spark, path, ordered[i * size : (i + 1) * size])
+    return path
+
+
+def test_counter_feed_out_of_order_equals_batch(spark, landed):
+    _, rows = landed
+    path = shuffled(spark, [tuple(r) for r in rows.collect()], 5)
+    samples = stream(spark, path).select("id", "k", "t", "v")
+    out = feeds.counter_feed(samples, fresh_dir(spark, "feed"), ["k"], "t", "v", unit=1.0, delay=400.0, finish=True)
+    want = series.counter_rate(rows, ["k"], "t", "v")
+    got = spark.read.parquet(out)
+    assert got.filter("batch < 5").count() > 200  # most are rated before the end
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+    assert feeds.late_samples(spark, out) == 0
+
+
+def test_counter_feed_counts_what_is_too_late_and_forgets_far_series(spark):
+    path = fresh_dir(spark, "late")
+    land(spark, path, [(1, "a", 0.0, 0.0), (2, "a", 30.0, 3.0), (3, "gone", 5.0, 1.0)])
+    land(spark, path, [(4, "a", 10.0, 1.0), (5, "a", 40.0, 5.0)])
+    land(spark, path, [(6, "a", 100.0, 9.0), (7, "a", 15.0, 7.0), (8, "a", None, 1.0)])
+    land(spark, path, [(9, "a", 31.0, 9.0)])
+    base = fresh_dir(spark, "feed")
+    out = feeds.counter_feed(stream(spark, path).select("id", "k", "t", "v"), base, ["k"], "t", "v", unit=1.0, delay=25.0, finish=True, lookback=70.0)
+    got = {r.id: r.rate for r in spark.read.parquet(out).collect()}
+    assert got == {4: 0.1, 2: 0.1, 5: pytest.approx(0.2), 6: pytest.approx(4 / 60)}
+    assert feeds.late_samples(spark, out) == 2
+    kept = spark.read.parquet(f"{base}/last").filter("batch = 3")
+    assert {r.k for r in kept.collect()} == {"a"}
+
+
+def test_each_window_is_written_once_and_late_rows_are_counted(spark):
+    path = fresh_dir(spark, "closing")
+    land(spark, path, [(1, "a", 10_000.0, 1.0), (2, "b", 10_010.0, 3.0)])
+    land(spark, path, [(3, "a", 10_020.0, 5.0), (4, "a", 12_000.0, 1.0)])
+    land(spark, path, [(5, "a", 10_030.0, 9.0), (6, "b", 30_000.0, 2.0)])  # the first is beyond 10 minutes
+    totals = feeds.windowed(stream(spark, path), "at", "1 minute", ["k"], [F.avg("v").alias("m"), F.count(F.lit(1)).alias("n")])
+    rows, late = feeds.final_windows(totals, fresh_dir(spark, "feed"))
+    got = spark.read.parquet(rows).drop("batch")
+    assert sorted((r.k, r.m, r.n) for r in got.collect()) == [("a", 1.0, 1), ("a", 3.0, 2), ("b", 3.0, 1)]
+    assert late == 1
+
+
+def test_totals_after_warm_up_find_their_start(spark):
+    path, base = fresh_dir(spark, "warm"), fresh_dir(spark, "feed")
+    batches = [[(1, "a", 100.0, 1.0), (2, "a", 130.0, 2.0)], [(3, "a", 90.0, 4.0), (4, "b", 125.0, 8.0)], [(5, "a", 119.0, 16.0)]]
+    for rows in batches:  # a run for each file
+        land(spark, path, rows)
+        out = feeds.totals_after_warm_up(stream(spark, path).withColumnRenamed("k", "rank"), base, "at", 30.0, ["rank"], ["v"])
+    got = {r["rank"]: (r["rows"], r["v"]) for r in feeds.last_batch(spark, out).collect()}
+    assert got == {"a": (1, 2.0), "b": (1, 8.0)}  # 90 is the start

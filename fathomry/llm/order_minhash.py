@@ -178,19 +178,22 @@ def _marked(size: int):
     return run
 
 
-def _by_rare_shingles(rest: DataFrame, taken: DataFrame, similarity: float, size: int) -> DataFrame:
+def _by_rare_shingles(rest: DataFrame, taken: DataFrame, similarity: float, size: int, folder: str) -> DataFrame:
     """(digest, n, score, bucket) of ``rest`` (digest, n, score) with the rarest labelled shingles as buckets.
 
     Texts of n shingles that align in ``similarity`` of the longer one have so many labelled shingles in common
-    that, in any one order of them, they share one of the first ``n - least + 1``.
+    that, in any one order of them, they share one of the first ``n - least + 1``. Shingles no other text has come first
+    in that order; they are only counted.
     """
     marks = taken.join(rest.select("digest"), "digest", "left_semi").mapInArrow(_marked(size), "digest binary, marks array<long>")
-    marks = marks.select("digest", F.explode("marks").alias("bucket"))
-    ranked = spread_join(marks, marks.groupBy("bucket").agg(F.count(F.lit(1)).alias("often")), ["bucket"], "inner")
-    first = ranked.groupBy("digest").agg(F.array_sort(F.collect_list(F.struct("often", "bucket"))).alias("marks")).join(rest, "digest")
+    marks = _stored(marks.select("digest", F.explode("marks").alias("bucket")), folder, "marks")
+    often = marks.groupBy("bucket").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
+    shared = spread_join(marks, often, ["bucket"], "inner")
+    first = shared.groupBy("digest").agg(F.array_sort(F.collect_list(F.struct("often", "bucket"))).alias("marks")).join(rest, "digest")
     least = F.ceil(F.col("n") * F.lit(similarity) - F.lit(1e-9)).cast("int")
-    first = first.select("digest", "n", "score", F.explode(F.slice("marks", F.lit(1), F.col("n") - least + 1)).alias("mark"))
-    return first.filter("mark.often > 1").select("digest", "n", "score", F.col("mark.bucket").alias("bucket"))
+    alone = F.col("n") - F.size("marks")
+    taking = F.greatest(F.lit(0), F.col("n") - least + 1 - alone)
+    return first.select("digest", "n", "score", F.explode(F.slice("marks", F.lit(1), taking)).alias("mark")).select("digest", "n", "score", F.col("mark.bucket").alias("bucket"))
 
 
 def links(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, tables: int = TABLES, length: int = LENGTH, size: int = WORDS) -> tuple[DataFrame, DataFrame]:
@@ -226,7 +229,10 @@ def links(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text",
         if found is not None:
             pairs = pairs.join(found.select(*ends), ["a", "b"], "left_anti")
         pairs = _stored(pairs.select("p.center", "p.member", "p.of_center", "p.of_member"), folder, f"pairs-{number}", rows)
-        joined = pairs.join(taken.withColumnRenamed("digest", "member"), "member").join(taken.select(F.col("digest").alias("center"), F.col("text").alias("center_text")), "center")
+        # Only the texts of this round's pairs are moved.
+        wanted = pairs.select(F.explode(F.array("center", "member")).alias("digest")).distinct()
+        own = taken.join(wanted, "digest", "left_semi")
+        joined = pairs.join(own.withColumnRenamed("digest", "member"), "member").join(own.select(F.col("digest").alias("center"), F.col("text").alias("center_text")), "center")
         checked = joined.mapInArrow(_verified(similarity, size), "center binary, member binary, of_center binary, of_member binary, near double")
         checked = _stored(checked, folder, f"checked-{number}")
         found = checked.select("center", "member", "near") if found is None else found.unionByName(checked.select("center", "member", "near"))
@@ -245,9 +251,9 @@ def links(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text",
             mixed = left.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo != hi").select("bucket")
             rest = left.join(mixed, "bucket", "left_semi").select("digest", "n", "score", "class").distinct()
             rest = _stored(rest, folder, "rest", rows)
-            left = _by_rare_shingles(rest.drop("class"), taken, similarity, size).join(rest.select("digest", "class"), "digest")
+            left = _by_rare_shingles(rest.drop("class"), taken, similarity, size, folder).join(rest.select("digest", "class"), "digest")
             left = _stored(left, folder, "rare")
-            _dropped(docs, folder, ["rest", "left-0"])
+            _dropped(docs, folder, ["rest", "left-0", "marks"])
             now[0] = "rare"
         else:
             shares *= 4
@@ -321,9 +327,10 @@ def keep_representatives(docs: DataFrame, key: str = "doc_id", text: str = "text
     """
     rows = _classified(docs, key, text, **parameters)
     chosen = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest")).alias("best")
-    best = rows.filter(F.col("class").isNotNull()).groupBy("class").agg(chosen).select(F.col("best.id").alias("__id"), F.col("best.digest").alias("__digest"))
-    own = docs.withColumns({"__own": F.col(f"`{key}`").cast("long"), "__text": F.col(f"`{text}`").cast("string")})
-    worded = F.coalesce(F.col("__text").rlike(WORDED), F.lit(False))
-    named = own.withColumn("__sum", F.when(worded, F.unhex(F.md5(F.col("__text").cast("binary"))))).drop("__text")
-    first = named.filter(F.col("__sum").isNotNull()).join(best, F.col("__own").eqNullSafe(F.col("__id")) & (F.col("__sum") == F.col("__digest")), "left_semi").dropDuplicates(["__own", "__sum"])
+    best = rows.filter(F.col("class").isNotNull()).groupBy("class").agg(chosen).select(F.coalesce("best.id", F.lit(0)).alias("__own"), F.col("best.none").alias("__none"), F.col("best.digest").alias("__sum"))
+    own, whole = F.col(f"`{key}`").cast("long"), F.col(f"`{text}`").cast("string")
+    worded = F.coalesce(whole.rlike(WORDED), F.lit(False))
+    named = docs.withColumns({"__own": F.coalesce(own, F.lit(0)), "__none": own.isNull(), "__sum": F.when(worded, F.unhex(F.md5(whole.cast("binary"))))})
+    name = ["__own", "__none", "__sum"]
+    first = named.filter(F.col("__sum").isNotNull()).join(best, name, "left_semi").dropDuplicates(name)
     return first.unionByName(named.filter(F.col("__sum").isNull())).select(*[F.col(f"`{c}`") for c in docs.columns])

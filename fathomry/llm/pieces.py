@@ -23,7 +23,7 @@ from __future__ import annotations
 import struct
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -264,18 +264,22 @@ class Pieces:
             ids = found[np.insert((found[1:] != self.unknown) | (found[:-1] != self.unknown), 0, True)].tobytes()
         return ids
 
-    def decode(self, ids: np.ndarray) -> str:
-        """The text: bytes joined to characters, marks to spaces, the first space dropped. Control ids give nothing."""
-        out = bytearray()
-        for i in ids.tolist():
-            kind = self.kinds[i]
+    @cached_property
+    def spelled(self) -> list[bytes]:
+        """What each id stands for."""
+        out = []
+        for i, (piece, kind) in enumerate(zip(self.pieces, self.kinds)):
             if kind == BYTE:
-                out.append(self.byte_of[i])
+                out.append(bytes([self.byte_of[i]]))
             elif kind == UNKNOWN:
-                out += " ⁇ ".encode()
-            elif kind != CONTROL:
-                out += self.pieces[i].replace(MARK, " ").encode()
-        text = out.decode("utf-8", "replace")
+                out.append(" ⁇ ".encode())
+            else:
+                out.append(b"" if kind == CONTROL else piece.replace(MARK, " ").encode())
+        return out
+
+    def decode(self, ids: np.ndarray) -> str:
+        """The text: bytes joined to characters, marks to spaces, the first space dropped. Control ids give nothing."""
+        text = b"".join(map(self.spelled.__getitem__, ids.tolist())).decode("utf-8", "replace")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 

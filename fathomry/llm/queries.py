@@ -31,10 +31,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @query("op1_sentencepiece")
 def op1(spark, sf):
-    """Piece ids of every text."""
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    coded = pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    """Piece ids of every text, and whether they decode to it."""
+    docs, model = table(spark, sf, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model")
+    told = pieces.decode(pieces.encode(docs, model), model)
+    same = F.col("decoded") == F.coalesce("text", F.lit(""))
+    return told.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("same_text"))
 
 
 @query("op2_token_files")

@@ -103,3 +103,14 @@ def test_whole_table(spark, library):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for r in pieces.encode(docs, PATH).select("text", "ids").collect():
         assert r.ids == library.encode(r.text)
+
+
+def test_query_encodes_and_decodes_the_whole_table(spark, library):
+    from fathomry.llm.queries import QUERIES
+
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = QUERIES["op1_sentencepiece"](spark, SF).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        ids = library.encode(texts[r.doc_id])
+        assert (r.n_tokens, r.ids, r.same_text) == (len(ids), ids, library.decode(ids) == texts[r.doc_id])

@@ -95,6 +95,7 @@ def _(spark, sf):
 
 
 SLICES = 4
+HOUR_US = 3_600_000_000
 
 
 def arriving(spark, df, at, jitter):
@@ -126,6 +127,19 @@ def _(spark, sf):
     return spark.read.parquet(rows).drop("batch", "counter")
 
 
+@query(
+    "s22_landed_metric_samples",
+    f"WITH {S.EVENTS_CTE} SELECT event_type AS metric, instance, count(*) AS samples, sum(cents) AS total FROM ev GROUP BY 1, 2",
+)
+def _(spark, sf):
+    out, samples, keys = fresh_dir(spark, "feed"), S.metrics(spark, sf), ["metric", "instance"]
+    for path, _ in arriving(spark, samples, "t_us", HOUR_US):
+        stream = feeds.file_stream(spark, path, samples.schema).withColumn("instance", F.col("labels")["instance"])
+        totals = stream.groupBy(*keys).agg(F.count(F.lit(1)).alias("samples"), F.sum("value").alias("total"))
+        rows = feeds.run_to_files(totals, out, mode="update")
+    return feeds.latest_per_key(spark, rows, keys)
+
+
 def closing(spark, sf):
     """The events as they arrive, up to an hour late, and behind them a mark a day later that closes all windows."""
     ev = S.events(spark, sf).select("event_id", "user_id", "instance", "cents", "sent", F.col("ts").cast("timestamp").alias("at"), "t_us")
@@ -133,9 +147,6 @@ def closing(spark, sf):
     return ev.unionByName(mark, allowMissingColumns=True)
 
 
-HOUR_US = 3_600_000_000
-
-
 @query(
     "t02_final_utilisation_per_window",
     f"WITH {S.EVENTS_CTE} SELECT instance, time_bucket(INTERVAL '1 hour', ts) AS window_start, avg(cents) AS average FROM ev GROUP BY 1, 2",

@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -126,8 +127,8 @@ def _priced(group: pa.Table) -> pa.Table:
 
     Rows without a term tell that a source is there, its total, and how many terms the language and the tile have.
     """
-    rows = group.filter(pa.compute.is_null(group.column("term")))
-    cells = group.filter(pa.compute.is_valid(group.column("term")))
+    rows = group.filter(pc.is_null(group.column("term")))
+    cells = group.filter(pc.is_valid(group.column("term")))
     about = dict(zip(rows.column("source").to_pylist(), zip(rows.column("band").to_pylist(), rows.column("total").to_pylist())))
     known = sorted(about, key=lambda x: (about[x][0], x))  # the bands one after the other
     number = {x: i for i, x in enumerate(known)}

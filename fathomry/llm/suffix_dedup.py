@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -296,7 +297,7 @@ def _judge(width: int, gram: int, bits: bytes | None, folder: str, memory: int):
         found = [pack(np.diff(first[a:b], prepend=0), (end - first)[a:b]) if b > a else None for a, b in zip(cuts, cuts[1:])]
         reply = pa.table({"slice": group.column("slice"), "about": group.column("about"), "spans": pa.array(found, pa.binary())})
         about, spans_ = reply.column("about"), reply.column("spans")
-        return reply.filter(pa.compute.or_(pa.compute.is_valid(about), pa.compute.is_valid(spans_)))
+        return reply.filter(pc.or_(pc.is_valid(about), pc.is_valid(spans_)))
 
     return run
 

@@ -181,7 +181,7 @@ def _(spark, sf):
 @query(
     "a15_first_begin_last_end",
     """SELECT o_orderstatus, min(o_orderdate) AS first_begin_utc, max(o_orderdate) AS last_end_utc,
-      strftime(min(o_orderdate) - (CASE WHEN dayofyear(min(o_orderdate)) BETWEEN 97 AND 298 THEN INTERVAL 7 HOUR ELSE INTERVAL 8 HOUR END), '%Y-%m-%d %H:%M:%S') AS first_begin_local,
+      strftime((min(o_orderdate) AT TIME ZONE 'UTC') AT TIME ZONE 'America/Los_Angeles', '%Y-%m-%d %H:%M:%S') AS first_begin_local,
       strftime((max(o_orderdate) AT TIME ZONE 'UTC') AT TIME ZONE 'America/Los_Angeles', '%Y-%m-%d %H:%M:%S') AS last_end_local
     FROM orders GROUP BY 1""",
 )

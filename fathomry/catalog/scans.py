@@ -165,6 +165,40 @@ def _(spark, sf):
     return B.annotation_boxes(good).drop("source_file")
 
 
+def annotation_files(spark, sf):
+    """A file for each image: every third keeps its corners outside the objects, every fifth has a second box and one
+    without a corner behind it, every seventh is cut off."""
+    p = F.col("p_partkey")
+    corners = lambda d: F.concat(*[x for c, n in zip(B.COORDS, (1, 2, 50, 60)) for x in (F.lit(f"<{c}>"), (p % 97 + n + d).cast("string"), F.lit(f".5</{c}>"))])
+    size = F.concat(F.lit("<size><width>"), F.col("width"), F.lit("</width><height>"), F.col("height"), F.lit("</height></size>"))
+    first = F.when(p % 3 == 0, F.concat(F.lit("<owner><name>me</name></owner><list>"), corners(0), F.lit("</list>"))).otherwise(
+        F.concat(F.lit("<object><name>"), F.col("synset"), F.lit("</name><part><bndbox>"), corners(0), F.lit("</bndbox></part></object>"))
+    )
+    more = F.when(p % 5 == 0, F.concat(F.lit("<object><name>late</name>"), corners(7), F.lit("</object><object><xmin>-1</xmin><xmin>9</xmin></object>"))).otherwise(F.lit(""))
+    end = F.when(p % 7 == 0, F.lit("<object>")).otherwise(F.lit("</annotation>"))
+    text = F.concat(F.lit("<annotation>"), size, first, more, end)
+    path = F.concat(F.col("synset"), F.lit("/"), F.regexp_replace("filename", "JPEG$", "xml"))
+    return writers.write_files(S.images(spark, sf).select(path.alias("path"), text.alias("bytes")), fresh_dir(spark, "annotated")) + "/*/*.xml"
+
+
+@query(
+    "s12_annotation_files",
+    f"""WITH {S.IMAGES_CTE}, b AS (SELECT *, unnest(CASE WHEN p_partkey % 5 = 0 THEN [0, 1] ELSE [0] END) AS box_no FROM images WHERE p_partkey % 7 <> 0)
+    SELECT filename, synset, CASE WHEN p_partkey % 3 = 0 THEN 'me' ELSE synset END AS box_label, CAST(width AS INT) AS width, CAST(height AS INT) AS height, box_no,
+      CAST(p_partkey % 97 + 1 + 7 * box_no AS INT) AS xmin, CAST(p_partkey % 97 + 2 + 7 * box_no AS INT) AS ymin,
+      CAST(p_partkey % 97 + 50 + 7 * box_no AS INT) AS xmax, CAST(p_partkey % 97 + 60 + 7 * box_no AS INT) AS ymax FROM b""",
+)
+def _(spark, sf):
+    return readers.read_annotation_files(spark, annotation_files(spark, sf))[0]
+
+
+@query("s12_rejected_files", f"WITH {S.IMAGES_CTE} SELECT filename, TRUE AS cut FROM images WHERE p_partkey % 7 = 0")
+def _(spark, sf):
+    rejects = readers.read_annotation_files(spark, annotation_files(spark, sf))[1]
+    name = F.concat(F.regexp_extract("source_file", r"([^/]+)\.xml$", 1), F.lit(".JPEG"))
+    return rejects.select(name.alias("filename"), F.endswith("text", F.lit("<object>")).alias("cut"))
+
+
 @query(
     "s13_ordered_label_list",
     "SELECT synset, row_number() OVER (ORDER BY synset) AS label FROM (SELECT DISTINCT replace(p_brand, '#', '_') AS synset FROM part)",

@@ -46,12 +46,8 @@ STEP_LOG = """
     latency_sec double, sync_latency_sec double
 """
 
-METRIC = "metric string, labels map<string,string>, ts timestamp, value double"
-
 BOXES = "filename string, xmin double, ymin double, xmax double, ymax double"
 
-SYNSET_TEXT = "synset string, text string"
-
 SAMPLES = "sample_id string, coverage double"
 
 ANNOTATION = """
@@ -84,10 +80,3 @@ RESULT = f"""
     haplotypecaller_gvcf_file_size_bytes bigint, deepvariant_gvcf_file_size_bytes bigint,
     fq2bam_result {_STAGE}, germline_result {_STAGE}, deepvariant_result {_STAGE}
 """
-
-IMAGE_RECORD = """
-    height bigint, width bigint, channels bigint, label bigint, colorspace string,
-    synset string, text string, format string, filename string, encoded binary,
-    bbox_xmin array<float>, bbox_xmax array<float>, bbox_ymin array<float>,
-    bbox_ymax array<float>, bbox_label array<bigint>, bbox_part int, shard int
-"""

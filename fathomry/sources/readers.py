@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fathomry import schemas
+from fathomry.operators.boxes import int_of
 from fathomry.operators.lookups import union_all
 
 LOAN_DATES = "MM/dd/yyyy"
@@ -136,6 +137,34 @@ def read_annotations(spark: SparkSession, paths: str | list[str], from_path: boo
     return good, rejects
 
 
+def read_annotation_files(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, DataFrame]:
+    """Box annotations, one file each, as (boxes, rejects); tags are found by their place in the whole file.
+
+    The first ``name``, ``width`` and ``height`` anywhere in a file are those of all its boxes. Box i has the i-th ``xmin``,
+    ``ymin``, ``xmax`` and ``ymax`` of the file, whatever they are nested in; boxes end at the first xmin that is missing
+    or reads as -1, and any other missing value reads as -1. The image's name and class are the file's
+    name and folder. A file that is no well-formed document is a reject with its text.
+    """
+    whole = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("source_file"), F.col("value").alias("text"))
+    parsed = F.from_xml("text", "_corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    judged = whole.withColumn("__bad", F.coalesce(parsed["_corrupt"].isNotNull(), F.lit(True)))
+    # Outside good files the document is empty, since XPath fails the job on one that does not parse.
+    text = F.when(F.col("__bad"), F.lit("<none/>")).otherwise(F.col("text"))
+    tags = ["name", "width", "height", "xmin", "ymin", "xmax", "ymax"]
+    found = judged.filter(~F.col("__bad")).select("source_file", *[F.xpath(text, F.lit(f"//{t}/text()")).alias(t) for t in tags])
+    marks = F.transform("xmin", int_of)
+    stop = F.array_position(marks, F.lit(-1))
+    corner = lambda c, i: int_of(F.get(F.col(c), i))
+    box = lambda x, i: F.struct(i.alias("box_no"), *[corner(c, i).alias(c) for c in tags[3:]])
+    each = F.transform(F.when(stop > 0, F.slice("xmin", F.lit(1), (stop - 1).cast("int"))).otherwise(F.col("xmin")), box)
+    base = F.regexp_extract("source_file", r"([^/]*?)(?:\.[^./]*)?$", 1)
+    boxes = found.select(
+        F.concat(base, F.lit(".JPEG")).alias("filename"), F.regexp_extract("source_file", r"([^/]+)/[^/]+$", 1).alias("synset"),
+        F.get("name", F.lit(0)).alias("box_label"), *[int_of(F.get(c, F.lit(0))).alias(c) for c in ("width", "height")], F.explode(each).alias("__box"),
+    )
+    return boxes.select("filename", "synset", "box_label", "width", "height", "__box.*"), judged.filter("__bad").select("source_file", "text")
+
+
 def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Text lines with their file and 0-based number in it: (file, line_no, value).
 

@@ -1,5 +1,8 @@
 """Held-out accuracy, the order of the chain, and odd tables."""
 
+import math
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -24,6 +27,31 @@ def test_held_out_accuracy(tables):
     assert sum(s and not t for s, t in rows) / len(rows) < 0.02
 
 
+def plain(chain, text):
+    """Probabilities of a text from the chain's numbers, by the definition of its features."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    met = set()
+    for w in words:
+        met.add(w)
+        if len(w) > 5:
+            met.add("^" + w[:5])
+        met.update("#" + w[i : i + 4] for i in range(len(w) - 3))
+    out = []
+    for name, intercept, weights, earlier in zip(chain.names, chain.intercepts, chain.weights, chain.earlier):
+        z = intercept + sum(weights[chain.features[m]] for m in met if m in chain.features) + sum(a * b for a, b in zip(earlier, out))
+        out.append(1 / (1 + math.exp(-max(-50.0, min(50.0, z)))))
+    return out
+
+
+def test_every_text_of_the_table_against_the_plain_sum(tables):
+    docs, labels = tables
+    chain = toxicity.fit_chain(docs, labels)
+    for r in toxicity.score_toxicity(docs, chain).collect():
+        want = plain(chain, r.text)
+        assert [r.p_toxic, r.p_toxic_prose, r.p_toxic_junk] == pytest.approx(want, abs=1e-9)
+        assert r.toxic == (max(want) >= toxicity.THRESHOLD)
+
+
 def test_repeatable_and_all_columns(tables):
     docs, labels = tables
     first, second = toxicity.fit_chain(docs, labels), toxicity.fit_chain(docs.repartition(3), labels.repartition(2))

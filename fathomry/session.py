@@ -9,7 +9,8 @@ import uuid
 from pyspark.sql import SparkSession
 
 # AQE splits skewed join sides even where that costs one more shuffle. The JVM does not compile
-# methods above 8000 bytes, so wide projections run faster outside one whole-stage method.
+# methods above 8000 bytes, so wide projections run faster outside one whole-stage method. Batches handed to Python
+# hold rows of whole texts; fewer rows keep a worker's memory small.
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -17,6 +18,7 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
 
 

@@ -82,7 +82,8 @@ def counter_feed(
 
     Samples are held until the latest time seen is ``delay`` past theirs, and then rated in order of time, each
     against the last sample before it. What comes later still is counted (``late_samples``) and left out, as
-    are samples without a time. ``finish`` rates what is held at the end of the run.
+    are samples without a time. ``finish`` rates what is held at the end of the run; a later run takes it up again and
+    replaces these rows.
 
     State is tables of one folder per micro-batch: held samples, the last rated sample of each series (with
     ``lookback``, only while it is near enough to matter), and the time up to which all is rated. Batch n reads
@@ -92,7 +93,6 @@ def counter_feed(
 
     def rated(held: DataFrame, last: DataFrame | None, until, number: str) -> DataFrame:
         """Rates of held samples up to ``until``; the state that remains is written under ``number``."""
-        spark = held.sparkSession
         ready = held.filter(F.col(t) <= F.lit(until)).withColumn("__old", F.lit(False))
         if last is not None:
             ready = ready.unionByName(last.withColumn("__old", F.lit(True)), allowMissingColumns=True)
@@ -118,8 +118,9 @@ def counter_feed(
         return rated(fresh, last, float("-inf") if known is None else known, f"batch={number}")
 
     rows = run_to_files(stream, out, each=step)
-    if finish:
-        spark = stream.sparkSession
+    spark = stream.sparkSession
+    marks = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/marks")
+    if finish and marks.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marks):  # else there was no batch yet
         done = spark.read.parquet(f"{out}/marks").groupBy().agg(F.max("batch")).first()[0]
         held, last = (spark.read.parquet(f"{out}/{name}/batch={done}") for name in ("held", "last"))
         end = held.agg(F.max(t)).first()[0]

@@ -20,7 +20,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathomry.session import fresh_dir
+from fathomry.session import drop_dir, fresh_dir
 
 
 @dataclass(frozen=True)
@@ -180,6 +180,7 @@ def fit(df: DataFrame, label: str, inputs: Sequence[str], weight: str | None = N
     for i in range(settings.rounds):
         rows.write.parquet(f"{folder}/round={i}")
         rows = df.sparkSession.read.schema(rows.schema).parquet(f"{folder}/round={i}")
+        drop_dir(df.sparkSession, f"{folder}/round={i - 1}")
         tree = grow(rows.withColumn("g", F.col("h") * (F.col("p") - F.col("y"))), settings)
         model.trees.append(tree)
         feature, cut, value = _columns(tree)

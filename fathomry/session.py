@@ -63,6 +63,12 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
 
+def drop_dir(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing reads any more; one that is not there is left at that."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Make ``DataFrame.checkpoint`` usable; keeps a folder that is already set."""
     if spark.sparkContext.getCheckpointDir() is None:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomry.operators.series import counter_rate
+from fathomry.session import drop_dir
 
 WATERMARK = "10 minutes"
 
@@ -87,7 +88,7 @@ def counter_feed(
 
     State is tables of one folder per micro-batch: held samples, the last rated sample of each series (with
     ``lookback``, only while it is near enough to matter), and the time up to which all is rated. Batch n reads
-    what batch n - 1 left and replaces its own, so a repeated batch is harmless. Rates come from the chunked batch
+    what batch n - 1 left, replaces its own and deletes that of n - 2, so a repeated batch is harmless. Rates come from the chunked batch
     operator, so a hot series does not end in one task.
     """
 
@@ -113,6 +114,8 @@ def counter_feed(
         known = max(times, default=None)
         marks = [(None if known is None else float(known), n_late)]
         spark.createDataFrame(marks, "until double, late bigint").coalesce(1).write.mode("overwrite").parquet(f"{out}/marks/batch={number}")
+        for name in ("held", "last"):  # a batch that is run again needs only the one before it
+            drop_dir(spark, f"{out}/{name}/batch={number - 2}")
         fresh = batch.filter(F.col(t).isNotNull() & ~late)
         fresh = fresh if held is None else fresh.unionByName(held)
         return rated(fresh, last, float("-inf") if known is None else known, f"batch={number}")
@@ -169,6 +172,7 @@ def totals_after_warm_up(
         start = known.agg(F.min(t).alias("start"))
         start = start if before is None else start.unionByName(before).agg(F.min("start").alias("start"))
         start.coalesce(1).write.mode("overwrite").parquet(f"{out}/starts/batch={number}")
+        drop_dir(spark, f"{out}/held/batch={number - 2}")
         first = spark.read.parquet(f"{out}/starts/batch={number}").scalar()
         warm = F.col(t) >= first + F.make_dt_interval(secs=F.lit(seconds))
         marked = known.withColumn("__warm", warm)

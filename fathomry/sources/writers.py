@@ -10,6 +10,8 @@ from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fathomry.sources.files import slots
+
 MIB = 1024 * 1024
 
 
@@ -55,7 +57,8 @@ def append_results(df: DataFrame, path: str) -> str:
 
 def write_files(df: DataFrame, root: str, path: str = "path", content: str = "bytes") -> str:
     """One file per row: ``content`` under ``path``, relative to ``root``. A file that is there is replaced, so
-    a task that is run again does no harm. ``root`` is a mounted folder or one that Arrow's file systems open."""
+    a task that is run again does no harm. ``root`` is a mounted folder or one that Arrow's file systems open.
+    Rows are dealt out by path, since a small table, read by one task, may stand for a great many files."""
 
     def write(batches):
         files, top = pafs.FileSystem.from_uri(root)
@@ -71,7 +74,8 @@ def write_files(df: DataFrame, root: str, path: str = "path", content: str = "by
                     out.write(data or b"")
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
 
-    df.select(F.col(path), F.col(content).cast("binary")).mapInArrow(write, "n long").write.format("noop").mode("overwrite").save()
+    rows = df.select(F.col(path).alias("path"), F.col(content).cast("binary").alias("content"))
+    rows.repartition(slots(df.sparkSession), "path").mapInArrow(write, "n long").write.format("noop").mode("overwrite").save()
     return root
 
 

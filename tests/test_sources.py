@@ -4,12 +4,12 @@ import bz2
 import json
 
 import pytest
-from pyspark.errors import PySparkException
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import functions as F
 
 from fathomry.plans import results
 from fathomry.session import fresh_dir, shared_root
-from fathomry.sources import readers, writers
+from fathomry.sources import files, readers, writers
 
 
 def test_performance_dates_and_header(spark, tmp_path):
@@ -104,3 +104,40 @@ def test_scans_are_pruned(spark, sf):
 
 def test_shared_folder_is_the_sessions(spark):
     assert shared_root(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_files_are_found_and_read_in_tasks(spark, tmp_path):
+    # Before, the driver held the name of every file, and a task was planned for every few.
+    names = ["n1/a b%#é.xml", "n1/deep/below.xml", "n1/_hidden.xml", "n1/.x.xml", "n2/b.xml", "n2/c.txt", "k=v/d.xml"]
+    for name in names:
+        (tmp_path / name).parent.mkdir(exist_ok=True, parents=True)
+        (tmp_path / name).write_text(name)
+
+    def found(paths, **more):
+        return sorted((r.path, bytes(r.content).decode()) for r in files.read_whole(spark, paths, **more).collect())
+
+    def want(*names):
+        return sorted((f"file:{tmp_path}/{n}", n) for n in names)
+
+    assert found(f"{tmp_path}/*/*.xml") == want("n1/a b%#é.xml", "n2/b.xml", "k=v/d.xml")
+    assert found([f"file://{tmp_path}/n[2-3]", f"{tmp_path}/n1/deep/below.xml"]) == want("n2/b.xml", "n2/c.txt", "n1/deep/below.xml")
+    assert found(str(tmp_path), recursive=True, pattern="*.{xml,tx}") == want("n1/a b%#é.xml", "n1/deep/below.xml", "n2/b.xml", "k=v/d.xml")
+    assert found(str(tmp_path)) == want("k=v/d.xml")
+    plain = spark.read.text(f"{tmp_path}/*/*.xml", wholetext=True).select(F.col("_metadata.file_path").alias("f"))
+    assert {r[0] for r in files.read_whole(spark, f"{tmp_path}/*/*.xml").select(files.uri(F.col("path"))).collect()} == {r.f for r in plain.collect()}
+    for missing in (f"{tmp_path}/none", f"{tmp_path}/*/none*"):
+        with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
+            files.read_whole(spark, missing)
+    for frame in (readers.read_images(spark, str(tmp_path), "*.xml"), *readers.read_annotation_files(spark, f"{tmp_path}/*/*.xml")):
+        assert not frame.inputFiles() or not any(f.endswith(".xml") for f in frame.inputFiles())
+
+
+def test_files_of_a_small_table_are_written_by_many_tasks(spark, tmp_path):
+    # Before, a table of one partition wrote all of its files in one task.
+    df = spark.range(200).coalesce(1).select(F.concat(F.col("id") % 3, F.lit("/"), F.col("id")).alias("path"), F.col("id").cast("string").alias("bytes"))
+    seen = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("files", "files")
+    writers.write_files(df, str(tmp_path / "out"))
+    stages = [seen.getStageInfo(s) for j in seen.getJobIdsForGroup("files") for s in seen.getJobInfo(j).stageIds]
+    assert max(s.numTasks for s in stages if s) >= 16
+    assert {(r.synset, r.filename, bytes(r.encoded)) for r in readers.read_images(spark, str(tmp_path / "out"), "*").collect()} == {(str(i % 3), str(i), str(i).encode()) for i in range(200)}

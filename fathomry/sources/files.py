@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from fathomry.session import fresh_dir
 
-# Files and bytes dealt to a task, bytes of files handed on at once.
-FILES, BYTES, HELD = 20_000, 128 << 20, 8 << 20
+# Files and bytes dealt to a task, bytes of files handed on at once, bytes of a
+# large file in one chunk.
+FILES, BYTES, HELD, CHUNK = 20_000, 128 << 20, 8 << 20, 16 << 20
 SPECIAL = re.compile(r"[*?\[\]{}\\]")
 QUOTED = ' "#<>?[\\]^`{|}'  # beside the per cent sign, what a URI writes as a number
 
@@ -137,3 +138,58 @@ def uri(path: Column) -> Column:
     for c in QUOTED:
         out = F.replace(out, F.lit(c), F.lit(f"%{ord(c):02X}"))
     return out
+
+
+def read_records(spark: SparkSession, paths: str | list[str], tag: str) -> DataFrame:
+    """Elements ``tag`` of XML files as (path, content), a large file by chunks that several tasks take.
+
+    A record goes from its opening tag to the first closing one, or to the next opening one or the end of its file if that
+    comes before; it belongs to the chunk it begins in. Elements of one name do not nest. Compressed files are one chunk.
+    """
+    scheme, found, parts = list_whole(spark, paths)
+    size, packed = CHUNK, r"\.(gz|bz2|lz4|zst)$"
+    starts = F.when((F.col("length") == 0) | F.col("path").rlike(packed), F.array(F.lit(0).cast("bigint"))).otherwise(F.sequence(F.lit(0).cast("bigint"), F.col("length") - 1, F.lit(size).cast("bigint")))
+    chunks = found.select("path", F.explode(starts).alias("first"))
+    opening = re.compile(rb"<" + tag.encode() + rb"(?=[\s/>])")
+    closing = re.compile(rb"</" + tag.encode() + rb"\s*>|<" + tag.encode() + rb"(?=[\s/])[^<>]*/>")
+    longest = len(tag) + 2  # bytes an opening tag may reach into the next chunk
+
+    def read(batches):
+        local = pafs.LocalFileSystem()
+        for batch in batches:
+            for path, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                files, top = (local, path) if scheme == "file:" else pafs.FileSystem.from_uri(scheme + path)
+                if re.search(packed, path):
+                    with files.open_input_stream(top, compression="detect") as f:
+                        data = f.read()
+                    stop, more = len(data), None
+                else:
+                    more = files.open_input_file(top)
+                    more.seek(first)
+                    data = more.read(size + longest)
+                    stop = size
+                names, contents, held = [], [], 0
+                here = opening.search(data)
+                while here and here.start() < stop:
+                    at = here.start()
+                    while True:
+                        after, end = opening.search(data, at + 1), closing.search(data, at)
+                        edge = min([x for x in (after and after.start(), end and end.end()) if x], default=None)
+                        # A tag that is cut by the end of what was read shows with more of the file.
+                        new = more.read(min(size, 1 << 20)) if more is not None and (edge is None or edge + longest > len(data)) else b""
+                        if not new:
+                            break
+                        data += new
+                    names.append(scheme + path)
+                    contents.append(data[at : edge or len(data)])
+                    held += len(contents[-1])
+                    if held >= HELD:
+                        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(contents, pa.binary())], names=["path", "content"])
+                        names, contents, held = [], [], 0
+                    here = after
+                if more is not None:
+                    more.close()
+                if names:
+                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(contents, pa.binary())], names=["path", "content"])
+
+    return chunks.repartition(parts, "path", "first").mapInArrow(read, "path string, content binary")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fathomry import schemas
 from fathomry.operators.boxes import int_of
 from fathomry.operators.lookups import union_all
-from fathomry.sources.files import read_whole, uri
+from fathomry.sources.files import read_records, read_whole, uri
 
 LOAN_DATES = "MM/dd/yyyy"
 
@@ -118,17 +118,13 @@ def read_annotations(spark: SparkSession, paths: str | list[str], from_path: boo
     """Box annotations (XML) as (good, rejects).
 
     With ``from_path`` the image name is the file's base name and the class its folder; the name
-    inside the document is not reliable.
+    inside the document is not reliable. A large file is read in chunks by several tasks; files are listed when this is
+    called.
     """
-    raw = (
-        spark.read.format("xml")
-        .option("rowTag", "annotation")
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_corrupt")
-        .schema(f"{schemas.ANNOTATION}, synset string, _corrupt string")
-        .load(paths)
-        .withColumn("source_file", F.col("_metadata.file_path"))
-    )
+    fields = f"{schemas.ANNOTATION}, synset string, _corrupt string"
+    records = read_records(spark, paths, "annotation").select(uri(F.col("path")).alias("source_file"), F.col("content").cast("string").alias("text"))
+    parsed = F.from_xml("text", fields, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    raw = records.select("source_file", parsed.alias("__a")).select("__a.*", "source_file")
     good, rejects = _split_rejects(raw, "source_file")
     if from_path:
         base = F.regexp_extract("source_file", r"([^/]*?)(?:\.[^./]*)?$", 1)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fathomry.operators import boxes as B
 from fathomry.plans import corpus
-from fathomry.sources import readers
+from fathomry.sources import files, readers
 
 XML = """<annotation><folder>{folder}</folder><filename>%s</filename><size><width>{w}</width><height>{h}</height></size>{objects}</annotation>"""
 OBJECT = "<object><name>{name}</name><bndbox><xmin>{a}</xmin><ymin>{b}</ymin><xmax>{c}</xmax><ymax>{d}</ymax></bndbox></object>"
@@ -141,3 +141,18 @@ def test_shard_cuts(spark, total, shards):
     got = spark.range(total).select(corpus.shard_of(F.col("id"), F.lit(total), shards).alias("s")).collect()
     want = [next(k for k in range(shards) if k * total // shards <= p < (k + 1) * total // shards) for p in range(total)]
     assert [r.s for r in got] == want
+
+
+def test_large_annotation_file_is_read_in_chunks(spark, tmp_path, monkeypatch):
+    # Before, a file went through one task whatever its size.
+    one = XML.format(folder="n1", w=9, h=8, objects=objects(("n1", 1, 1, 2, 2)))
+    docs = [(one % f"f{i}").replace("<annotation>", "<annotation >" if i % 3 else '<annotation verified="yes">').replace("</annotation>", "</annotation >" if i % 2 else "</annotation>") for i in range(60)]
+    broken = "<annotation><size><width>1</size></annotation>"
+    (tmp_path / "all.xml").write_text("<annotations>\n  " + "\n  ".join([*docs[:30], broken, *docs[30:]]) + "\n<annotation><filename>cut</filename></annotations>")
+    for size in (16 << 20, 700, 37):
+        monkeypatch.setattr(files, "CHUNK", size)
+        good, rejects = readers.read_annotations(spark, str(tmp_path / "all.xml"), from_path=False)
+        assert sorted(r.filename for r in good.collect()) == sorted(f"f{i}" for i in range(60))
+        assert {(r.size.width, r.size.height, len(r.object)) for r in good.collect()} == {("9", "8", 1)}
+        assert rejects.count() == 2
+    assert files.read_records(spark, str(tmp_path / "all.xml"), "annotation").count() == 62

@@ -31,16 +31,20 @@ def run_to_files(
 ) -> str:
     """Run over everything available; returns the folder holding ``batch=<n>`` folders.
 
-    ``each`` turns a micro-batch into the rows to keep; it is read once for all it does. ``late`` takes the number of
-    rows each micro-batch dropped behind the watermark.
+    ``each`` turns a micro-batch into the rows to keep. The batch is written to the shared folder first, so that whatever
+    ``each`` does reads files: a cached batch is worked out again where two stages reach a part of it at once or an
+    executor is lost, and then two tasks write the same state. ``late`` takes the number of rows each micro-batch
+    dropped behind the watermark.
     """
 
     def save(batch: DataFrame, number: int) -> None:
-        kept = batch.persist() if each else batch
-        rows = each(kept, number) if each else kept
-        rows.write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
+        arrived = f"{out}/arrived/{number}"
         if each:
-            kept.unpersist()
+            batch.write.mode("overwrite").parquet(arrived)
+            batch = each(batch.sparkSession.read.schema(batch.schema).parquet(arrived), number)
+        batch.write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
+        if each:
+            drop_dir(batch.sparkSession, arrived)
 
     query = (
         stream.writeStream.outputMode(mode)

@@ -143,3 +143,22 @@ def test_totals_after_warm_up_find_their_start(spark):
         out = feeds.totals_after_warm_up(stream(spark, path).withColumnRenamed("k", "rank"), base, "at", 30.0, ["rank"], ["v"])
     got = {r["rank"]: (r["rows"], r["v"]) for r in feeds.last_batch(spark, out).collect()}
     assert got == {"a": (1, 2.0), "b": (1, 8.0)}  # 90 is the start
+
+
+def test_batch_is_worked_out_once_whatever_is_done_with_it(spark, landed):
+    runs = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(v):
+        runs.add(1)
+        return v
+
+    def each(batch, number):
+        assert batch.count() == 100
+        spark.catalog.clearCache()  # as if the executor that held the batch were lost
+        return batch.unionByName(batch)
+
+    counts = stream(spark, landed[0]).withColumn("v", counted("v"))
+    out = feeds.run_to_files(counts, fresh_dir(spark, "feed"), each=each)
+    assert spark.read.parquet(out).count() == 800
+    assert runs.value == 400

@@ -179,13 +179,13 @@ def _marked(size: int):
 
 
 def _by_rare_shingles(rest: DataFrame, taken: DataFrame, similarity: float, size: int, folder: str) -> DataFrame:
-    """(digest, n, score, bucket) of ``rest`` (digest, n, score) with the rarest labelled shingles as buckets.
+    """(digest, n, score, bucket) of ``rest`` (digest, n, score), whose texts are ``taken``, with the rarest labelled shingles as buckets.
 
     Texts of n shingles that align in ``similarity`` of the longer one have so many labelled shingles in common
     that, in any one order of them, they share one of the first ``n - least + 1``. Shingles no other text has come first
     in that order; they are only counted.
     """
-    marks = taken.join(rest.select("digest"), "digest", "left_semi").mapInArrow(_marked(size), "digest binary, marks array<long>")
+    marks = taken.mapInArrow(_marked(size), "digest binary, marks array<long>")
     marks = _stored(marks.select("digest", F.explode("marks").alias("bucket")), folder, "marks")
     often = marks.groupBy("bucket").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
     shared = spread_join(marks, often, ["bucket"], "inner")
@@ -251,15 +251,17 @@ def links(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text",
             mixed = left.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo != hi").select("bucket")
             rest = left.join(mixed, "bucket", "left_semi").select("digest", "n", "score", "class").distinct()
             rest = _stored(rest, folder, "rest", rows)
+            # From here on only these texts are compared; the others are not moved again.
+            taken = _stored(taken.join(rest.select("digest"), "digest", "left_semi"), folder, "fewer")
             left = _by_rare_shingles(rest.drop("class"), taken, similarity, size, folder).join(rest.select("digest", "class"), "digest")
             left = _stored(left, folder, "rare")
-            _dropped(docs, folder, ["rest", "left-0", "marks"])
+            _dropped(docs, folder, ["rest", "left-0", "marks", "texts"])
             now[0] = "rare"
         else:
             shares *= 4
         members, rows = left, left.count()
         number += 1
-    _dropped(docs, folder, ["texts", f"centers-{number}", now[0]])
+    _dropped(docs, folder, ["texts", "fewer", f"centers-{number}", now[0]])
     if found is None:
         found = docs.sparkSession.createDataFrame([], "center binary, member binary, near double")
     return found.filter(F.col("near") > 0), classes

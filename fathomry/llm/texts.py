@@ -15,8 +15,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Most words whose hash a task remembers.
-REMEMBERED = 400_000
+#: Most words whose hash a task remembers. Workers stay alive and keep what they once held.
+REMEMBERED = 100_000
 
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 

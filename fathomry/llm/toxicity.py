@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathomry.llm.texts import REMEMBERED, fold_words, text_bytes
+from fathomry.llm.texts import REMEMBERED, fold_words, slices, text_bytes
 from fathomry.session import fresh_dir
 
 #: Labelled rows the chain is fitted on, about; drawn by hash, the same rows on every run.
@@ -32,6 +32,8 @@ LEAST_ROWS = 4
 FOLDS = 3
 THRESHOLD = 0.5
 PENALTY = 1e-4
+#: Bytes of text whose grams a task counts at once.
+SLICE = 1_000_000
 
 
 def categories() -> dict[str, Column]:
@@ -110,7 +112,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPL
 
 def _vocabulary(sample: DataFrame, names: list[str], size: int) -> list[str]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, SLICE):
             seen, hits = Counter(), [Counter() for _ in names]
             marks = [batch.column(n).to_pylist() for n in names]
             for i, text in enumerate(text_bytes(batch.column("text"))):

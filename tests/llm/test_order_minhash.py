@@ -173,3 +173,17 @@ def test_texts_around_one_hot_passage(docs_of):
         base = [*passage, *[f"y{r.randrange(10**6)}" for _ in range(60)]]
         texts += [" ".join(base), " ".join(replaced(r, base, 3))]
     assert got(docs_of(texts)) == classes(list(enumerate(texts)))
+
+
+def test_only_texts_still_in_play_move_after_the_first_round(docs_of, family, monkeypatch):
+    stored, seen = omh._stored, {}
+
+    def told(df, folder, name, rows=None):
+        out = stored(df, folder, name, rows)
+        if name in ("texts", "rest", "fewer"):
+            seen[name] = out.count()
+        return out
+
+    monkeypatch.setattr(omh, "_stored", told)
+    omh.near_duplicates(docs_of(family)).count()
+    assert seen["rest"] and seen["fewer"] == seen["rest"] < seen["texts"]

@@ -37,6 +37,9 @@ SIMILARITY = 0.8
 TABLES = 12
 LENGTH = 2
 SLICE = 8_000_000
+#: Bits of the map that tells which digests are wanted, for each of them; the map is broadcast for at most so many.
+BITS = 16
+MAPPED = 100_000_000
 #: Rows of a small table in one file.
 ROWS = 200_000
 
@@ -168,6 +171,23 @@ def _dropped(docs: DataFrame, folder: str, names: list[str]) -> None:
         path.getFileSystem(docs.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _likely(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """All rows of ``texts`` whose digest is in ``wanted`` (each once), and about one in ``BITS`` of the others.
+
+    What it leaves out is not moved by the join that follows. The map takes two bytes a digest; where even these are
+    too many for a broadcast, all rows stay.
+    """
+    n = wanted.count()
+    if n > MAPPED:
+        return texts
+    place = F.pmod(F.xxhash64("digest"), F.lit(BITS * n + 1)) + 1
+    own = wanted.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
+    at = F.bitmap_bit_position(place).cast("int")
+    byte = F.conv(F.hex(F.substr("bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    met = texts.withColumn("page", F.bitmap_bucket_number(place)).join(F.broadcast(own), "page")
+    return met.filter(F.floor(byte / F.pow(F.lit(2), at % 8)) % 2 == 1).select(*texts.columns)
+
+
 def _marked(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -208,8 +228,8 @@ def links(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text",
     members = _stored(crowded.withColumn("class", F.col("digest")), folder, "members")
     rows = members.count()
     classes = _stored(members.select("digest", "class").distinct(), folder, "classes", rows)
-    # Copies become one row before they meet in a task.
-    taken = texts.groupBy("digest").agg(F.first("text").alias("text")).join(classes.select("digest"), "digest", "left_semi")
+    # Copies become one row before they meet in a task; texts that are in no bucket with others stay where they are.
+    taken = _likely(texts, classes.select("digest")).groupBy("digest").agg(F.first("text").alias("text")).join(classes.select("digest"), "digest", "left_semi")
     taken = _stored(taken, folder, "texts")
     ends = F.least("center", "member").alias("a"), F.greatest("center", "member").alias("b")
     _dropped(docs, folder, ["sketched"])

@@ -175,6 +175,15 @@ def test_texts_around_one_hot_passage(docs_of):
     assert got(docs_of(texts)) == classes(list(enumerate(texts)))
 
 
+def test_texts_outside_the_buckets_are_not_moved(spark):
+    texts = spark.range(20_000).selectExpr("unhex(md5(cast(id AS string))) AS digest", "concat('text ', id) AS text")
+    for n in (0, 1, 3_000):
+        wanted = texts.limit(n).select("digest")
+        likely = omh._likely(texts, wanted)
+        assert likely.columns == texts.columns and likely.join(wanted, "digest", "left_semi").count() == n
+        assert likely.count() - n <= 20_000 // 10  # about one in 16
+
+
 def test_only_texts_still_in_play_move_after_the_first_round(docs_of, family, monkeypatch):
     stored, seen = omh._stored, {}
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathomry.llm.texts import WordHashes, fold_words, slices, text_bytes
+from fathomry.llm.texts import WordHashes, fold_words, given_back, slices, text_bytes
 from fathomry.operators.lookups import spread_join
 from fathomry.session import fresh_dir
 
@@ -36,7 +36,7 @@ WORDS = 5
 SIMILARITY = 0.8
 TABLES = 12
 LENGTH = 2
-SLICE = 8_000_000
+SLICE = 2_000_000
 #: Bits of the map that tells which digests are wanted, for each of them; the map is broadcast for at most so many.
 BITS = 16
 MAPPED = 100_000_000
@@ -136,7 +136,7 @@ def _sketched(tables: int, length: int, size: int):
                     keys.append(sketches(found, tables, length))
             yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(counts, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], names=["digest", "n", "sketches"])
 
-    return run
+    return given_back(run)
 
 
 def _verified(similarity: float, size: int):
@@ -152,7 +152,7 @@ def _verified(similarity: float, size: int):
             kept = ["center", "member", "of_center", "of_member"]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(near, pa.float64())], names=[*kept, "near"])
 
-    return run
+    return given_back(run)
 
 
 def _stored(df: DataFrame, folder: str, name: str, rows: int | None = None) -> DataFrame:
@@ -195,7 +195,7 @@ def _marked(size: int):
             marks = [labelled(shingles(hashes.array(fold_words(text)), size)).view(np.int64) for text in text_bytes(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(marks, pa.list_(pa.int64()))], names=["digest", "marks"])
 
-    return run
+    return given_back(run)
 
 
 def _by_rare_shingles(rest: DataFrame, taken: DataFrame, similarity: float, size: int, folder: str) -> DataFrame:

@@ -31,8 +31,10 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fathomry.llm.texts import given_back
+
 MARK = "▁"
-REMEMBERED = 600_000
+REMEMBERED = 200_000
 UNKNOWN_PENALTY = 10.0
 NEVER = float("-inf")
 UNIGRAM, MERGES = 1, 2
@@ -316,7 +318,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", sh
     kinds = dict(narrow.dtypes)
     outer, names = names, [inner[c] for c in names]
     schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in names], "_ids array<int>"])
-    done = narrow.mapInArrow(run, schema)
+    done = narrow.mapInArrow(given_back(run), schema)
     return done.select(*[F.col(inner[c]).alias(c) for c in outer], F.col("_ids").alias(ids))
 
 

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fathomry.llm.texts import given_back
+
 #: Rows the field is fitted on, about; drawn by hash, the same rows on every run.
 SAMPLE_ROWS = 20_000
 EPOCHS = 12
@@ -231,7 +233,7 @@ def fit_field(docs: DataFrame, key: str = "doc_id", text: str = "text", sample_r
             field.fit([parsed[i] for i in order], epochs)
         yield pa.RecordBatch.from_arrays([pa.array([field.dumps()])], names=["field"])
 
-    found = rows.mapInArrow(collect, "example string").repartition(1).mapInArrow(fit, "field string").collect()
+    found = rows.mapInArrow(given_back(collect), "example string").repartition(1).mapInArrow(given_back(fit), "field string").collect()
     return Field.loads(found[0].field) if found else Field()
 
 
@@ -255,7 +257,7 @@ def find_secrets(docs: DataFrame, field: Field | None = None, key: str = "doc_id
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(spans, pa.list_(SPAN))], names=["key", "spans"])
 
     rows = _rows(docs, key, text)
-    return rows.mapInArrow(run, f"key {dict(rows.dtypes)['key']}, spans array<struct<kind:string,start:bigint,end:bigint>>").withColumnRenamed("key", key)
+    return rows.mapInArrow(given_back(run), f"key {dict(rows.dtypes)['key']}, spans array<struct<kind:string,start:bigint,end:bigint>>").withColumnRenamed("key", key)
 
 
 def scan(text: str, lang: str | None, source: str | None, field: Field, margin: float = MARGIN) -> list[tuple[str, int, int]]:

@@ -7,7 +7,9 @@ every character beyond ASCII consists of bytes from 0x80 on, so a byte table is
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +60,23 @@ def slices(batches: Iterable[pa.RecordBatch], most_bytes: int = 8_000_000) -> It
             start = end
 
 
+def given_back(run: Callable) -> Callable:
+    """``run`` over the batches of a task; at its end what it no longer needs goes back to the system.
+
+    Workers wait for the next task, and while they wait they would keep the most that any task has taken.
+    """
+    @functools.wraps(run)
+    def held(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return held
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. ``lower`` does that on pure ASCII, and faster."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathomry.llm.texts import REMEMBERED, fold_words, slices, text_bytes
+from fathomry.llm.texts import REMEMBERED, fold_words, given_back, slices, text_bytes
 from fathomry.session import fresh_dir
 
 #: Labelled rows the chain is fitted on, about; drawn by hash, the same rows on every run.
@@ -127,7 +127,7 @@ def _vocabulary(sample: DataFrame, names: list[str], size: int) -> list[str]:
 
     totals = sample.agg(F.count(F.lit(1)).alias("n"), *[F.sum(n).alias(n) for n in names]).first()
     schema = ", ".join(["gram string", "n long", *[f"h_{n} long" for n in names]])
-    counts = sample.mapInArrow(count, schema).groupBy("gram").agg(*[F.sum(c).cast("double").alias(c) for c in ["n", *[f"h_{n}" for n in names]]])
+    counts = sample.mapInArrow(given_back(count), schema).groupBy("gram").agg(*[F.sum(c).cast("double").alias(c) for c in ["n", *[f"h_{n}" for n in names]]])
     best = []
     for name in names:
         rows, yes = float(totals["n"] or 0), float(totals[name] or 0)
@@ -164,7 +164,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS
         fitted = fit_models([rows[i] for i in order], np.array([marks[i] for i in order]).reshape(-1, len(names)), np.array([folds[i] for i in order]), len(vocabulary_of))
         yield pa.RecordBatch.from_arrays([pa.array([json.dumps(fitted)])], names=["models"])
 
-    models = sample.repartition(1).mapInArrow(fit, "models string").collect()
+    models = sample.repartition(1).mapInArrow(given_back(fit), "models string").collect()
     chain.intercepts, chain.weights, chain.earlier = json.loads(models[0].models) if models else fit_models([], np.zeros((0, len(names))), np.zeros(0), len(words))
     return chain
 

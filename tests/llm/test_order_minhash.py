@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from fathomry.llm import order_minhash as omh
+from fathomry.llm import texts
 from fathomry.llm.texts import WordHashes, fold_words
 from tests.conftest import SF
 
@@ -184,6 +185,17 @@ def test_texts_outside_the_buckets_are_not_moved(spark):
         assert likely.count() - n <= 20_000 // 10  # about one in 16
 
 
+def test_workers_give_memory_back(monkeypatch):
+    calls = []
+    monkeypatch.setattr(texts.pa, "default_memory_pool", lambda: type("Pool", (), {"release_unused": lambda self: calls.append(1)})())
+    run = texts.given_back(lambda batches: (b + 1 for b in batches))
+    assert list(run(iter([1, 2]))) == [2, 3] and calls == [1]
+    half = run(iter([1, 2]))
+    assert next(half) == 2 and calls == [1]
+    half.close()  # a task that ends early
+    assert calls == [1, 1]
+
+
 def test_only_texts_still_in_play_move_after_the_first_round(docs_of, family, monkeypatch):
     stored, seen = omh._stored, {}
 

@@ -100,3 +100,33 @@ def test_rows_are_not_taken_apart_by_feature(spark):
     sums = L._sums(rows, root, 0, [0], 2, 4)
     assert "Generate" not in sums._jdf.queryExecution().executedPlan().toString()
     assert {(r.node, r.feature, r.bin): (r.g, r.h) for r in sums.collect()} == {(0, 0, 1): (-50.0, 100.0), (0, 1, 0): (-17.0, 34.0), (0, 1, 1): (-17.0, 34.0), (0, 1, 2): (-16.0, 32.0)}
+
+
+def test_the_registered_query_fits_all_rounds(spark, sf, monkeypatch):
+    # Before, the query fitted 3 rounds of the reference's 100.
+    from fathomry.catalog import CATALOG
+
+    fitted, fit = [], L.fit
+    monkeypatch.setattr(L, "fit", lambda *args: fitted.append(fit(*args)) or fitted[-1])
+    (row,) = CATALOG["m07_leaf_wise_trees"].run(spark, sf).collect()
+    assert row.asDict() == {"rows": spark.read.parquet(f"{sf}/orders.parquet").count(), "without_prediction": 0, "better_than_the_base": True, "within_bounds": True}
+    assert fitted[0].settings == L.Settings() and L.Settings().rounds == len(fitted[0].trees) == 100
+
+
+def test_a_table_in_the_driver_and_one_in_tasks_give_the_same_trees(table, monkeypatch):
+    s = L.Settings(rounds=3, depth=4, child_weight=4.0, bins=8)
+    held = L.fit(table, "y", ["x", "z", "m"], "copies", s)
+    monkeypatch.setattr(L, "SMALL", 0)
+    far = L.fit(table, "y", ["x", "z", "m"], "copies", s)
+    for a, b in zip(held.trees, far.trees, strict=True):
+        assert (a.feature, a.cut, [round(v, 9) for v in a.value]) == (b.feature, b.cut, [round(v, 9) for v in b.value])
+
+
+def test_a_level_is_one_shuffle_and_bins_are_bytes(spark):
+    rows = spark.range(50).select(L._packed(F.array(F.lit(1), F.col("id").cast("int") % 3), 2, 4).alias("__bins"), F.lit(1.0).alias("y"), F.lit(2.0).alias("h"), F.lit(0.5).alias("p"))
+    assert {len(r["__bins"]) for r in rows.collect()} == {2}
+    sums = L._sums(rows, L.Tree([-1] * 3, [0] * 3, [0.0] * 3), 0, [0], 2, 4)
+    assert sums._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    best = sorted(L._best_splits(sums, L.Settings(child_weight=1.0, gamma=-1.0, alpha=0.0)))
+    assert [(b[0], b[1], b[-2], b[-1]) for b in best] == [(0, 0, -50.0, 100.0), (0, 1, -50.0, 100.0)]
+    assert best[0][3] == float("-inf") and best[1][2] == 1

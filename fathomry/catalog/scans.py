@@ -160,7 +160,9 @@ def annotation_documents(spark, sf):
 )
 def _(spark, sf):
     path = fresh_dir(spark, "annotations")
-    annotation_documents(spark, sf).write.format("xml").option("rootTag", "annotations").option("rowTag", "annotation").save(path)
+    written = annotation_documents(spark, sf).write.format("xml").option("rootTag", "annotations").option("rowTag", "annotation")
+    # Tags take many times the room of what they hold; a packed file is read by one task, so none is large.
+    written.option("compression", "gzip").option("maxRecordsPerFile", 200_000).save(path)
     good, _ = readers.read_annotations(spark, path, from_path=False)
     return B.annotation_boxes(good).drop("source_file")
 

@@ -144,7 +144,8 @@ def read_records(spark: SparkSession, paths: str | list[str], tag: str) -> DataF
     """Elements ``tag`` of XML files as (path, content), a large file by chunks that several tasks take.
 
     A record goes from its opening tag to the first closing one, or to the next opening one or the end of its file if that
-    comes before; it belongs to the chunk it begins in. Elements of one name do not nest. Compressed files are one chunk.
+    comes before; it belongs to the chunk it begins in. Elements of one name do not nest. A compressed file is one chunk,
+    which is unpacked bit by bit; a task holds a chunk and a record at most.
     """
     scheme, found, parts = list_whole(spark, paths)
     size, packed = CHUNK, r"\.(gz|bz2|lz4|zst)$"
@@ -154,41 +155,54 @@ def read_records(spark: SparkSession, paths: str | list[str], tag: str) -> DataF
     closing = re.compile(rb"</" + tag.encode() + rb"\s*>|<" + tag.encode() + rb"(?=[\s/])[^<>]*/>")
     longest = len(tag) + 2  # bytes an opening tag may reach into the next chunk
 
+    def records(source, stop):
+        """Records that begin before ``stop`` bytes, all without a stop; what lies behind them is let go."""
+        data, gone, at = source.read(size + longest), 0, 0
+        while True:
+            here = opening.search(data, at)
+            if here is None:
+                if stop is not None and gone + len(data) >= stop + longest:
+                    return
+                # A tag may be cut by the end of what was read.
+                at, new = max(at, len(data) - longest), source.read(min(size, 1 << 20))
+                if not new:
+                    return
+                data, gone, at = data[at:] + new, gone + at, 0
+                continue
+            at = here.start()
+            if stop is not None and gone + at >= stop:
+                return
+            while True:
+                after, end = opening.search(data, at + 1), closing.search(data, at)
+                edge = min([x for x in (after and after.start(), end and end.end()) if x], default=None)
+                new = source.read(min(size, 1 << 20)) if edge is None or edge + longest > len(data) else b""
+                if not new:
+                    break
+                data, gone, at = data[at:] + new, gone + at, 0
+            yield data[at : edge or len(data)]
+            if edge is None:
+                return
+            at = edge
+
     def read(batches):
         local = pafs.LocalFileSystem()
         for batch in batches:
             for path, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 files, top = (local, path) if scheme == "file:" else pafs.FileSystem.from_uri(scheme + path)
                 if re.search(packed, path):
-                    with files.open_input_stream(top, compression="detect") as f:
-                        data = f.read()
-                    stop, more = len(data), None
+                    source, stop = files.open_input_stream(top, compression="detect"), None
                 else:
-                    more = files.open_input_file(top)
-                    more.seek(first)
-                    data = more.read(size + longest)
-                    stop = size
+                    source, stop = files.open_input_file(top), size
+                    source.seek(first)
                 names, contents, held = [], [], 0
-                here = opening.search(data)
-                while here and here.start() < stop:
-                    at = here.start()
-                    while True:
-                        after, end = opening.search(data, at + 1), closing.search(data, at)
-                        edge = min([x for x in (after and after.start(), end and end.end()) if x], default=None)
-                        # A tag that is cut by the end of what was read shows with more of the file.
-                        new = more.read(min(size, 1 << 20)) if more is not None and (edge is None or edge + longest > len(data)) else b""
-                        if not new:
-                            break
-                        data += new
-                    names.append(scheme + path)
-                    contents.append(data[at : edge or len(data)])
-                    held += len(contents[-1])
-                    if held >= HELD:
-                        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(contents, pa.binary())], names=["path", "content"])
-                        names, contents, held = [], [], 0
-                    here = after
-                if more is not None:
-                    more.close()
+                with source:
+                    for content in records(source, stop):
+                        names.append(scheme + path)
+                        contents.append(content)
+                        held += len(content)
+                        if held >= HELD:
+                            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(contents, pa.binary())], names=["path", "content"])
+                            names, contents, held = [], [], 0
                 if names:
                     yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(contents, pa.binary())], names=["path", "content"])
 

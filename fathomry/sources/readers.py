@@ -124,7 +124,8 @@ def read_annotations(spark: SparkSession, paths: str | list[str], from_path: boo
     fields = f"{schemas.ANNOTATION}, synset string, _corrupt string"
     records = read_records(spark, paths, "annotation").select(uri(F.col("path")).alias("source_file"), F.col("content").cast("string").alias("text"))
     parsed = F.from_xml("text", fields, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    raw = records.select("source_file", parsed.alias("__a")).select("__a.*", "source_file")
+    # Behind a generator the parse runs once; a plain column is worked out again for each field the filters ask for.
+    raw = records.select(F.inline(F.array(parsed)), "source_file")
     good, rejects = _split_rejects(raw, "source_file")
     if from_path:
         base = F.regexp_extract("source_file", r"([^/]*?)(?:\.[^./]*)?$", 1)
